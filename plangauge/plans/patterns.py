@@ -178,7 +178,8 @@ def matching_ids(
 def applicable_patterns(metrics: DataFrame, key: str = "plan_id", **options) -> DataFrame:
     """One row per plan and matching pattern, ranked from 1."""
     ratios = F.create_map(*[x for p in PATTERNS for x in (F.lit(p.pattern_id), F.lit(p.target_ratio))])
-    return metrics.select(key, F.posexplode(matching_ids(**options)).alias("_at", "pattern_id")).select(
+    found = metrics.select(key, F.posexplode_outer(matching_ids(**options)).alias("_at", "pattern_id"))
+    return found.filter(F.col("pattern_id").isNotNull()).select(
         key, (F.col("_at") + 1).alias("rank"), "pattern_id", ratios[F.col("pattern_id")].alias("target_ratio")
     )
 

@@ -59,13 +59,13 @@ def _typed(front: str) -> str:
         'raw', {raw})"""
 
 
-def _unfold(plans: DataFrame) -> DataFrame:
-    """Add ``_nodes``: all nodes of the tree in preorder, root first."""
+def _unfold(plans: DataFrame, preorder: bool = False) -> DataFrame:
+    """Add ``_nodes``: all nodes of the tree, level by level or in preorder; the root is first either way."""
     rooted = plans.withColumn("_doc", F.expr("try_parse_json(plan_json)")).withColumn(
         "_root",
         F.expr("coalesce(try_variant_get(_doc, '$[0].Plan', 'variant'), try_variant_get(_doc, '$.Plan', 'variant'), _doc)"),
     )
-    levels = "1 + cast((length(plan_json) - length(replace(plan_json, '\"Plans\"', ''))) / 7 as int)"
+    levels = "1 + regexp_count(plan_json, '\"Plans\"')"
     children = "coalesce(try_variant_get(f.raw, '$.Plans', 'array<variant>'), " + _EMPTY.format("variant") + ")"
     step = f"""named_struct(
         'done', concat(a.done, transform(a.front, f -> {_typed('f')})),
@@ -75,9 +75,9 @@ def _unfold(plans: DataFrame) -> DataFrame:
         'done', {_EMPTY.format(_NODE)},
         'front', cast(array(named_struct('path', {_EMPTY.format('int')}, 'joins', {_is_join('_root')}, 'raw', _root)) as array<{_FRONT}>))"""
     nodes = f"aggregate(sequence(1, coalesce({levels}, 1)), {start}, (a, i) -> {step}, a -> a.done)"
-    # children come out level by level; preorder is the order of the paths
-    ordered = f"""array_sort({nodes}, (l, r) -> case when l.path < r.path then -1 when l.path > r.path then 1 else 0 end)"""
-    return rooted.withColumn("_nodes", F.expr(ordered)).drop("_doc", "_root")
+    if preorder:  # the order of the paths
+        nodes = f"array_sort({nodes}, (l, r) -> case when l.path < r.path then -1 when l.path > r.path then 1 else 0 end)"
+    return rooted.withColumn("_nodes", F.expr(nodes)).drop("_doc", "_root")
 
 
 def plan_nodes(plans: DataFrame) -> DataFrame:
@@ -88,22 +88,15 @@ def plan_nodes(plans: DataFrame) -> DataFrame:
     direct children.  Unreadable JSON gives one node with default values.
     """
     keep = [c for c in plans.columns if c != "plan_json"]
-    rows = _unfold(plans).select(*keep, F.posexplode("_nodes").alias("preorder", "n"), "_nodes")
     children = "filter(_nodes, c -> c.depth = n.depth + 1 and slice(c.path, 1, n.depth) = n.path)"
-    self_cost = F.expr(f"n.total_cost - aggregate({children}, 0D, (s, c) -> s + c.total_cost)")
-    return rows.select(
-        *keep,
-        "preorder",
-        F.col("n.depth").alias("depth"),
-        F.array_join(F.col("n.path").cast("array<string>"), ".").alias("path"),
-        F.when(F.col("n.depth") > 0, F.expr("array_join(cast(slice(n.path, 1, n.depth - 1) as array<string>), '.')")).alias("parent"),
-        F.col("n.node_type").alias("node_type"),
-        F.col("n.total_cost").alias("total_cost"),
-        F.col("n.actual_time_ms").alias("actual_time_ms"),
-        F.col("n.rows").alias("rows"),
-        F.col("n.joins").alias("joins"),
-        self_cost.alias("self_cost"),
-    )
+    self_cost = f"n.total_cost - aggregate({children}, 0D, (s, c) -> s + c.total_cost)"
+    flat = f"""transform(_nodes, (n, i) -> named_struct(
+        'preorder', i, 'depth', n.depth, 'path', array_join(cast(n.path as array<string>), '.'),
+        'parent', if(n.depth > 0, array_join(cast(slice(n.path, 1, n.depth - 1) as array<string>), '.'), null),
+        'node_type', n.node_type, 'total_cost', n.total_cost, 'actual_time_ms', n.actual_time_ms, 'rows', n.rows,
+        'joins', n.joins, 'self_cost', {self_cost}))"""
+    # the outer form: there always is a root, and the plain form would unfold the tree again to test for emptiness
+    return _unfold(plans, preorder=True).select(*keep, F.explode_outer(F.expr(flat)).alias("_n")).select(*keep, "_n.*")
 
 
 def count_node_type(nodes: str, node_type: str) -> Column:
@@ -119,9 +112,12 @@ def plan_metrics(plans: DataFrame, keep_text: bool = False) -> DataFrame:
     keep = [c for c in plans.columns if keep_text or c != "plan_json"]
     tree = _unfold(plans)
     root = F.element_at("_nodes", 1)
-    # the first node in preorder that reaches the highest cost
-    top = F.expr("filter(_nodes, n -> n.total_cost = array_max(transform(_nodes, m -> m.total_cost)))[0]")
-    child = F.expr("filter(_nodes, n -> n.depth = 1)[0]")
+    # the first node in preorder (the least path) among those that reach the highest cost
+    highest = F.expr("array_max(transform(_nodes, n -> n.total_cost))")
+    tied = F.expr("filter(_nodes, n -> n.total_cost = _highest)")
+    top = F.expr("get(filter(_tied, n -> size(_tied) = 1 or n.path = array_min(transform(_tied, m -> m.path))), 0)")
+    child = F.expr("get(filter(_nodes, n -> n.depth = 1), 0)")
+    tree = tree.withColumn("_highest", highest).withColumn("_tied", tied)
     tree = tree.withColumns({"_r": root, "_top": top, "_child": child})
     # what a serialized summary shows: node types everywhere, other fields only inside the costliest node
     summary = F.lower(
@@ -212,4 +208,4 @@ def observe(plans: DataFrame, largest_table: int) -> DataFrame:
 def sample_observations(observations: DataFrame, n: int, level: int = 1) -> DataFrame:
     """The first ``n`` observations by seed at one level whose plan has a sequential scan."""
     wanted = (F.col("task_level") == level) & (F.coalesce(F.col("seq_scans"), F.lit(0)) >= 1)
-    return observations.filter(wanted).orderBy("seed").limit(max(1, n))
+    return observations.filter(wanted).orderBy("seed", *[c for c in ("plan_id",) if c in observations.columns]).limit(max(1, n))
