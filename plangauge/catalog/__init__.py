@@ -6,7 +6,7 @@ from importlib import import_module
 
 from plangauge.catalog.base import Catalog
 
-MODULES = ("tpch", "plans")
+MODULES = ("tpch", "plans", "scoring")
 
 
 def all_queries() -> Catalog:
