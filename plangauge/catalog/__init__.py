@@ -6,7 +6,7 @@ from importlib import import_module
 
 from plangauge.catalog.base import Catalog
 
-MODULES = ("tpch", "plans", "scoring")
+MODULES = ("tpch", "plans", "scoring", "benchmarks", "series")
 
 
 def all_queries() -> Catalog:

@@ -122,10 +122,10 @@ def compare_runs(summaries: DataFrame, run: Column, baseline: str, trained: str)
     )
 
 
-def cte_share(texts: DataFrame, text: str = "text", threshold: float = 0.40) -> DataFrame:
+def cte_share(texts: DataFrame, text: str = "text", threshold: float = 0.40, keys: list[str] | None = None) -> DataFrame:
     """Share of texts with a WITH clause, and whether it reaches the threshold."""
     share = F.coalesce(F.avg(has_cte(F.col(text)).cast("int")), F.lit(0.0))
-    return texts.agg(share.alias("cte_rate"), F.count("*").alias("samples_checked")).withColumn(
+    return texts.groupBy(*(keys or [])).agg(share.alias("cte_rate"), F.count("*").alias("samples_checked")).withColumn(
         "pass", F.col("cte_rate") >= threshold
     )
 

@@ -64,6 +64,12 @@ def reward_series(history: DataFrame) -> DataFrame:
     return history.select(*RUN, "step", value.alias("reward")).filter(F.col("reward").isNotNull() & ~F.isnan("reward"))
 
 
+def filled(history: DataFrame) -> DataFrame:
+    """(run_id, step, the series columns) with the default in place of a null or NaN."""
+    values = [F.coalesce(no_nan(F.col(c)), F.lit(default)).alias(c) for c, (default, _) in SERIES_DEFAULTS.items()]
+    return history.select(*RUN, "step", *values)
+
+
 def first_rows(history: DataFrame, n: int) -> DataFrame:
     """First ``n`` rows per run; ``_rank`` counts from the start."""
     return top_n_per_key(history, RUN, [F.col("step").asc()], n, ["step"])
@@ -305,10 +311,8 @@ def aligned_series(history: DataFrame, length: int = SERIES_LENGTH) -> DataFrame
 
     Padding repeats the last value, or is 0 for penalties; a missing value within the run gets the default.
     """
-    columns = list(SERIES_DEFAULTS)
-    head = first_rows(history.select(*RUN, "step", *columns), length)
-    filled = [F.coalesce(no_nan(F.col(c)), F.lit(d)).alias(c) for c, (d, _) in SERIES_DEFAULTS.items()]
-    values = head.select(*RUN, (F.col("_rank") - 1).alias("episode"), *filled)
+    head = first_rows(filled(history), length)
+    values = head.select(*RUN, (F.col("_rank") - 1).alias("episode"), *SERIES_DEFAULTS)
     grid = head.select(*RUN).distinct().withColumn("episode", F.explode(F.sequence(F.lit(0), F.lit(length - 1))))
     rows = grid.join(values, [*RUN, "episode"], "left")
     upto = W.partitionBy(*RUN).orderBy("episode").rowsBetween(W.unboundedPreceding, 0)
@@ -326,7 +330,7 @@ def mark_scan_gains(history: DataFrame, least: float = 2.0) -> DataFrame:
 
 def series_summary(history: DataFrame, tail: int = 50, smooth: int = 20, spike: float = 3.0) -> DataFrame:
     """Per run: recent means, best reward, penalty totals, the last smoothed reward and the worst penalty spike."""
-    clean = history.select(*RUN, "step", *[F.coalesce(no_nan(F.col(c)), F.lit(d)).alias(c) for c, (d, _) in SERIES_DEFAULTS.items()])
+    clean = filled(history)
     whole = clean.groupBy(*RUN).agg(
         F.max("reward_mean").alias("best_reward"),
         F.sum("syntax_error").alias("syntax_errors"),
