@@ -88,7 +88,7 @@ def rolling(
 
 
 def join_per_key(
-    big: DataFrame, per_key: DataFrame, key: str, rows: str, how: str = "left", hot_rows: int = HOT_ROWS
+    big: DataFrame, per_key: DataFrame, key: str | list[str], rows: str, how: str = "left", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Join a big side to one row per key when single keys may be huge.
 
@@ -97,10 +97,11 @@ def join_per_key(
     ``total rows / hot_rows`` of them, whatever the data.  All other keys go by
     shuffle, where no key exceeds ``hot_rows``.
     """
-    hot = F.broadcast(per_key.filter(F.col(rows) > hot_rows))
+    keys = [key] if isinstance(key, str) else key
+    hot = per_key.filter(F.col(rows) > hot_rows)
     rest = per_key.filter(F.col(rows) <= hot_rows)
-    of_hot = big.join(hot, key, "inner")
-    of_rest = big.join(hot.select(key), key, "left_anti").join(rest, key, how)
+    of_hot = big.join(F.broadcast(hot), keys, "inner")
+    of_rest = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys, how)
     return of_hot.unionByName(of_rest)
 
 

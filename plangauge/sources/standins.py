@@ -135,6 +135,22 @@ STANDINS: dict[str, tuple[tuple[str, ...], str]] = {
           ELSE '  {"action": "' || action || '", "rewritten_query": ""}  ' END AS text
         FROM attempts""",
     ),
+    # every document and every rewritten query
+    "texts": (
+        ("attempts",),
+        """SELECT 'doc-' || CAST(doc_id AS STRING) AS text_id, text FROM documents
+        UNION ALL SELECT 'sql-' || CAST(event_id AS STRING), rewritten_query FROM attempts""",
+    ),
+    # many copies of few prompt texts
+    "prompt_batch": (
+        ("event_log",),
+        """SELECT event_id AS seed, event_id AS position, 'Rewrite query ' || CAST(k % 7 AS STRING) || ' of ' || event_type AS prompt
+        FROM event_log""",
+    ),
+    "prompt_seeds": (
+        ("prompt_batch",),
+        """SELECT prompt, MIN(seed) AS seed FROM prompt_batch GROUP BY prompt HAVING MIN(seed) % 2 = 0""",
+    ),
 }
 
 
@@ -160,6 +176,6 @@ def base_views(spark: SparkSession, directory: str) -> None:
 
 def standin(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """One derived log table as a DataFrame."""
-    for table in ("events", "lineitem", "orders"):
+    for table in ("events", "lineitem", "orders", "documents"):
         spark.read.parquet(f"{directory}/{table}.parquet").createOrReplaceTempView(table)
     return spark.sql(f"{with_views(name)} SELECT * FROM {name}")
