@@ -6,7 +6,7 @@ from importlib import import_module
 
 from plangauge.catalog.base import Catalog
 
-MODULES = ("tpch", "plans", "scoring", "benchmarks", "series", "text")
+MODULES = ("sources", "tpch", "plans", "scoring", "benchmarks", "series", "text", "streams")
 
 
 def all_queries() -> Catalog:

@@ -16,10 +16,20 @@ from pyspark.sql.streaming import StreamingQuery
 from plangauge.operators import series
 
 
-def read_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
+def read_stream(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    fmt: str = "parquet",
+    files_per_batch: int | None = None,
+    name_pattern: str | None = None,
+) -> DataFrame:
+    """Files arriving in a folder, with a declared schema."""
     reader = spark.readStream.schema(schema).format(fmt)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if name_pattern:
+        reader = reader.option("pathGlobFilter", name_pattern)
     return reader.load(path)
 
 
