@@ -256,12 +256,12 @@ def e1(spark, d):
     "E2_episode_log",
     LOGS,
     METRICS
-    + """SELECT run_id, episode_id AS episode, run_id AS label, ROUND(episode_total_reward, 6) AS episode_total_reward,
-    ROUND(final_execution_ms, 6) AS final_execution_ms, ROUND(speedup_ratio, 6) AS speedup_ratio, syntax_errors AS syntax_penalties,
+    + """SELECT run_id, episode_id AS episode, run_id AS label, ROUND(episode_total_reward, 9) AS episode_total_reward,
+    ROUND(final_execution_ms, 9) AS final_execution_ms, ROUND(speedup_ratio, 9) AS speedup_ratio, syntax_errors AS syntax_penalties,
     result_changed AS result_penalties, task_level FROM metrics""",
 )
 def e2(spark, d):
-    return plain(episodes.episode_log(metrics(spark, d)))
+    return plain(episodes.episode_log(metrics(spark, d)), 9)
 
 
 @Q(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Reward weights, no-op penalties by step, divisor, failure penalties.
@@ -58,11 +58,10 @@ def speedup_ratio(old_ms: Column, new_ms: Column) -> Column:
 
 
 def reward_parts(
-    old_ms: Column, new_ms: Column, old: Mapping[str, Column], new: Mapping[str, Column], step: Column
+    old_ms: Column, new_ms: Column, ratio: Column, old: Mapping[str, Column], new: Mapping[str, Column], step: Column
 ) -> dict[str, Column]:
     """The six named components. ``old`` and ``new`` map plan field names to columns."""
     before, after = _number(old_ms), _number(new_ms)
-    ratio = speedup_ratio(old_ms, new_ms)
     speedup = F.lit(SPEEDUP_WEIGHT) * ratio
     for above, extra in SPEEDUP_STEPS:
         speedup = speedup + F.when(ratio > above, F.lit(extra)).otherwise(F.lit(0.0))
@@ -84,17 +83,28 @@ def reward_parts(
     }
 
 
-def reward(old_ms: Column, new_ms: Column, old: Mapping[str, Column], new: Mapping[str, Column], step: Column) -> Column:
-    """Struct of the six components, ``raw`` (their sum) and ``normalized`` (within [-1, 1])."""
-    parts = reward_parts(old_ms, new_ms, old, new, step)
-    raw = F.lit(0.0)
-    for part in parts.values():
-        raw = raw + part
-    scaled = raw / F.lit(DIVISOR)
-    normalized = F.when(F.isnan(scaled) | scaled.isNull(), F.lit(0.0)).otherwise(_clip(scaled, -1.0, 1.0))
-    return F.struct(
-        *[column.alias(name) for name, column in parts.items()], raw.alias("raw"), normalized.alias("normalized")
-    )
+def with_reward(
+    df: DataFrame,
+    old_ms: Column,
+    new_ms: Column,
+    old: Mapping[str, Column],
+    new: Mapping[str, Column],
+    step: Column,
+    into: str = "breakdown",
+) -> DataFrame:
+    """Add a struct of the six components, ``raw`` (their sum) and ``normalized`` (within [-1, 1]).
+
+    Built in stages, so that no component is written out more than once in the plan.
+    """
+    rows = df.withColumn("_ratio", speedup_ratio(old_ms, new_ms))
+    parts = reward_parts(old_ms, new_ms, F.col("_ratio"), old, new, step)
+    rows = rows.withColumns({f"_{name}": column for name, column in parts.items()})
+    rows = rows.withColumn("_raw", sum((F.col(f"_{name}") for name in parts), F.lit(0.0)))
+    scaled = F.col("_raw") / F.lit(DIVISOR)
+    normalized = F.when(F.isnan("_raw") | F.col("_raw").isNull(), F.lit(0.0)).otherwise(_clip(scaled, -1.0, 1.0))
+    fields = [F.col(f"_{name}").alias(name) for name in parts]
+    whole = F.struct(*fields, F.col("_raw").alias("raw"), normalized.alias("normalized"))
+    return rows.withColumn(into, whole).drop("_ratio", "_raw", *[f"_{name}" for name in parts])
 
 
 def audit_split(old: Mapping[str, Column], new: Mapping[str, Column], breakdown: str) -> dict[str, Column]:

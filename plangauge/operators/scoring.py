@@ -110,8 +110,8 @@ def score_attempts(attempts: DataFrame, initial: DataFrame, max_steps: int = MAX
         F.when(F.col("action") == "revert", F.col("best_query_before")).otherwise(F.col("rewritten_query")),
     )
     rows = rows.withColumn("new_plan", F.coalesce("_read", "old_plan"))
-    scored = R.reward(F.col("old_ms"), F.col("new_ms"), _plan("old_plan"), _plan("new_plan"), F.col("steps_before"))
-    rows = rows.withColumn("breakdown", F.when(F.col("accepted"), scored))
+    rows = R.with_reward(rows, F.col("old_ms"), F.col("new_ms"), _plan("old_plan"), _plan("new_plan"), F.col("steps_before"))
+    rows = rows.withColumn("breakdown", F.when(F.col("accepted"), F.col("breakdown")))
     rows = rows.withColumn(
         "reward", F.when(F.col("accepted"), F.col("breakdown.normalized")).otherwise(penalty(F.col("error")))
     )
@@ -141,4 +141,4 @@ def potential_gain(initial: DataFrame) -> DataFrame:
     plan, ms = R.ideal_plan(old, F.col("execution_ms"))
     staged = initial.withColumns({f"ideal_{name}": column for name, column in plan.items()}).withColumn("ideal_ms", ms)
     new = {name: F.col(f"ideal_{name}") for name in R.PLAN_FIELDS}
-    return staged.withColumn("potential", R.reward(F.col("execution_ms"), F.col("ideal_ms"), old, new, F.lit(0)))
+    return R.with_reward(staged, F.col("execution_ms"), F.col("ideal_ms"), old, new, F.lit(0), into="potential")

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plangauge.plans.tpch import net_price, pricing_summary
+from plangauge.plans.tpch import net_total, pricing_summary
 
 Tables = dict[str, DataFrame]
 
@@ -49,11 +49,11 @@ def early_filter(t: Tables, status: str = "F", first: str = "1993-01-01", last:
 
 def revenue_after_join(t: Tables, day: str = "1994-12-25") -> DataFrame:
     joined = t["lineitem"].join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey"))
-    return joined.filter(F.col("o_orderdate") < _day(day)).groupBy("o_orderkey").agg(F.sum(net_price()).alias("revenue"))
+    return joined.filter(F.col("o_orderdate") < _day(day)).groupBy("o_orderkey").agg(net_total().alias("revenue"))
 
 
 def revenue_before_join(t: Tables, day: str = "1994-12-25") -> DataFrame:
-    sums = t["lineitem"].groupBy("l_orderkey").agg(F.sum(net_price()).alias("revenue"))
+    sums = t["lineitem"].groupBy("l_orderkey").agg(net_total().alias("revenue"))
     wanted = t["orders"].filter(F.col("o_orderdate") < _day(day)).select("o_orderkey")
     return wanted.join(sums, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "revenue")
 
@@ -83,11 +83,11 @@ def grouped_threshold(t: Tables) -> DataFrame:
 
 def order_part_after_join(t: Tables) -> DataFrame:
     joined = t["lineitem"].join(t["orders"].select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return joined.groupBy("o_orderkey", "l_partkey").agg(F.sum(net_price()).alias("s"))
+    return joined.groupBy("o_orderkey", "l_partkey").agg(net_total().alias("s"))
 
 
 def order_part_before_join(t: Tables) -> DataFrame:
-    sums = t["lineitem"].groupBy("l_orderkey", "l_partkey").agg(F.sum(net_price()).alias("s"))
+    sums = t["lineitem"].groupBy("l_orderkey", "l_partkey").agg(net_total().alias("s"))
     joined = t["orders"].select("o_orderkey").join(sums, F.col("o_orderkey") == F.col("l_orderkey"))
     return joined.select("o_orderkey", "l_partkey", "s")
 

@@ -5,14 +5,20 @@ substitution values as defaults.  Line items are summed per join key before
 they meet another relation wherever the query allows it: the partial sums are
 combined on the map side, so an order or a part with a huge number of lines
 reaches the join as one row.
+
+Money is summed exactly, in whole units of 1/100, 1/10,000 or 1/1,000,000: long
+products inside the generated code, decimal totals.  This holds for columns
+stored as DECIMAL(15,2) and for doubles that hold two-digit values.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 D = dt.date
 
@@ -29,8 +35,38 @@ def _between_days(column: str, start: dt.date, interval: str) -> Column:
     return (F.col(column) >= _day(start)) & (F.col(column) < _plus(start, interval))
 
 
-def net_price() -> Column:
-    return F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount"))
+def hundredths(name: str) -> Column:
+    """A two-digit value as a whole number of hundredths."""
+    return F.round(F.col(name).cast("double") * 100).cast("long")
+
+
+def net_units() -> Column:
+    """Price after discount in 1/10,000."""
+    return hundredths("l_extendedprice") * (F.lit(100) - hundredths("l_discount"))
+
+
+def charge_units() -> Column:
+    """Price after discount and with tax in 1/1,000,000."""
+    return net_units() * (F.lit(100) + hundredths("l_tax"))
+
+
+def total(units: Column, digits: int) -> Column:
+    """Exact sum of whole units, as a decimal with ``digits`` places.
+
+    A single value must stay below 10^18 units; a larger one raises, it does not wrap.
+    """
+    return F.sum(units.cast("decimal(18,0)")) * F.lit(Decimal(1).scaleb(-digits))
+
+
+def net_total() -> Column:
+    return total(net_units(), 4)
+
+
+def _value_between(df: DataFrame, name: str, low: str, high: str) -> Column:
+    """Both edges included; on a double column the edges move out by half a hundredth, so no edge value is lost."""
+    if isinstance(df.schema[name].dataType, T.DecimalType):
+        return F.col(name).between(F.lit(Decimal(low)), F.lit(Decimal(high)))
+    return F.col(name).between(float(low) - 0.005, float(high) + 0.005)
 
 
 def pricing_summary(lineitem: DataFrame, end: dt.date = D(1998, 12, 1), days: int = 90, cutoff: Column | None = None) -> DataFrame:
@@ -40,13 +76,13 @@ def pricing_summary(lineitem: DataFrame, end: dt.date = D(1998, 12, 1), days: in
         lineitem.filter(F.col("l_shipdate") <= limit)
         .groupBy("l_returnflag", "l_linestatus")
         .agg(
-            F.sum("l_quantity").alias("sum_qty"),
-            F.sum("l_extendedprice").alias("sum_base_price"),
-            F.sum(net_price()).alias("sum_disc_price"),
-            F.sum(net_price() * (F.lit(1) + F.col("l_tax"))).alias("sum_charge"),
-            F.avg("l_quantity").alias("avg_qty"),
-            F.avg("l_extendedprice").alias("avg_price"),
-            F.avg("l_discount").alias("avg_disc"),
+            total(hundredths("l_quantity"), 2).alias("sum_qty"),
+            total(hundredths("l_extendedprice"), 2).alias("sum_base_price"),
+            net_total().alias("sum_disc_price"),
+            total(charge_units(), 6).alias("sum_charge"),
+            (total(hundredths("l_quantity"), 2) / F.count("l_quantity")).alias("avg_qty"),
+            (total(hundredths("l_extendedprice"), 2) / F.count("l_extendedprice")).alias("avg_price"),
+            (total(hundredths("l_discount"), 2) / F.count("l_discount")).alias("avg_disc"),
             F.count("*").alias("count_order"),
         )
         .orderBy("l_returnflag", "l_linestatus")
@@ -56,11 +92,11 @@ def pricing_summary(lineitem: DataFrame, end: dt.date = D(1998, 12, 1), days: in
 def forecast_revenue(
     lineitem: DataFrame, start: dt.date = D(1994, 1, 1), low: str = "0.05", high: str = "0.07", quantity: int = 24
 ) -> DataFrame:
-    """Q6: revenue from discounts in one year; the discount edges are compared as decimals."""
-    discount = F.col("l_discount").between(F.lit(low).cast("decimal(15,2)"), F.lit(high).cast("decimal(15,2)"))
+    """Q6: revenue from discounts in one year; both discount edges count."""
+    discount = _value_between(lineitem, "l_discount", low, high)
     return lineitem.filter(
         _between_days("l_shipdate", start, "1 year") & discount & (F.col("l_quantity") < F.lit(quantity))
-    ).agg(F.sum(F.col("l_extendedprice") * F.col("l_discount")).alias("revenue"))
+    ).agg(total(hundredths("l_extendedprice") * hundredths("l_discount"), 4).alias("revenue"))
 
 
 def promotion_share(lineitem: DataFrame, part: DataFrame, start: dt.date = D(1995, 9, 1), prefix: str = "PROMO") -> DataFrame:
@@ -68,7 +104,7 @@ def promotion_share(lineitem: DataFrame, part: DataFrame, start: dt.date = D(199
     per_part = (
         lineitem.filter(_between_days("l_shipdate", start, "1 month"))
         .groupBy("l_partkey")
-        .agg(F.sum(net_price()).alias("revenue"))
+        .agg(net_total().alias("revenue"))
     )
     promo = F.when(F.col("p_type").startswith(prefix), F.col("revenue")).otherwise(F.lit(0))
     share = F.lit(100).cast("double") * F.sum(promo).cast("double") / F.sum("revenue").cast("double")
@@ -91,7 +127,7 @@ def shipping_priority(
     """
     extra = [c for c in ("o_shippriority",) if c in orders.columns]
     lines = (
-        lineitem.filter(F.col("l_shipdate") > _day(day)).groupBy("l_orderkey").agg(F.sum(net_price()).alias("_r"))
+        lineitem.filter(F.col("l_shipdate") > _day(day)).groupBy("l_orderkey").agg(net_total().alias("_r"))
     )
     buyers = customer.filter(F.col("c_mktsegment") == segment).select("c_custkey")
     open_orders = orders.filter(F.col("o_orderdate") < _day(day)).select("o_orderkey", "o_custkey", "o_orderdate", *extra)
@@ -122,7 +158,7 @@ def local_supplier_volume(
     sellers = supplier.join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_nationkey", "n_name")
     year = orders.filter(_between_days("o_orderdate", start, "1 year")).select("o_orderkey", "o_custkey")
     bought = year.join(customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-    lines = lineitem.groupBy("l_orderkey", "l_suppkey").agg(F.sum(net_price()).alias("_r"))
+    lines = lineitem.groupBy("l_orderkey", "l_suppkey").agg(net_total().alias("_r"))
     return (
         lines.join(bought, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(sellers, (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("c_nationkey") == F.col("s_nationkey")))
@@ -143,7 +179,7 @@ def returned_items(
 ) -> DataFrame:
     """Q10: customers who lost the most revenue to returns in a quarter."""
     extra = [c for c in ("c_address", "c_phone", "c_comment") if c in customer.columns]
-    lines = lineitem.filter(F.col("l_returnflag") == flag).groupBy("l_orderkey").agg(F.sum(net_price()).alias("_r"))
+    lines = lineitem.filter(F.col("l_returnflag") == flag).groupBy("l_orderkey").agg(net_total().alias("_r"))
     quarter = orders.filter(_between_days("o_orderdate", start, "3 months")).select("o_orderkey", "o_custkey")
     lost = quarter.join(lines, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey").agg(F.sum("_r").alias("_r"))
     return (
@@ -255,12 +291,12 @@ def product_profit(
     lines = (
         lineitem.join(parts, F.col("l_partkey") == F.col("p_partkey"))
         .groupBy("l_orderkey", "l_partkey", "l_suppkey")
-        .agg(F.sum(net_price()).alias("_net"), F.sum("l_quantity").alias("_qty"))
+        .agg(net_total().alias("_net"), total(hundredths("l_quantity"), 2).alias("_qty"))
     )
     sellers = supplier.join(nation.select("n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey")).select(
         "s_suppkey", F.col("n_name").alias("nation")
     )
-    costs = partsupp.select("ps_partkey", "ps_suppkey", "ps_supplycost")
+    costs = partsupp.select("ps_partkey", "ps_suppkey", F.col("ps_supplycost").cast("decimal(15,2)").alias("ps_supplycost"))
     amount = F.col("_net") - F.col("ps_supplycost") * F.col("_qty")
     return (
         lines.join(costs, (F.col("ps_suppkey") == F.col("l_suppkey")) & (F.col("ps_partkey") == F.col("l_partkey")))
@@ -286,14 +322,15 @@ def small_quantity_revenue(
     parts = part.filter(wanted).select("p_partkey")
     per_quantity = (
         lineitem.groupBy("l_partkey", "l_quantity")
-        .agg(F.count("*").alias("_n"), F.sum("l_extendedprice").alias("_price"))
+        .agg(F.count("*").alias("_n"), total(hundredths("l_extendedprice"), 2).alias("_price"))
         .join(parts, F.col("l_partkey") == F.col("p_partkey"))
     )
+    quantity = hundredths("l_quantity").cast("decimal(18,0)")
     mean = per_quantity.groupBy(F.col("l_partkey").alias("_part")).agg(
-        F.sum(F.col("l_quantity") * F.col("_n")).alias("_qty"), F.sum("_n").alias("_lines")
+        F.sum(quantity * F.col("_n")).alias("_qty"), F.sum("_n").alias("_lines")
     )
     # quantity < fraction * qty / lines, without dividing
-    below = F.col("l_quantity") * F.col("_lines") < F.lit(fraction).cast("decimal(4,2)") * F.col("_qty")
+    below = quantity * F.col("_lines") < F.lit(Decimal(fraction)) * F.col("_qty")
     return (
         per_quantity.join(mean, F.col("l_partkey") == F.col("_part"))
         .filter(below)

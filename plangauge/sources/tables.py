@@ -78,7 +78,9 @@ def conform(df: DataFrame, name: str) -> DataFrame:
             out.append(column)
             continue
         integral = isinstance(field.dataType, (T.IntegerType, T.LongType)) and isinstance(want.dataType, T.LongType)
-        if field.dataType != want.dataType and not integral:
+        # money stored as doubles stays so: filters keep reaching the scan, and sums are exact in whole hundredths
+        money = isinstance(field.dataType, T.DoubleType) and isinstance(want.dataType, T.DecimalType)
+        if field.dataType != want.dataType and not integral and not money:
             column = column.cast(want.dataType)
         if want.metadata["padded"] and field.metadata.get("__CHAR_VARCHAR_TYPE_STRING", "").startswith("char"):
             column = F.rtrim(column)
