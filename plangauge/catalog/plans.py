@@ -74,7 +74,7 @@ TREE = f"""WITH RECURSIVE roots AS (
 
 
 def _plans(spark, d):
-    return standin(spark, d, "plans").select("plan_id", "plan_json")
+    return standin(spark, d, "plans", costly=True).select("plan_id", "plan_json")
 
 
 @Q(
@@ -202,5 +202,5 @@ def p13(spark, d):
     WHERE p.task_level = 1 AND m.seq_scans >= 1 ORDER BY p.seed, p.plan_id LIMIT 20""",
 )
 def p14(spark, d):
-    rows = plan_tree.plan_metrics(standin(spark, d, "plans").select("plan_id", "plan_json", "task_level", "seed"))
+    rows = plan_tree.plan_metrics(standin(spark, d, "plans", costly=True).select("plan_id", "plan_json", "task_level", "seed"))
     return plain(plan_tree.sample_observations(rows.select("plan_id", "task_level", "seed", "seq_scans"), 20).select("plan_id", "seed", "seq_scans"))

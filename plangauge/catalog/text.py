@@ -75,13 +75,13 @@ PARSED = rf"""WITH found AS (SELECT *, regexp_extract(text, '\{{[^{{}}]*\}}') AS
     CASE WHEN json_valid(text) AND COALESCE(a <> '', false) AND COALESCE(q <> '', false) THEN q END AS rewritten_query FROM parsed""",
 )
 def t4(spark, d):
-    rows = C.parse_strict(standin(spark, d, "completions").select("event_id", "text"))
+    rows = C.parse_strict(standin(spark, d, "completions", costly=True).select("event_id", "text"))
     return rows.select("event_id", "strict_ok", "strict.action", "strict.rewritten_query")
 
 
 @Q("T5_tolerant_parse", CO, PARSED + "SELECT event_id, act AS action, query AS rewritten_query FROM parsed")
 def t5(spark, d):
-    return C.parse_tolerant(standin(spark, d, "completions").select("event_id", "text")).select("event_id", "action", "rewritten_query")
+    return C.parse_tolerant(standin(spark, d, "completions", costly=True).select("event_id", "text")).select("event_id", "action", "rewritten_query")
 
 
 @Q(
@@ -92,7 +92,7 @@ def t5(spark, d):
     ROUND(AVG(CASE WHEN has_query THEN 1 ELSE 0 END), 6) AS query_share FROM parsed GROUP BY run_id""",
 )
 def t6(spark, d):
-    return plain(C.validity_by(C.parse_tolerant(standin(spark, d, "completions").select("run_id", "text")), ["run_id"]))
+    return plain(C.validity_by(C.parse_tolerant(standin(spark, d, "completions", costly=True).select("run_id", "text")), ["run_id"]))
 
 
 # Tampering -------------------------------------------------------------------------------
@@ -111,7 +111,7 @@ VARIANTS = rf"""WITH source AS (SELECT event_id, rewritten_query AS query FROM a
 
 
 def _variants(spark, d):
-    source = standin(spark, d, "attempts").select("event_id", F.col("rewritten_query").alias("query"))
+    source = standin(spark, d, "attempts", costly=True).select("event_id", F.col("rewritten_query").alias("query"))
     return sqltext.tamper_variants(source).drop("query")
 
 
@@ -155,7 +155,7 @@ def _clause(clause: str) -> str:
 )
 def t9(spark, d):
     start = standin(spark, d, "initial_obs").select(*scoring.EPISODE, "original_query")
-    rows = standin(spark, d, "attempts").select("event_id", *scoring.EPISODE, "rewritten_query").join(start, scoring.EPISODE)
+    rows = standin(spark, d, "attempts", costly=True).select("event_id", *scoring.EPISODE, "rewritten_query").join(start, scoring.EPISODE)
     before = F.concat("original_query", F.lit(" group by o_custkey"))
     after = F.concat("rewritten_query", F.lit(" GROUP BY o_custkey"))
     return rows.select("event_id", sqltext.changed_clause(before, after).alias("clause"))
@@ -172,7 +172,7 @@ def t9(spark, d):
     FROM sizes s LEFT JOIN pairs p ON s.prompt_id = p.prompt_id AND s.probe_id = p.probe_id""",
 )
 def t10(spark, d):
-    return plain(diversity.completion_diversity(standin(spark, d, "completions")))
+    return plain(diversity.completion_diversity(standin(spark, d, "completions", costly=True)))
 
 
 # Prompts ---------------------------------------------------------------------------------
@@ -205,7 +205,7 @@ _OPENING = lit(f"{W.role} {W.goal}\n\n{prompts.HEAD_SCHEMA}{SCHEMA_TEXT}")
 
 
 def _observations(spark, d):
-    rows = plan_tree.plan_metrics(standin(spark, d, "plans").drop("run_id", "seed", "task_level"), keep_text=True)
+    rows = plan_tree.plan_metrics(standin(spark, d, "plans", costly=True).drop("run_id", "seed", "task_level"), keep_text=True)
     return rows.withColumn("schema_context", F.lit(SCHEMA_TEXT)).withColumn("result_hash", F.md5(F.col("plan_id").cast("string")))
 
 
@@ -228,7 +228,7 @@ def t11(spark, d):
 
 @Q("T12_build_records", PLANS, SHOTS + f"SELECT plan_id, original_query AS query, md5(prompt) AS digest FROM ({_RECORD}) x")
 def t12(spark, d):
-    source = standin(spark, d, "plans")
+    source = standin(spark, d, "plans", costly=True)
     queries = source.select("plan_id", "original_query", F.lit(SCHEMA_TEXT).alias("schema_context"))
     metrics = plan_tree.plan_metrics(source.select("plan_id", "plan_json"), keep_text=True)
     times = source.select("plan_id", "execution_ms", F.md5(F.col("plan_id").cast("string")).alias("result_hash"))
@@ -270,7 +270,7 @@ def t13_plan(spark, d):
     || {lit(f'{chr(10) * 2}{prompts.OUTPUT_FORMAT}{W.answer}{W.short_answer}')} AS prompt FROM plans) x""",
 )
 def t13_base(spark, d):
-    rows = standin(spark, d, "plans").withColumn("schema_context", F.lit(SCHEMA_TEXT))
+    rows = standin(spark, d, "plans", costly=True).withColumn("schema_context", F.lit(SCHEMA_TEXT))
     return _digest(prompts.baseline_prompt(rows), "plan_id")
 
 
@@ -281,7 +281,7 @@ def t13_base(spark, d):
     + f"""SELECT plan_id, CASE WHEN body IS NULL THEN '' ELSE {lit(prompts.HEAD_PATTERNS)} || body || {lit(prompts.END_PATTERNS)} END AS block FROM obs""",
 )
 def t14(spark, d):
-    rows = plan_tree.plan_metrics(standin(spark, d, "plans").select("plan_id", "plan_json"))
+    rows = plan_tree.plan_metrics(standin(spark, d, "plans", costly=True).select("plan_id", "plan_json"))
     return rows.select("plan_id", prompts.few_shot_section(patterns.matching_ids(k=2)).alias("block"))
 
 

@@ -15,6 +15,16 @@ DEFAULT_SPAN = 1_000_000
 HOT_ROWS = 1_000_000
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give costly per-row work all cores when a scan has fewer pieces than there are cores.
+
+    Only for a plain scan: a table of many files or row groups already has more
+    pieces than cores and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def top_n_per_key(
     df: DataFrame, keys: list[str], order: list[Column], n: int, salt_by: list[str], salts: int = DEFAULT_SALTS
 ) -> DataFrame:

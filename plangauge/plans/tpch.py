@@ -17,6 +17,7 @@ import datetime as dt
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,7 +38,7 @@ def _between_days(column: str, start: dt.date, interval: str) -> Column:
 
 def hundredths(name: str) -> Column:
     """A two-digit value as a whole number of hundredths."""
-    return F.round(F.col(name).cast("double") * 100).cast("long")
+    return F.rint(F.col(name).cast("double") * 100).cast("long")
 
 
 def net_units() -> Column:
@@ -152,18 +153,21 @@ def local_supplier_volume(
     region_name: str = "ASIA",
     start: dt.date = D(1994, 1, 1),
 ) -> DataFrame:
-    """Q5: revenue per nation where customer and supplier share the nation."""
+    """Q5: revenue per nation where customer and supplier share the nation.
+
+    The region's suppliers cut the lines down before they are shuffled, and the
+    nation is part of the join key, so even a huge order is spread.
+    """
     nations = nation.join(region.filter(F.col("r_name") == region_name), F.col("n_regionkey") == F.col("r_regionkey"))
     nations = nations.select("n_nationkey", "n_name")
     sellers = supplier.join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_nationkey", "n_name")
     year = orders.filter(_between_days("o_orderdate", start, "1 year")).select("o_orderkey", "o_custkey")
     bought = year.join(customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-    lines = lineitem.groupBy("l_orderkey", "l_suppkey").agg(net_total().alias("_r"))
     return (
-        lines.join(bought, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(sellers, (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("c_nationkey") == F.col("s_nationkey")))
+        lineitem.join(sellers, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(bought, (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("s_nationkey") == F.col("c_nationkey")))
         .groupBy("n_name")
-        .agg(F.sum("_r").alias("revenue"))
+        .agg(net_total().alias("revenue"))
         .orderBy(F.desc("revenue"), "n_name")
     )
 
@@ -208,15 +212,19 @@ def ship_mode_priority(
     wanted = F.col(mode).isin(*modes) & _between_days(receipt, start, "1 year")
     if "l_commitdate" in lineitem.columns:
         wanted &= (F.col("l_commitdate") < F.col(receipt)) & (F.col("l_shipdate") < F.col("l_commitdate"))
-    lines = lineitem.filter(wanted).groupBy("l_orderkey", mode).agg(F.count("*").alias("_n"))
+    # one row per order with a count per mode: a single shuffle by order key serves the grouping and the join
+    lines = lineitem.filter(wanted).groupBy("l_orderkey").agg(*[F.count_if(F.col(mode) == m).alias(f"_{m}") for m in modes])
+    joined = lines.join(orders.select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
     urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+    sums = joined.groupBy(urgent.alias("_urgent")).agg(*[F.sum(f"_{m}").alias(m) for m in modes])
+    long = sums.unpivot(["_urgent"], list(modes), mode, "_n")
     return (
-        lines.join(orders.select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy(mode)
+        long.groupBy(mode)
         .agg(
-            F.sum(F.when(urgent, F.col("_n")).otherwise(0)).alias("high_line_count"),
-            F.sum(F.when(~urgent, F.col("_n")).otherwise(0)).alias("low_line_count"),
+            F.sum(F.when(F.col("_urgent"), F.col("_n")).otherwise(0)).alias("high_line_count"),
+            F.sum(F.when(~F.col("_urgent"), F.col("_n")).otherwise(0)).alias("low_line_count"),
         )
+        .filter(F.col("high_line_count") + F.col("low_line_count") > 0)
         .orderBy(mode)
     )
 
@@ -283,27 +291,20 @@ def product_profit(
     nation: DataFrame,
     word: str = "green",
 ) -> DataFrame:
-    """Q9: profit per supplier nation and order year for parts whose name contains a word.
-
-    Lines are reduced to the wanted parts and summed per (order, part, supplier) first.
-    """
+    """Q9: profit per supplier nation and order year for parts whose name contains a word."""
     parts = part.filter(F.col("p_name").contains(word)).select("p_partkey")
-    lines = (
-        lineitem.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy("l_orderkey", "l_partkey", "l_suppkey")
-        .agg(net_total().alias("_net"), total(hundredths("l_quantity"), 2).alias("_qty"))
-    )
     sellers = supplier.join(nation.select("n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey")).select(
         "s_suppkey", F.col("n_name").alias("nation")
     )
-    costs = partsupp.select("ps_partkey", "ps_suppkey", F.col("ps_supplycost").cast("decimal(15,2)").alias("ps_supplycost"))
-    amount = F.col("_net") - F.col("ps_supplycost") * F.col("_qty")
+    costs = partsupp.select("ps_partkey", "ps_suppkey", hundredths("ps_supplycost").alias("_cost"))
+    amount = net_units() - F.col("_cost") * hundredths("l_quantity")
     return (
-        lines.join(costs, (F.col("ps_suppkey") == F.col("l_suppkey")) & (F.col("ps_partkey") == F.col("l_partkey")))
-        .join(orders.select("o_orderkey", F.year("o_orderdate").alias("o_year")), F.col("o_orderkey") == F.col("l_orderkey"))
+        lineitem.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        .join(costs, (F.col("ps_suppkey") == F.col("l_suppkey")) & (F.col("ps_partkey") == F.col("l_partkey")))
         .join(sellers, F.col("s_suppkey") == F.col("l_suppkey"))
+        .join(orders.select("o_orderkey", F.year("o_orderdate").alias("o_year")), F.col("o_orderkey") == F.col("l_orderkey"))
         .groupBy("nation", "o_year")
-        .agg(F.sum(amount).alias("sum_profit"))
+        .agg(total(amount, 4).alias("sum_profit"))
         .orderBy("nation", F.desc("o_year"))
     )
 
@@ -313,26 +314,25 @@ def small_quantity_revenue(
 ) -> DataFrame:
     """Q17: yearly revenue lost if lines below a fraction of their part's mean quantity were dropped.
 
-    Lines are reduced to one row per (part, quantity) while being read, which is
-    all the mean and the comparison need: one pass over the line items, and no
-    part is ever larger than its number of distinct quantities.
+    The lines of the wanted parts are reduced to one row per (part, quantity),
+    which is all the mean and the comparison need.  So the line items are read
+    once, and the window sees at most the distinct quantities of a part, however
+    many lines it has.
     """
     if wanted is None:
         wanted = (F.col("p_brand") == "Brand#23") & (F.col("p_container") == "MED BOX")
     parts = part.filter(wanted).select("p_partkey")
     per_quantity = (
-        lineitem.groupBy("l_partkey", "l_quantity")
+        lineitem.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        .groupBy("l_partkey", "l_quantity")
         .agg(F.count("*").alias("_n"), total(hundredths("l_extendedprice"), 2).alias("_price"))
-        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
     )
     quantity = hundredths("l_quantity").cast("decimal(18,0)")
-    mean = per_quantity.groupBy(F.col("l_partkey").alias("_part")).agg(
-        F.sum(quantity * F.col("_n")).alias("_qty"), F.sum("_n").alias("_lines")
-    )
-    # quantity < fraction * qty / lines, without dividing
-    below = quantity * F.col("_lines") < F.lit(Decimal(fraction)) * F.col("_qty")
+    of_part = W.partitionBy("l_partkey")
+    # quantity < fraction * sum(quantity) / lines, without dividing
+    least = F.lit(Decimal(fraction)) * F.sum(quantity * F.col("_n")).over(of_part)
     return (
-        per_quantity.join(mean, F.col("l_partkey") == F.col("_part"))
-        .filter(below)
+        per_quantity.withColumn("_below", quantity * F.sum("_n").over(of_part) < least)
+        .filter("_below")
         .agg((F.sum("_price").cast("double") / F.lit(float(years))).alias("avg_yearly"))
     )

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plangauge.operators.skew import spread
+
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
@@ -174,8 +176,11 @@ def base_views(spark: SparkSession, directory: str) -> None:
         spark.read.parquet(f"{directory}/{name}.parquet").createOrReplaceTempView(name)
 
 
-def standin(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """One derived log table as a DataFrame."""
+def standin(spark: SparkSession, directory: str, name: str, costly: bool = False) -> DataFrame:
+    """One derived log table as a DataFrame; ``costly`` announces heavy per-row work on it."""
     for table in ("events", "lineitem", "orders", "documents"):
-        spark.read.parquet(f"{directory}/{table}.parquet").createOrReplaceTempView(table)
+        rows = spark.read.parquet(f"{directory}/{table}.parquet")
+        if costly and table == "events":
+            rows = spread(rows)
+        rows.createOrReplaceTempView(table)
     return spark.sql(f"{with_views(name)} SELECT * FROM {name}")
