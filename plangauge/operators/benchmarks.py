@@ -69,9 +69,10 @@ def best_speedup(rows: DataFrame, ordinal: str = "query_id") -> DataFrame:
     """Greatest speedup and its query; the first query by ``ordinal`` wins a tie."""
     best = rows.filter(F.col("speedup") > 0)
     top = best.agg(F.max("speedup").alias("best_speedup"), F.min_by("query_id", F.struct(-F.col("speedup"), F.col(ordinal))).alias("query_id"))
-    return top.withColumn(
-        "summary", F.coalesce(F.format_string("%.1fx on %s", F.col("best_speedup"), F.col("query_id")), F.lit(""))
-    ).withColumn("best_speedup", F.coalesce("best_speedup", F.lit(0.0)))
+    text = F.format_string("%.1fx on %s", F.bround("best_speedup", 1), F.col("query_id"))
+    return top.withColumn("summary", F.when(F.col("best_speedup").isNotNull(), text).otherwise(F.lit(""))).withColumn(
+        "best_speedup", F.coalesce("best_speedup", F.lit(0.0))
+    )
 
 
 def single_query_gate(

@@ -10,23 +10,28 @@ from pyspark.errors import AnalysisException
 from plangauge.operators.skew import top_n_per_key
 
 
-def _ddl(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+_KINDS = {"INT": T.IntegerType(), "BIGINT": T.LongType(), "DOUBLE": T.DoubleType(), "STRING": T.StringType()}
+
+
+def _columns(text: str) -> T.StructType:
+    """A schema from "name TYPE, ..."; works before there is a session."""
+    pairs = [item.split() for item in text.split(",")]
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in pairs])
 
 
 # Canonical schemas of the log tables.
-EPISODES = _ddl(
+EPISODES = _columns(
     "episode INT, label STRING, episode_total_reward DOUBLE, final_execution_ms DOUBLE, speedup_ratio DOUBLE, "
     "syntax_penalties INT, result_penalties INT, task_level INT"
 )
-HISTORY = _ddl(
+HISTORY = _columns(
     "run_id STRING, step BIGINT, reward_mean DOUBLE, env_reward DOUBLE, speedup_ratio DOUBLE, result_changed DOUBLE, "
     "syntax_error DOUBLE, seq_scans_removed DOUBLE, episode_length DOUBLE, task_level DOUBLE, action STRING, "
     "rewrite_unchanged INT, noop INT"
 )
-TIMINGS = _ddl("query_id STRING, variant STRING, rep INT, ms DOUBLE, result_hash STRING")
-PLANS = _ddl("plan_id BIGINT, plan_json STRING")
-COMPLETIONS = _ddl("prompt_id BIGINT, sample_id INT, text STRING")
+TIMINGS = _columns("query_id STRING, variant STRING, rep INT, ms DOUBLE, result_hash STRING")
+PLANS = _columns("plan_id BIGINT, plan_json STRING")
+COMPLETIONS = _columns("prompt_id BIGINT, sample_id INT, text STRING")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
