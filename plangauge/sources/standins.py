@@ -8,6 +8,8 @@ leaves out rows: the log tables grow with the given tables.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from plangauge.operators.skew import spread
@@ -171,14 +173,16 @@ def with_views(*names: str) -> str:
     return "WITH " + ",\n".join(f"{name} AS ({STANDINS[name][1]})" for name in ordered) + "\n"
 
 
-def base_views(spark: SparkSession, directory: str) -> None:
-    for name in BASE_TABLES:
-        spark.read.parquet(f"{directory}/{name}.parquet").createOrReplaceTempView(name)
+def base_tables_of(name: str) -> list[str]:
+    """The given tables that a derived table reads."""
+    needed, sql = STANDINS[name]
+    own = [t for t in BASE_TABLES if re.search(rf"\bFROM {t}\b", sql)]
+    return list(dict.fromkeys(own + [t for n in needed for t in base_tables_of(n)]))
 
 
 def standin(spark: SparkSession, directory: str, name: str, costly: bool = False) -> DataFrame:
     """One derived log table as a DataFrame; ``costly`` announces heavy per-row work on it."""
-    for table in ("events", "lineitem", "orders", "documents"):
+    for table in base_tables_of(name):
         rows = spark.read.parquet(f"{directory}/{table}.parquet")
         if costly and table == "events":
             rows = spread(rows)
