@@ -307,7 +307,7 @@ def t15(spark, d):
 
 _LIMIT = 1600
 _A1 = "'Attempt 1 (result: +0.10 reward):' || chr(10) || lang || chr(10) || chr(10)"
-_A2 = "'Attempt 2 (result: -0.20 reward (penalty)):' || chr(10) || substr(text, 1, 400) || chr(10) || chr(10)"
+_A2 = "'Attempt 2 (result: -0.20 reward (penalty)):' || chr(10) || source || ' ' || lang || ' ' || CAST(doc_id AS VARCHAR) || chr(10) || chr(10)"
 _A3 = "'Attempt 3 (result: +0.30 reward):' || chr(10) || source || chr(10)"
 _S1 = "'Rewrite.' || chr(10) || chr(10)"
 
@@ -328,8 +328,7 @@ _S1 = "'Rewrite.' || chr(10) || chr(10)"
 )
 def t16(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    # the second attempt quotes the start of the text; the schema section holds the whole text
-    rewrites = F.array("lang", F.substring("text", 1, 400), "source")
+    rewrites = F.array("lang", F.concat_ws(" ", "source", "lang", F.col("doc_id").cast("string")), "source")
     tried = prompts.previous_attempts(rewrites, F.array(F.lit(0.1), F.lit(-0.2), F.lit(0.3)))
     text = F.concat(
         F.lit("Rewrite.\n\n" + prompts.HEAD_SCHEMA),

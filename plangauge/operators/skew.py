@@ -2,6 +2,7 @@
 
 Windows partitioned by a key put the whole key in one task.  The helpers here
 cut a key into bounded pieces first and stitch the pieces with small totals.
+Key columns must not be null.
 """
 
 from __future__ import annotations

@@ -176,6 +176,7 @@ def with_views(*names: str) -> str:
 def base_tables_of(name: str) -> list[str]:
     """The given tables that a derived table reads."""
     needed, sql = STANDINS[name]
+    sql = re.sub(r"'[^']*'", "''", sql)  # quoted query texts name tables too
     own = [t for t in BASE_TABLES if re.search(rf"\bFROM {t}\b", sql)]
     return list(dict.fromkeys(own + [t for n in needed for t in base_tables_of(n)]))
 
