@@ -74,7 +74,8 @@ def _unfold(plans: DataFrame, preorder: bool = False) -> DataFrame:
     start = f"""named_struct(
         'done', {_EMPTY.format(_NODE)},
         'front', cast(array(named_struct('path', {_EMPTY.format('int')}, 'joins', {_is_join('_root')}, 'raw', _root)) as array<{_FRONT}>))"""
-    nodes = f"aggregate(sequence(1, coalesce({levels}, 1)), {start}, (a, i) -> {step}, a -> a.done)"
+    # the bound is generous for wide trees, so steps after the last level pass the result on
+    nodes = f"aggregate(sequence(1, coalesce({levels}, 1)), {start}, (a, i) -> if(size(a.front) = 0, a, {step}), a -> a.done)"
     if preorder:  # the order of the paths
         nodes = f"array_sort({nodes}, (l, r) -> case when l.path < r.path then -1 when l.path > r.path then 1 else 0 end)"
     return rooted.withColumn("_nodes", F.expr(nodes)).drop("_doc", "_root")
