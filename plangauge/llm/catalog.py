@@ -7,7 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from plangauge.catalog.base import Catalog
-from plangauge.llm import decontaminate, host_rules, language, line_chunks, mixing, quality, token_planes
+from plangauge.llm import decontaminate, host_rules, language, line_chunks, mixing, quality, recompression, token_planes
 from plangauge.llm.common import fold_column, read
 
 CATALOG = Catalog()
@@ -69,3 +69,9 @@ def op9(spark, d):
 @Q("op10_token_planes")
 def op10(spark, d):
     return token_planes.round_trip(read(spark, d, "documents").select("doc_id", "text"), tokenizer_path())
+
+
+@Q("op2_recompression")
+def op2(spark, d):
+    done = recompression.remove_repeats(read(spark, d, "documents"), with_text=False)
+    return done.select("doc_id", "n_words", "n_removed", "kept_sha256")
