@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -35,10 +36,17 @@ def read(spark: SparkSession, directory: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{table}.parquet")
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps, which it does when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def keep(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
     path = new_work_dir(df.sparkSession, purpose)
     df.write.parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -6,9 +6,8 @@ and of the right name is 1.  A new name is a hash of what it stands for, so equa
 equal names everywhere without a table of names, except near their ends.
 
 For each window, the symbols that any surroundings would give are followed through the
-rounds; the last round that leaves some is its level, and the one with the least hash its
-anchor.  Both depend on the window's words alone, so equal windows have equal anchors at equal
-offsets.  Spark counts anchors; only windows around repeated anchors are compared, first all windows
+rounds; of those that the last round leaves (or, if it leaves none, the last that leaves some),
+the one with the least hash is its anchor, long symbols first.  The choice depends on the window's words alone, so equal windows have equal anchors at equal offsets.  Spark counts anchors; only windows around repeated anchors are compared, first all windows
 that share an anchor at once, then, where that differs, window by window (128 bits).
 
 Nulls and texts shorter than a window lose nothing.  Rows that share an id are told apart by the
@@ -29,8 +28,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from plangauge.llm.common import WordHashes, keep, map_rows, mix, words
 
 WINDOW = 35
-ROUNDS = 9
-RUN_ROUNDS = (0, 3, 6)
+ROUNDS = 5
+RUN_ROUNDS = (0,)
+LONG = 4
 BASE = 0x9E3779B97F4A7C15 | 1
 CHUNK_WORDS = 120_000
 
@@ -74,7 +74,8 @@ def anchors(hashes: list[np.ndarray], window: int = WINDOW, rounds: int = ROUNDS
     alive, first, last = np.arange(len(begin)), begin.copy(), begin + window - 1
 
     def settle(done: np.ndarray, level: int) -> None:
-        ranked = mix(symbols + np.uint64(level * 2 + 1))
+        ranked = mix(symbols + np.uint64(level * 2 + 1)) >> np.uint64(1)
+        ranked[np.diff(at, append=len(line)) < LONG] |= np.uint64(1 << 63)
         best = _least(ranked, first[done], last[done])
         place[alive[done]], name[alive[done]] = at[best], ranked[best]
 
@@ -213,14 +214,13 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     table = keep(anchor_table(docs, window), "anchors")
     often = table.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name")
     table = keep(table.join(often, "name"), "repeated-anchors")
-    place = F.struct("doc_id", "text_hash", "first")
+    place = F.xxhash64("doc_id", "text_hash", "first")
     alike = table.groupBy("name", "whole").agg(F.count("*").alias("n"), F.min(place).alias("shown"))
     kinds = alike.groupBy("name").agg((F.count("*") > 1).alias("differ"))
-    alike = keep(alike.join(kinds, "name"), "anchor-kinds")
-    rated = keep(table.join(alike, ["name", "whole"]), "rated-anchors")
+    rated = keep(table.join(alike.join(kinds, "name"), ["name", "whole"]).select("doc_id", "text_hash", "name", "first", "last", "n", "differ", (place == F.col("shown")).alias("shown")), "rated-anchors")
     whole = rated.filter("n > 1").select("doc_id", "text_hash", "first", "last")
     # different surroundings: one of each kind is compared window by window
-    unsure = rated.filter(F.col("differ") & ((F.col("n") == 1) | place.eqNullSafe(F.col("shown"))))
+    unsure = rated.filter(F.col("differ") & ((F.col("n") == 1) | F.col("shown")))
     listed = unsure.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "last", "name")).alias("listed"))
     listed = listed.withColumnsRenamed({"doc_id": "of_doc", "text_hash": "of_text"})
     some = docs.join(listed, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_hash") == F.col("of_text")))
