@@ -42,12 +42,24 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+class Kept:
+    """A table written to the shared folder and read back: lineage ends there and lost executors cost nothing."""
+
+    def __init__(self, df: DataFrame, purpose: str):
+        self.spark, self.path = df.sparkSession, new_work_dir(df.sparkSession, purpose)
+        df.write.parquet(self.path)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        release(self.spark)
+
+    def drop(self) -> None:
+        """Delete the table, once everything made from it is kept itself."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def keep(df: DataFrame, purpose: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
-    path = new_work_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    release(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """A :class:`Kept` table that stays."""
+    return Kept(df, purpose).df
 
 
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., Iterable[tuple]]], slice_rows: int = 512) -> DataFrame:

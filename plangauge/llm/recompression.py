@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from plangauge.llm.common import WordHashes, keep, map_rows, mix, words
+from plangauge.llm.common import Kept, WordHashes, keep, map_rows, mix, words
 
 WINDOW = 35
 ROUNDS = 5
@@ -210,32 +210,41 @@ def _window_table(docs: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, text_hash, first, last: ranges of first words of the windows that start elsewhere too."""
-    table = keep(anchor_table(docs, window), "anchors")
-    often = table.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name")
-    table = keep(table.join(often, "name"), "repeated-anchors")
-    place = F.xxhash64("doc_id", "text_hash", "first")
+    """doc_id, text_hash, ranges (first, last): first words of the windows that start elsewhere too."""
+    every = Kept(anchor_table(docs, window), "anchors")
+    often = every.df.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name")
+    repeated = Kept(every.df.join(often, "name"), "repeated-anchors")
+    every.drop()
+    table, place = repeated.df, F.xxhash64("doc_id", "text_hash", "first")
     alike = table.groupBy("name", "whole").agg(F.count("*").alias("n"), F.min(place).alias("shown"))
     kinds = alike.groupBy("name").agg((F.count("*") > 1).alias("differ"))
-    rated = keep(table.join(alike.join(kinds, "name"), ["name", "whole"]).select("doc_id", "text_hash", "name", "first", "last", "n", "differ", (place == F.col("shown")).alias("shown")), "rated-anchors")
-    whole = rated.filter("n > 1").select("doc_id", "text_hash", "first", "last")
+    rated = table.join(alike.join(kinds, "name"), ["name", "whole"])
+    rated = Kept(rated.select("doc_id", "text_hash", "name", "first", "last", "n", "differ", (place == F.col("shown")).alias("shown")), "rated-anchors")
+    repeated.drop()
+    whole = rated.df.filter("n > 1").select("doc_id", "text_hash", "first", "last")
     # different surroundings: one of each kind is compared window by window
-    unsure = rated.filter(F.col("differ") & ((F.col("n") == 1) | F.col("shown")))
+    unsure = rated.df.filter(F.col("differ") & ((F.col("n") == 1) | F.col("shown")))
     listed = unsure.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "last", "name")).alias("listed"))
-    listed = listed.withColumnsRenamed({"doc_id": "of_doc", "text_hash": "of_text"})
-    some = docs.join(listed, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_hash") == F.col("of_text")))
-    windows = keep(_window_table(some.select("doc_id", "text_hash", "text", "listed"), window), "windows")
-    twice = windows.groupBy("name", "hash").agg(F.count("*").alias("n")).filter("n > 1").select("name", "hash")
-    single = windows.join(twice, ["name", "hash"]).select("doc_id", "text_hash", "first", F.col("first").alias("last"))
-    return whole.unionByName(single)
+    some = _join_row(docs, listed, "inner")
+    windows = Kept(_window_table(some.select("doc_id", "text_hash", "text", "listed"), window), "windows")
+    twice = windows.df.groupBy("name", "hash").agg(F.count("*").alias("n")).filter("n > 1").select("name", "hash")
+    single = windows.df.join(twice, ["name", "hash"]).select("doc_id", "text_hash", "first", F.col("first").alias("last"))
+    found = whole.unionByName(single).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+    found = keep(found, "repeated-windows")
+    rated.drop()
+    windows.drop()
+    return found
+
+
+def _join_row(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    found = found.withColumnsRenamed({"doc_id": "of_doc", "text_hash": "of_text"})
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_hash") == F.col("of_text")), how)
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, removed (word ranges [start, end)) and, if asked, the kept text of every row."""
     docs = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    found = repeated_windows(docs, window).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
-    found = found.withColumnsRenamed({"doc_id": "of_doc", "text_hash": "of_text"})
-    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_hash") == F.col("of_text")), "left")
+    joined = _join_row(docs, repeated_windows(docs, window), "left")
 
     def make():
         def work(ids, texts, ranges):
