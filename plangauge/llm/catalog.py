@@ -7,7 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from plangauge.catalog.base import Catalog
-from plangauge.llm import decontaminate, host_rules, language, line_chunks, mixing, quality, recompression, token_planes
+from plangauge.llm import decontaminate, host_rules, language, line_chunks, mixing, near_copies, quality, recompression, token_planes
 from plangauge.llm.common import fold_column, read
 
 CATALOG = Catalog()
@@ -75,3 +75,9 @@ def op10(spark, d):
 def op2(spark, d):
     done = recompression.remove_repeats(read(spark, d, "documents"), with_text=False)
     return done.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@Q("op6_near_copies")
+def op6(spark, d):
+    classes = near_copies.near_copies(read(spark, d, "documents").select("doc_id", "text"))
+    return classes.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("is_first"))

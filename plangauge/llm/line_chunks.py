@@ -71,9 +71,10 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text: str = "text", modulus:
     parts = parts.select(place, F.col("part.n_lines").alias("n_lines"), F.xxhash64("part.body").alias("hash"), F.col("part.body").alias("body"))
     counts = parts.groupBy("hash").agg(F.min("place").alias("first"), F.max("place").alias("last"))
     counts = counts.filter(~F.col("first").eqNullSafe(F.col("last"))).select("hash", "first")
+    counts = keep(counts, "repeated-chunks")  # a stored side lets adaptive execution split a hot hash of the other
     found = keep(parts.join(counts, "hash"), "line-chunks")
     is_first = F.col("place").eqNullSafe(F.col("first"))
-    firsts = found.filter(is_first).groupBy("hash").agg(F.max("body").alias("first_body"))
+    firsts = keep(found.filter(is_first).groupBy("hash").agg(F.max("body").alias("first_body")), "first-chunks")
     others = found.filter(~is_first).join(firsts, "hash").filter(F.col("body") == F.col("first_body"))
     return others.select("place.*", "n_lines")
 

@@ -213,14 +213,18 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, text_hash, ranges (first, last): first words of the windows that start elsewhere too."""
     every = Kept(anchor_table(docs, window), "anchors")
     often = every.df.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name")
-    repeated = Kept(every.df.join(often, "name"), "repeated-anchors")
+    often = Kept(often, "repeated-names")  # a stored side lets adaptive execution split a hot name of the other
+    repeated = Kept(every.df.join(often.df, "name"), "repeated-anchors")
     every.drop()
+    often.drop()
     table, place = repeated.df, F.xxhash64("doc_id", "text_hash", "first")
     alike = table.groupBy("name", "whole").agg(F.count("*").alias("n"), F.min(place).alias("shown"))
     kinds = alike.groupBy("name").agg((F.count("*") > 1).alias("differ"))
-    rated = table.join(alike.join(kinds, "name"), ["name", "whole"])
+    alike = Kept(alike.join(kinds, "name"), "kinds")
+    rated = table.join(alike.df, ["name", "whole"])
     rated = Kept(rated.select("doc_id", "text_hash", "name", "first", "last", "n", "differ", (place == F.col("shown")).alias("shown")), "rated-anchors")
     repeated.drop()
+    alike.drop()
     whole = rated.df.filter("n > 1").select("doc_id", "text_hash", "first", "last")
     # different surroundings: one of each kind is compared window by window
     unsure = rated.df.filter(F.col("differ") & ((F.col("n") == 1) | F.col("shown")))
@@ -228,11 +232,13 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     some = _join_row(docs, listed, "inner")
     windows = Kept(_window_table(some.select("doc_id", "text_hash", "text", "listed"), window), "windows")
     twice = windows.df.groupBy("name", "hash").agg(F.count("*").alias("n")).filter("n > 1").select("name", "hash")
-    single = windows.df.join(twice, ["name", "hash"]).select("doc_id", "text_hash", "first", F.col("first").alias("last"))
+    twice = Kept(twice, "repeated-keys")
+    single = windows.df.join(twice.df, ["name", "hash"]).select("doc_id", "text_hash", "first", F.col("first").alias("last"))
     found = whole.unionByName(single).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
     found = keep(found, "repeated-windows")
     rated.drop()
     windows.drop()
+    twice.drop()
     return found
 
 
