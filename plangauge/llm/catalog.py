@@ -7,7 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from plangauge.catalog.base import Catalog
-from plangauge.llm import decontaminate, host_rules, language, line_chunks, mixing, near_copies, quality, recompression, token_planes
+from plangauge.llm import decontaminate, host_rules, language, line_chunks, main_text, mixing, near_copies, quality, recompression, token_planes
 from plangauge.llm.common import fold_column, read
 
 CATALOG = Catalog()
@@ -81,3 +81,9 @@ def op2(spark, d):
 def op6(spark, d):
     classes = near_copies.near_copies(read(spark, d, "documents").select("doc_id", "text"))
     return classes.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("is_first"))
+
+
+@Q("op8_main_text")
+def op8(spark, d):
+    pages = read(spark, d, "pages")
+    return main_text.main_text(pages, main_text.train(pages))

@@ -104,9 +104,9 @@ def spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
 
 def scan(
     df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id",
-    item_text: str = "text", window: int = WINDOW, block_chars: int = 64_000_000, with_spans: bool = False,
+    item_text: str = "text", window: int = WINDOW, block_chars: int = 64_000_000, with_spans: bool = False, carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted as strings) and, if asked, spans of every document; no shuffle.
+    """doc_id, n_words, n_hit, items (sorted as strings), if asked spans, and columns ``carry`` of every document; no shuffle.
 
     The test set is the stated query set.  It is held in one automaton up to
     ``block_chars`` characters of patterns (checked here); a larger one goes block
@@ -114,8 +114,16 @@ def scan(
     """
     blocks = list(load_patterns(benchmark, item_id, item_text, window, block_chars)) or [{}]
     kinds = dict(df.dtypes)
-    state = df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), F.lit(None).cast("binary").alias("flags"), F.array().cast("array<string>").alias("items"))
-    schema = f"doc_id {kinds[id_col]}, n_words long, n_hit long, items array<string>" + (", spans array<struct<start:int,end:int>>" if with_spans else "")
+    names = [f"c{i}" for i in range(len(carry))]
+    state = df.select(
+        F.col(id_col).alias("doc_id"), F.col(text).alias("text"), F.lit(None).cast("binary").alias("flags"), F.array().cast("array<string>").alias("items"),
+        *[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names)],
+    )
+    between = state.schema
+    schema = ", ".join([
+        f"doc_id {kinds[id_col]}, n_words long, n_hit long, items array<string>", *["spans array<struct<start:int,end:int>>"] * with_spans,
+        *[f"{n} {kinds[c]}" for c, n in zip(carry, names)],
+    ])
 
     for at, block in enumerate(blocks):
         shared, last = df.sparkSession.sparkContext.broadcast(block), at == len(blocks) - 1
@@ -123,24 +131,21 @@ def scan(
         def make(shared=shared, last=last):
             scanner = Scanner(shared.value)
 
-            def work(ids, texts, flags, items):
-                for i, t, f, x in zip(ids, texts, flags, items):
+            def work(ids, texts, flags, items, *rest):
+                for i, t, f, x, *others in zip(ids, texts, flags, items, *rest):
                     n, hit, found = scanner(t)
                     if f is not None:
                         hit = hit | np.frombuffer(f, dtype=bool)
                     found = sorted(found.union(x))
                     if not last:
-                        yield i, t, hit.tobytes(), found
+                        yield i, t, hit.tobytes(), found, *others
                     elif with_spans:
-                        yield i, n, int(hit.sum()), found, [{"start": a, "end": b} for a, b in spans(t or "", hit)]
+                        yield i, n, int(hit.sum()), found, [{"start": a, "end": b} for a, b in spans(t or "", hit)], *others
                     else:
-                        yield i, n, int(hit.sum()), found
+                        yield i, n, int(hit.sum()), found, *others
 
             return work
 
-        state = map_rows(state, schema if last else f"doc_id {kinds[id_col]}, text string, flags binary, items array<string>", make)
-    return state
-
-
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+        state = map_rows(state, schema if last else between, make)
+    own = [c for c in state.columns if c not in names]
+    return state.select(*own, *[F.col(n).alias(c) for c, n in zip(carry, names) if c not in own])

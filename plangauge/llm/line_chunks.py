@@ -72,10 +72,10 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text: str = "text", modulus:
     counts = parts.groupBy("hash").agg(F.min("place").alias("first"), F.max("place").alias("last"))
     counts = counts.filter(~F.col("first").eqNullSafe(F.col("last"))).select("hash", "first")
     counts = keep(counts, "repeated-chunks")  # a stored side lets adaptive execution split a hot hash of the other
-    found = keep(parts.join(counts, "hash"), "line-chunks")
+    found = keep(parts.join(counts.hint("merge"), "hash"), "line-chunks")
     is_first = F.col("place").eqNullSafe(F.col("first"))
     firsts = keep(found.filter(is_first).groupBy("hash").agg(F.max("body").alias("first_body")), "first-chunks")
-    others = found.filter(~is_first).join(firsts, "hash").filter(F.col("body") == F.col("first_body"))
+    others = found.filter(~is_first).join(firsts.hint("merge"), "hash").filter(F.col("body") == F.col("first_body"))
     return others.select("place.*", "n_lines")
 
 
@@ -86,7 +86,7 @@ def remove_repeated(df: DataFrame, id_col: str = "doc_id", text: str = "text", m
     own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != "line_chunks"]).alias("row"))
     row_id, row_text = F.col(f"row.`{id_col}`"), F.col(f"row.`{text}`")
     own = own.withColumn("own_hash", F.xxhash64(row_text))
-    joined = own.join(gone, row_id.eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash")), "left")
+    joined = own.join(gone.hint("merge"), row_id.eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash")), "left")
 
     def kept(parts: Column) -> Column:
         left = F.filter(parts, lambda part, i: ~F.array_contains("gone", i))

@@ -7,7 +7,7 @@ candidates.  Two texts are linked if their shingle sequences align to a similari
 
 Exact copies are one node.  In every key, members meet the member with most company; any two that both are
 linked to it are in one class.  Members that are not linked to it meet everyone who was compared with
-the same centre, in blocks of bounded size, so no candidate pair is lost and no bucket is expanded.
+the same centre, in blocks of bounded size, so no candidate pair is lost and no bucket is expanded.  Joins that carry texts are merge joins at every size.
 
 Null texts and texts without words are classes of their own, unless they are exact copies.  Rows that share an
 id are one document; a row without an id joins the class of its exact copies or has none.
@@ -146,8 +146,8 @@ def star_pairs(found: DataFrame) -> DataFrame:
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """centre, node, linked."""
-    with_node = pairs.join(texts, "node")
-    both = with_node.join(texts.select(F.col("node").alias("centre"), F.col("text").alias("centre_text")), "centre")
+    with_node = pairs.join(texts.hint("merge"), "node")
+    both = with_node.join(texts.select(F.col("node").alias("centre"), F.col("text").alias("centre_text")).hint("merge"), "centre")
 
     def make():
         known = WordHashes()
@@ -176,7 +176,7 @@ def compare_rest(verified: DataFrame, texts: DataFrame, threshold: float, block:
     every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
     open_ = rows.filter(~F.col("linked")).withColumn("parts", blocks("n_open")).select("centre", "node", F.lit(True).alias("open"), own.alias("i"), every("n").alias("j"))
     all_ = rows.withColumn("parts", blocks("n")).select("centre", "node", F.lit(False).alias("open"), every("n_open").alias("i"), own.alias("j"))
-    dealt = open_.unionByName(all_).join(texts, "node")
+    dealt = open_.unionByName(all_).join(texts.hint("merge"), "node")
     kind = dict(texts.dtypes)["node"]
     schema = verified.sparkSession.createDataFrame([], f"a {kind}, b {kind}").schema
     arrow = to_arrow_schema(schema)
@@ -234,7 +234,7 @@ def near_copies(
     wanted = pairs.select("node").unionByName(pairs.select(F.col("centre").alias("node"))).distinct()
     docs = df.select(F.col(id_col).alias("node"), F.col(text).alias("text"))
     # rows that share an id count once: the least hash of their texts
-    texts = keep(docs.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "candidate-texts")
+    texts = keep(docs.join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "candidate-texts")
     verified = keep(verify(pairs, texts, threshold), "verified")
     links = verified.filter("linked").select(F.col("centre").alias("a"), F.col("node").alias("b"))
     edges = keep(links.unionByName(compare_rest(verified, texts, threshold)), "links")
@@ -249,4 +249,4 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", **option
     stay = keep(stay.select(F.col("doc_id").alias("of_doc"), F.col("h1").alias("of_h1"), F.col("h2").alias("of_h2")).distinct(), "first-of-class")
     own = df.withColumns({"_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(1), text)})
     same = F.col(f"`{id_col}`").eqNullSafe(F.col("of_doc")) & (F.col("_h1") == F.col("of_h1")) & (F.col("_h2") == F.col("of_h2"))
-    return own.join(stay, same, "left_semi").dropDuplicates([id_col, "_h1", "_h2"]).drop("_h1", "_h2")
+    return own.join(stay.hint("merge"), same, "left_semi").dropDuplicates([id_col, "_h1", "_h2"]).drop("_h1", "_h2")

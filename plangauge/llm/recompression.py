@@ -244,7 +244,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def _join_row(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
     found = found.withColumnsRenamed({"doc_id": "of_doc", "text_hash": "of_text"})
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_hash") == F.col("of_text")), how)
+    return docs.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_hash") == F.col("of_text")), how)
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, with_text: bool = True) -> DataFrame:
