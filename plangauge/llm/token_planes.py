@@ -15,6 +15,8 @@ ordered by the hash of their text.  An empty table gives empty tables.
 from __future__ import annotations
 
 import struct
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -72,40 +74,68 @@ class PlaneFormat:
         return np.ascontiguousarray(raw).view("<u4").ravel()
 
 
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+STOPS = frozenset(b".,")
+MARK = "\x01"
+
+
+def worker_cache(name: str) -> dict:
+    """A dict that outlives the task in a Python worker that Spark uses again."""
+    home = sys.modules.setdefault("plangauge_worker_cache", types.ModuleType("plangauge_worker_cache"))
+    return home.__dict__.setdefault(name, {})
+
+
 class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes.
 
-    The tokenizer drops white space, so the ids of a text are those of its blank-separated
-    pieces in turn.  Pieces are encoded together, once, and remembered up to ``limit`` of them.
+    The tokenizer drops white space and ignores case, so the ids of a text are those of its
+    blank-separated, lower-cased pieces in turn.  Pieces are encoded together, once, and remembered up to
+    ``limit`` of them; a stop behind an ASCII letter or digit is a piece of its own.  Texts that may hold a
+    special token, or the mark that parts pieces, are encoded as they are.
     """
 
-    limit = 500_000
+    limit = 1_000_000
+    together = 64
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        starts = np.cumsum([0] + [len(p) + 1 for p in pieces])
-        found = self.tokenizer.encode(" ".join(pieces), add_special_tokens=False)
-        ids = np.array(found.ids, dtype="<u4")
-        places = np.array([a for a, _ in found.offsets], dtype=np.int64)
-        cuts = np.searchsorted(places, starts)  # offsets ascend
-        raw = ids.tobytes()
-        for p, a, b in zip(pieces, cuts[:-1].tolist(), cuts[1:].tolist()):
-            self.known[p] = raw[4 * a : 4 * b]
+        self.known: dict[bytes, bytes] = worker_cache(path)
+        self.mark = self._plain([f"a {MARK}"])[0][-1]
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        step = self.together
+        groups = [pieces[i : i + step] for i in range(0, len(pieces), step)]
+        lines = [f" {MARK} ".join([p.decode("utf-8") for p in g]) for g in groups]
+        for group, ids in zip(groups, self._plain(lines)):
+            cuts = np.flatnonzero(ids == self.mark)
+            raw, starts, ends = ids.tobytes(), [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
+            for p, a, b in zip(group, starts, ends):
+                self.known[p] = raw[4 * a : 4 * b]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [[p for p in t.replace("\n", " ").split(" ") if p] if t else [] for t in texts]
+        known, split, whole = self.known, [], {}
+        for i, t in enumerate(texts):
+            raw = t.encode("utf-8") if t else b""
+            if b"<|" in raw or b"\x01" in raw:
+                whole[i] = self._plain([t])[0].tobytes()
+                raw = b""
+            split.append(raw.translate(LOWER).split())
         new = set().union(*split)
-        if len(self.known) + len(new) > self.limit:
-            self.known.clear()
-        new.difference_update(self.known)
-        if new:
-            self._learn(sorted(new))
-        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in split]
+        if len(known) + len(new) > self.limit:  # the first learned are the most frequent: they stay
+            for p in list(known)[self.limit // 2 :]:
+                del known[p]
+        new.difference_update(known)
+        stopped = {p for p in new if len(p) > 1 and p[-1] in STOPS and (97 <= p[-2] <= 122 or 48 <= p[-2] <= 57)}
+        parts = {x for p in stopped for x in (p[:-1], p[-1:])}
+        self._learn(sorted((new - stopped) | parts.difference(known)))
+        for p in stopped:
+            known[p] = known[p[:-1]] + known[p[-1:]]
+        return [whole[i] if i in whole else b"".join(map(known.__getitem__, pieces)) for i, pieces in enumerate(split)]
 
 
 BLOCK_SCHEMA = "shard int, block int, n_ids int, planes binary, docs array<struct<id:{id},end:int>>"
