@@ -75,7 +75,7 @@ class PlaneFormat:
 
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-STOPS = frozenset(b".,")
+ENDINGS = b"!#$%&*+,-./:;<=>?@\\^_`|~()[]{}\""
 MARK = "\x01"
 
 
@@ -90,51 +90,59 @@ class Encoder:
 
     The tokenizer drops white space and ignores case, so the ids of a text are those of its
     blank-separated, lower-cased pieces in turn.  Pieces are encoded together, once, and remembered up to
-    ``limit`` of them; a stop behind an ASCII letter or digit is a piece of its own.  Texts that may hold a
-    special token, or the mark that parts pieces, are encoded as they are.
+    ``limit`` of them; marks at the end of a piece, behind a Latin letter or digit, are encoded apart.  Texts
+    that may hold a special token, or the mark that parts pieces, are encoded as they are.
     """
 
-    limit = 1_000_000
+    limit = 500_000
     together = 64
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # words of a-z alone need no normalization, and are one piece each
+        self.letters.normalizer, self.letters.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
         self.known: dict[bytes, bytes] = worker_cache(path)
-        self.mark = self._plain([f"a {MARK}"])[0][-1]
 
-    def _plain(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        step = self.together
-        groups = [pieces[i : i + step] for i in range(0, len(pieces), step)]
-        lines = [f" {MARK} ".join([p.decode("utf-8") for p in g]) for g in groups]
-        for group, ids in zip(groups, self._plain(lines)):
-            cuts = np.flatnonzero(ids == self.mark)
-            raw, starts, ends = ids.tobytes(), [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
-            for p, a, b in zip(group, starts, ends):
-                self.known[p] = raw[4 * a : 4 * b]
+    def _learn(self, tokenizer, mark: str, pieces: list[bytes]) -> None:
+        ids_of = lambda texts: [np.array(e.ids, dtype="<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        mark_id, step = ids_of([f"a {mark}"])[0][-1], self.together
+        for at in range(0, len(pieces), 64 * step):
+            groups = [pieces[i : i + step] for i in range(at, min(at + 64 * step, len(pieces)), step)]
+            for group, ids in zip(groups, ids_of([f" {mark} ".join([p.decode("utf-8") for p in g]) for g in groups])):
+                cuts = np.flatnonzero(ids == mark_id)
+                raw, starts, ends = ids.tobytes(), [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
+                for p, a, b in zip(group, starts, ends):
+                    self.known[p] = raw[4 * a : 4 * b]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         known, split, whole = self.known, [], {}
         for i, t in enumerate(texts):
             raw = t.encode("utf-8") if t else b""
             if b"<|" in raw or b"\x01" in raw:
-                whole[i] = self._plain([t])[0].tobytes()
+                whole[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
                 raw = b""
             split.append(raw.translate(LOWER).split())
         new = set().union(*split)
         if len(known) + len(new) > self.limit:  # the first learned are the most frequent: they stay
             for p in list(known)[self.limit // 2 :]:
                 del known[p]
-        new.difference_update(known)
-        stopped = {p for p in new if len(p) > 1 and p[-1] in STOPS and (97 <= p[-2] <= 122 or 48 <= p[-2] <= 57)}
-        parts = {x for p in stopped for x in (p[:-1], p[-1:])}
-        self._learn(sorted((new - stopped) | parts.difference(known)))
-        for p in stopped:
-            known[p] = known[p[:-1]] + known[p[-1:]]
+        ended, single = {}, set()
+        for p in new:
+            if p in known:
+                continue
+            base = p.rstrip(ENDINGS)
+            if len(base) < len(p) and base and (base[-1:].isalnum() or (base[-1] >= 128 and "\xc0" <= base.decode("utf-8")[-1] < "\u0250" and base.decode("utf-8")[-1].isalpha())):
+                ended[p] = (base, p[len(base) :])
+                single.update(ended[p])
+            else:
+                single.add(p)
+        single = sorted(p for p in single if p not in known)
+        self._learn(self.letters, "0", [p for p in single if p.isalpha()])
+        self._learn(self.tokenizer, MARK, [p for p in single if not p.isalpha()])
+        for p, (base, marks) in ended.items():
+            known[p] = known[base] + known[marks]
         return [whole[i] if i in whole else b"".join(map(known.__getitem__, pieces)) for i, pieces in enumerate(split)]
 
 
