@@ -14,6 +14,7 @@ ordered by the hash of their text.  An empty table gives empty tables.
 
 from __future__ import annotations
 
+import os
 import struct
 import sys
 import types
@@ -94,10 +95,11 @@ class Encoder:
     that may hold a special token, or the mark that parts pieces, are encoded as they are.
     """
 
-    limit = 500_000
+    limit = 400_000
     together = 64
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each task one core
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
