@@ -75,7 +75,7 @@ class Scanner:
         tokens = normal(text).split()
         items: set[str] = set()
         ends = []
-        if tokens:
+        if tokens and len(self.automaton):
             joined = b" " + b" ".join(tokens) + b" "
             line = joined.decode("utf-8", "surrogateescape")
             ends = [(end, n, ids) for end, (n, ids) in self.automaton.iter(line)]
