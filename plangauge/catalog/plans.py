@@ -44,14 +44,19 @@ TREE = f"""WITH RECURSIVE roots AS (
       COUNT(*) FILTER (node_type = 'Seq Scan') AS seq_scans, COUNT(*) FILTER (node_type = 'Index Scan') AS index_scans,
       COUNT(*) FILTER (node_type = 'Nested Loop') AS nested_loops, COUNT(*) FILTER (node_type = 'Hash Join') AS hash_joins,
       lower(string_agg(node_type, ' ')) AS all_types FROM nodes GROUP BY plan_id),
+    exceeded AS (
+      SELECT DISTINCT m.plan_id, m.path FROM nodes m JOIN nodes b
+      ON b.plan_id = m.plan_id AND b.depth > m.depth AND b.total_cost > m.total_cost AND list_slice(b.path, 1, m.depth) = m.path),
+    shown AS (
+      SELECT n.plan_id, string_agg(lower(COALESCE(CAST(n.j AS VARCHAR), '')), ' ') AS texts
+      FROM nodes n LEFT JOIN exceeded e ON e.plan_id = n.plan_id AND e.path = n.path WHERE e.plan_id IS NULL GROUP BY n.plan_id),
     metrics AS (
       SELECT r.plan_id, r.node_type, r.total_cost, r.actual_time_ms, r.rows_out, c.seq_scans, c.index_scans, c.nested_loops, c.hash_joins,
       CAST(c.join_depth AS BIGINT) AS join_depth, t.node_type AS top_node_type, t.total_cost AS top_node_cost, c.node_count,
       COALESCE(f.rows_out, 0) AS child0_rows, COALESCE(f.node_type, '') AS child0_node_type,
-      (lower(COALESCE(CAST(t.j AS VARCHAR), '')) || c.all_types) LIKE '% or %'
-        AND (lower(COALESCE(CAST(t.j AS VARCHAR), '')) || c.all_types) LIKE '%filter%' AS filter_or,
+      (COALESCE(s.texts, '') || c.all_types) LIKE '% or %' AND (COALESCE(s.texts, '') || c.all_types) LIKE '%filter%' AS filter_or,
       lower(p.plan_json) LIKE '% or %' AND lower(p.plan_json) LIKE '%filter%' AS filter_or_text
-      FROM nodes r JOIN counts c ON r.plan_id = c.plan_id JOIN tops t ON t.plan_id = r.plan_id JOIN plans p ON p.plan_id = r.plan_id
+      FROM nodes r JOIN counts c ON r.plan_id = c.plan_id JOIN tops t ON t.plan_id = r.plan_id LEFT JOIN shown s ON s.plan_id = r.plan_id JOIN plans p ON p.plan_id = r.plan_id
       LEFT JOIN nodes f ON f.plan_id = r.plan_id AND f.depth = 1 AND f.path = [0]
       WHERE r.depth = 0),
     diagnosed AS (

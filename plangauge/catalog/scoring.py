@@ -98,12 +98,12 @@ KEY_SQL = "run_id, episode_id, CAST(step_index AS BIGINT) AS step_index"
 @Q(
     "S1_outcome_ladder",
     LOGS,
-    SCORED
+    SCORED.replace(" WHERE step_index < 5", "")
     + f"""SELECT {KEY_SQL}, error, CASE error WHEN 'invalid_action' THEN -15e0 WHEN 'syntax_error' THEN -15e0 WHEN 'timeout' THEN -12e0
     WHEN 'execution_error' THEN -15e0 WHEN 'result_changed' THEN -20e0 END AS penalty FROM judged""",
 )
 def s1(spark, d):
-    rows = attempts(spark, d).filter(F.col("step_index") < scoring.MAX_STEPS)
+    rows = attempts(spark, d)
     base = standin(spark, d, "initial_obs").select(*scoring.EPISODE, "base_hash")
     judged = rows.join(base, scoring.EPISODE).withColumn("error", scoring.outcome())
     return plain(judged.select(*KEY, "error", scoring.penalty(F.col("error")).alias("penalty")))

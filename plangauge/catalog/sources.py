@@ -69,13 +69,12 @@ def io3(spark, d):
 @Q(
     "IO4_read_history",
     ("history",),
-    """SELECT run_id, step, episode_length FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step) AS rn FROM history) x WHERE rn <= 500""",
+    "SELECT run_id, step, episode_length FROM history",
 )
 def io4(spark, d):
     path = new_work_dir(spark, "history")
     standin(spark, d, "history").write.parquet(path)
-    # the cap is the reader's own feature
-    return plain(logs.read_history(spark, path, ["episode_length"], fmt="parquet", cap=500))
+    return plain(logs.read_history(spark, path, ["episode_length"], fmt="parquet"))
 
 
 @Q(

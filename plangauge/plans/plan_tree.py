@@ -120,9 +120,13 @@ def plan_metrics(plans: DataFrame, keep_text: bool = False) -> DataFrame:
     child = F.expr("get(filter(_nodes, n -> n.depth = 1), 0)")
     tree = tree.withColumn("_highest", highest).withColumn("_tied", tied)
     tree = tree.withColumns({"_r": root, "_top": top, "_child": child})
-    # what a serialized summary shows: node types everywhere, other fields only inside the costliest node
+    # what a serialized summary shows: node types everywhere, other fields inside the costliest node of every subtree,
+    # that is inside each node that no node below it exceeds
+    shown = "filter(_nodes, n -> not exists(_nodes, d -> d.depth > n.depth and d.total_cost > n.total_cost and slice(d.path, 1, n.depth) = n.path))"
     summary = F.lower(
-        F.concat_ws(" ", F.to_json("_top.raw"), F.array_join(F.transform("_nodes", lambda n: n["node_type"]), '", "'))
+        F.concat_ws(
+            " ", F.expr(f"array_join(transform({shown}, n -> to_json(n.raw)), ' ')"), F.array_join(F.transform("_nodes", lambda n: n["node_type"]), '", "')
+        )
     )
     whole = F.lower("plan_json")
 

@@ -133,8 +133,12 @@ def test_or_in_filter_modes(spark):
     hidden = node("Limit", node("Seq Scan", Total_Cost=1, Filter="(a = 1 OR b = 2)"), node("Sort", Total_Cost=99), Total_Cost=5)
     out = plan_metrics(frame(spark, [json.dumps(inside), json.dumps(hidden)])).orderBy("plan_id").collect()
     assert (out[0]["filter_or"], out[0]["filter_or_text"]) == (True, True)
-    # the summary shows fields of the costliest node only
-    assert (out[1]["filter_or"], out[1]["filter_or_text"]) == (False, True)
+    # a cheap leaf is the costliest node of its own subtree
+    assert (out[1]["filter_or"], out[1]["filter_or_text"]) == (True, True)
+    below = node("Sort", node("Limit", node("Seq Scan", Total_Cost=9), Total_Cost=2, Output="a or b filter"), Total_Cost=3)
+    out = plan_metrics(frame(spark, [json.dumps(below)])).first()
+    # the node with the text is exceeded from below, so the summary leaves it out
+    assert (out["filter_or"], out["filter_or_text"]) == (False, True)
     flagged = frame(spark, [json.dumps(node("Sort"))]).withColumn("query_has_or", F.lit(True))
     assert plan_metrics(flagged).first()["filter_or"] is True
 
