@@ -7,7 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from plangauge.catalog.base import Catalog
-from plangauge.llm import decontaminate, host_rules, language, line_chunks, main_text, mixing, near_copies, quality, recompression, token_planes
+from plangauge.llm import decontaminate, host_rules, language, line_chunks, main_text, mixing, near_copies, quality, recompression, sql, token_planes
 from plangauge.llm.common import fold_column, read
 
 CATALOG = Catalog()
@@ -31,13 +31,13 @@ def op1(spark, d):
     return language.identify(docs, model, carry=["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-@Q("op3_host_rules")
+@Q("op3_host_rules", (), sql.HOST_RULES)
 def op3(spark, d):
     judged = host_rules.judge(read(spark, d, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-@Q("op4_decontamination")
+@Q("op4_decontamination", (), sql.DECONTAMINATION)
 def op4(spark, d):
     found = decontaminate.scan(read(spark, d, "documents"), read(spark, d, "benchmark"))
     return found.select(
@@ -54,13 +54,13 @@ def op5(spark, d):
     return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
-@Q("op7_line_chunks")
+@Q("op7_line_chunks", (), sql.LINE_CHUNKS)
 def op7(spark, d):
     done = line_chunks.remove_repeated(read(spark, d, "documents").select("doc_id", "text"))
     return done.select("doc_id", "line_chunks.n_lines", "line_chunks.n_removed", F.sha2(F.coalesce("line_chunks.text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-@Q("op9_mixing")
+@Q("op9_mixing", (), sql.MIXING)
 def op9(spark, d):
     mixed = mixing.mix(read(spark, d, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
