@@ -71,7 +71,7 @@ def op10(spark, d):
     return token_planes.round_trip(read(spark, d, "documents").select("doc_id", "text"), tokenizer_path())
 
 
-@Q("op2_recompression")
+@Q("op2_recompression", (), sql.RECOMPRESSION)
 def op2(spark, d):
     done = recompression.remove_repeats(read(spark, d, "documents"), with_text=False)
     return done.select("doc_id", "n_words", "n_removed", "kept_sha256")

@@ -219,12 +219,13 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     often.drop()
     table, place = repeated.df, F.xxhash64("doc_id", "text_hash", "first")
     alike = table.groupBy("name", "whole").agg(F.count("*").alias("n"), F.min(place).alias("shown"))
-    kinds = alike.groupBy("name").agg((F.count("*") > 1).alias("differ"))
-    alike = Kept(alike.join(kinds, "name"), "kinds")
-    rated = table.join(alike.df, ["name", "whole"])
+    alike = Kept(alike, "surroundings")
+    kinds = Kept(alike.df.groupBy("name").agg((F.count("*") > 1).alias("differ")), "kinds")
+    rated = table.join(alike.df, ["name", "whole"]).join(kinds.df, "name")
     rated = Kept(rated.select("doc_id", "text_hash", "name", "first", "last", "n", "differ", (place == F.col("shown")).alias("shown")), "rated-anchors")
     repeated.drop()
     alike.drop()
+    kinds.drop()
     whole = rated.df.filter("n > 1").select("doc_id", "text_hash", "first", "last")
     # different surroundings: one of each kind is compared window by window
     unsure = rated.df.filter(F.col("differ") & ((F.col("n") == 1) | F.col("shown")))

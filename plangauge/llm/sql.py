@@ -56,3 +56,12 @@ MIXING = rf"""WITH sized AS (SELECT doc_id, source, md5(COALESCE(CAST(doc_id AS
       CAST(COALESCE(SUM(size) OVER (PARTITION BY sized.source ORDER BY draw, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
       FROM sized JOIN targets ON targets.source IS NOT DISTINCT FROM sized.source)
     SELECT doc_id, size, source_size, target, {' + '.join(f'GREATEST(0, LEAST(size, wanted - before - {k} * source_size))' for k in range(3))} AS taken FROM run"""
+
+RECOMPRESSION = rf"""WITH d AS (SELECT doc_id, regexp_extract_all(COALESCE(text, ''), {_WORD}) AS w FROM documents),
+    windows AS (SELECT doc_id, k, md5(array_to_string(list_slice(w, k, k + 34), ' ')) AS g FROM (SELECT doc_id, w, UNNEST(range(1, len(w) - 33)) AS k FROM d WHERE len(w) >= 35) x),
+    often AS (SELECT doc_id, k FROM (SELECT doc_id, k, COUNT(*) OVER (PARTITION BY g) AS n FROM windows) x WHERE n > 1),
+    gone AS (SELECT DISTINCT doc_id, UNNEST(range(k, k + 35)) AS p FROM often),
+    placed AS (SELECT doc_id, UNNEST(w) AS word, UNNEST(range(1, len(w) + 1)) AS p FROM d),
+    kept AS (SELECT doc_id, COUNT(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM placed ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - COALESCE(n, 0) AS n_removed, sha256(COALESCE(t, '')) AS kept_sha256
+    FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id"""
