@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plangauge.catalog.base import Catalog, plain
 from plangauge.catalog.benchmarks import CTE_SQL
-from plangauge.operators import benchmarks, episodes, equality, series
+from plangauge.operators import benchmarks, episodes, series
 from plangauge.sources.standins import standin
 
 CATALOG = Catalog()
@@ -35,17 +35,13 @@ def _rolling(column: str, width: int) -> str:
     return f"AVG({column}) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN {width - 1} PRECEDING AND CURRENT ROW)"
 
 
-# A short chunk, so that runs are cut into many pieces on the given data too; a cluster uses the default.
-SPAN = 4096
-
-
 @Q(
     "M1_rolling_mean_full",
     H,
     FILLED + f"SELECT run_id, step, ROUND(m, 6) AS reward_mean_10 FROM (SELECT run_id, step, pos, {_rolling('reward', 10)} AS m FROM rewards) x WHERE pos >= 10",
 )
 def m1(spark, d):
-    rows = series.rolling_mean(series.reward_series(_history(spark, d)), ["reward"], 10, full_only=True, span=SPAN)
+    rows = series.rolling_mean(series.reward_series(_history(spark, d)), ["reward"], 10, full_only=True)
     return plain(rows.select("run_id", "step", F.col("reward_mean").alias("reward_mean_10")))
 
 
@@ -57,7 +53,7 @@ def m1(spark, d):
     FROM filled""",
 )
 def m2(spark, d):
-    rows = series.rolling_mean(series.filled(_history(spark, d)), ["reward_mean", "result_changed"], 20, span=SPAN)
+    rows = series.rolling_mean(series.filled(_history(spark, d)), ["reward_mean", "result_changed"], 20)
     return plain(rows.select("run_id", "step", F.col("reward_mean_mean").alias("reward_20"), F.col("result_changed_mean").alias("changed_20")), 9)
 
 
@@ -235,7 +231,7 @@ def _verdict(spark, d):
         F.when((F.col("run_id") == "run-2") & F.col("timed_out"), "late").otherwise("h").alias("result_hash"),
     )
     base = times.select("query_id", F.lit("h").alias("base_hash")).distinct()
-    rows = benchmarks.benchmark_rows(benchmarks.median_timings(times), equality.all_repetitions_match(times, base))
+    rows = benchmarks.benchmark(times, base)
     gate = benchmarks.single_query_gate(rows).select(F.col("query_id").alias("run_id"), "pass", F.lit(False).alias("skipped"))
     cte = episodes.cte_share(standin(spark, d, "completions"), keys=["run_id"]).withColumn("skipped", F.lit(False))
     named = {

@@ -87,7 +87,7 @@ def io4(spark, d):
 def io5(spark, d):
     path = new_work_dir(spark, "benchmark")
     rows = benchmarks.benchmark(standin(spark, d, "timings"), standin(spark, d, "timing_baselines"))
-    logs.write_benchmark(rows, benchmarks.benchmark_verdict(rows), path)
+    logs.write_benchmark(rows, benchmarks.benchmark_verdict, path)
     queries = spark.read.schema(rows.schema).json(f"{path}/queries").select("query_id", "baseline_ms", "trained_ms", "hash_match_trained")
     summary = spark.read.schema("avg_speedup DOUBLE, passed BOOLEAN").json(f"{path}/summary")
     last = summary.select(

@@ -129,9 +129,10 @@ def q2(spark, d):
 
 @Q("Q2_minimum_cost_supplier_sql", (PS,), Q2_SQL)
 def q2_sql(spark, d):
-    for name, df in tables(spark, d, "part", "supplier", "partsupp", "nation", "region").items():
-        df.createOrReplaceTempView(name)
-    return plain(spark.sql(tpch.MINIMUM_COST_SQL.format(size=15, suffix="ALL", region="EUROPE", n=100)), 2)
+    t = tables(spark, d, "part", "supplier", "partsupp", "nation", "region")
+    given = ",\n".join(f"{name} AS (SELECT * FROM {{given_{name}}})" for name in t)
+    text = tpch.MINIMUM_COST_SQL.format(size=15, suffix="ALL", region="EUROPE", n=100)
+    return plain(spark.sql(f"WITH {given}\n{text}", **{f"given_{name}": df for name, df in t.items()}), 2)
 
 
 @Q(

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plangauge.operators.equality import all_repetitions_match
-from plangauge.operators.skew import HOT_ROWS, exact_median
+from plangauge.operators.skew import exact_median
 
 # Floor of a trained time, benchmark rule, limits of the single-query gate in ms.
 MS_FLOOR = 1e-6
@@ -17,24 +16,18 @@ GATE_TARGET_MS = 500.0
 GATE_STRETCH_MS = 310.0
 
 
-def median_timings(timings: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Exact median time per query and variant; queries with very many timings are handled by counting."""
-    return exact_median(timings, ["query_id", "variant"], "ms", hot_rows).select(
-        "query_id", "variant", F.col("median").alias("median_ms"), F.col("n").alias("repetitions")
-    )
-
+def median_timings(timings: DataFrame, *also: Column) -> DataFrame:
+    """Exact median time per query and variant, found by counting near the middle; ``also`` are more aggregates."""
+    return exact_median(timings, ["query_id", "variant"], "ms", *also).withColumnsRenamed({"median": "median_ms", "n": "repetitions"})
 
-def benchmark_rows(medians: DataFrame, matches: DataFrame) -> DataFrame:
-    """One row per query: the three medians, both hash flags and the speedup untrained/trained.
 
-    Medians and flags are one row per (query, variant) each, so the join is small next to the log.
-    """
-    joined = medians.join(matches.select("query_id", "variant", "hash_match"), ["query_id", "variant"], "left")
+def benchmark_rows(medians: DataFrame) -> DataFrame:
+    """One row per query: the three medians, both hash flags and the speedup untrained/trained."""
 
     def of(variant: str, name: str) -> Column:
         return F.max(F.when(F.col("variant") == variant, F.col(name)))
 
-    rows = joined.groupBy("query_id").agg(
+    rows = medians.groupBy("query_id").agg(
         of("baseline", "median_ms").alias("baseline_ms"),
         of("untrained", "median_ms").alias("untrained_ms"),
         of("trained", "median_ms").alias("trained_ms"),
@@ -96,6 +89,15 @@ def single_query_gate(
     )
 
 
-def benchmark(timings: DataFrame, baselines: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Timings and baseline hashes to benchmark rows."""
-    return benchmark_rows(median_timings(timings, hot_rows), all_repetitions_match(timings, baselines))
+def benchmark(timings: DataFrame, baselines: DataFrame) -> DataFrame:
+    """Timings and baseline hashes to benchmark rows.
+
+    The hashes of a query and variant are all equal exactly if the least is the greatest and none or all are
+    null, so they come out of the aggregation that brackets the medians; a query without a baseline does not match.
+    """
+    name = F.col("result_hash")
+    hashes = [F.min(name).alias("_least"), F.max(name).alias("_most"), F.count_if(name.isNull()).alias("_nulls"), F.count("*").alias("_all")]
+    found = median_timings(timings, *hashes).join(baselines.select("query_id", "base_hash", F.lit(True).alias("_known")), "query_id", "left")
+    uniform = F.col("_least").eqNullSafe(F.col("_most")) & ((F.col("_nulls") == 0) | (F.col("_nulls") == F.col("_all")))
+    match = F.col("_known") & uniform & F.col("_least").eqNullSafe(F.col("base_hash"))
+    return benchmark_rows(found.withColumn("hash_match", match))

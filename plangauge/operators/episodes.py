@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plangauge.functions.sqltext import has_cte
 from plangauge.operators.scoring import EPISODE
-from plangauge.operators.skew import DEFAULT_SPAN, join_per_key, top_n_per_key, with_prefix
+from plangauge.operators.skew import DEFAULT_SPAN, top_n_per_key, with_prefix
 
 # The compared metrics and how many decimals they are shown with.
 RUN_METRICS = (
@@ -79,9 +79,10 @@ def running_mean_reward(episodes: DataFrame, span: int = DEFAULT_SPAN) -> DataFr
 
     Uses chunk totals instead of one window per run, so a run of any length is spread over many tasks.
     """
-    totals = {"_sum": F.col("episode_total_reward"), "_count": F.lit(1).cast("long")}
+    # sums of decimals do not depend on the order in which chunks arrive
+    totals = {"_sum": F.col("episode_total_reward").cast("decimal(28,9)"), "_count": F.lit(1).cast("long")}
     rows = with_prefix(episodes, ["run_id"], "episode", totals, span)
-    return rows.withColumn("running_mean", F.col("_sum") / F.col("_count")).drop("_sum", "_count")
+    return rows.withColumn("running_mean", F.col("_sum").cast("double") / F.col("_count")).drop("_sum", "_count")
 
 
 def summarize_runs(episodes: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -174,8 +175,7 @@ def assign_tasks(
     if gating:
         early = top_n_per_key(resets, ["run_id"], [F.col("reset_index").asc()], first, ["reset_index"])
         limits = early.groupBy("run_id").agg(F.max("reset_index").alias("_limit"))
-        sizes = resets.groupBy("run_id").agg(F.count("*").alias("_rows"))
-        rows = join_per_key(resets, limits.join(sizes, "run_id"), "run_id", "_rows", "inner").drop("_rows")
+        rows = resets.join(limits, "run_id")  # a hot run is split by adaptive execution
         drawn = F.pmod(F.xxhash64(F.col("seed"), F.lit("level")), F.lit(top)) + 1
         level = F.when(F.col("reset_index") <= F.col("_limit"), F.lit(1)).otherwise(drawn).cast("int")
         rows = rows.withColumn("task_level", level).drop("_limit")

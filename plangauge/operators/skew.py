@@ -13,17 +13,11 @@ from pyspark.sql import functions as F
 
 DEFAULT_SALTS = 32
 DEFAULT_SPAN = 1_000_000
-HOT_ROWS = 1_000_000
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give costly per-row work all cores when a scan has fewer pieces than there are cores.
-
-    Only for a plain scan: a table of many files or row groups already has more
-    pieces than cores and is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+# How a median is bracketed: accuracy of the sketch (its ranks are off by at most rows / accuracy)
+# and the distance of the bracket's ends from the middle, ten times that error.
+SKETCH_ACCURACY = 10_000
+BRACKET = 0.001
 
 
 def top_n_per_key(
@@ -31,19 +25,17 @@ def top_n_per_key(
 ) -> DataFrame:
     """First ``n`` rows of each key, numbered from 1 in ``_rank``.
 
-    Two stages: first per (key, salt), then per key.  Spark also limits each
-    group before the shuffle (WindowGroupLimit), so a task never sees more than
-    ``salts * n`` rows of a key in the last stage.
+    Three stages: per (key, fine salt), per (key, coarse salt), per key; a coarse salt unites ``salts``
+    fine ones.  Spark also limits each group before every shuffle (WindowGroupLimit; the session allows
+    it for large ``n``, see :mod:`plangauge.session`), so a task of the later stages sees at most
+    ``salts * n`` rows of a key.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)))
-    inner = W.partitionBy(*keys, "_salt").orderBy(*order)
-    some = salted.withColumn("_rank", F.row_number().over(inner)).filter(F.col("_rank") <= n)
-    outer = W.partitionBy(*keys).orderBy(*order)
-    return some.withColumn("_rank", F.row_number().over(outer)).filter(F.col("_rank") <= n).drop("_salt")
-
-
-def _in_chunks(df: DataFrame, order: str, span: int) -> DataFrame:
-    return df.withColumn("_chunk", F.floor(F.col(order) / F.lit(span)).cast("long"))
+    fine = F.pmod(F.xxhash64(*salt_by), F.lit(salts * salts))
+    some = df.withColumn("_fine", fine).withColumn("_coarse", F.pmod(F.col("_fine"), F.lit(salts)))
+    for group in ([*keys, "_coarse", "_fine"], [*keys, "_coarse"], keys):
+        place = F.row_number().over(W.partitionBy(*group).orderBy(*order))
+        some = some.withColumn("_rank", place).filter(F.col("_rank") <= n)
+    return some.drop("_fine", "_coarse")
 
 
 def with_prefix(
@@ -52,22 +44,29 @@ def with_prefix(
     """Add running totals per key, in order of a unique integer column.
 
     ``sums`` maps a new column to the expression that is totalled up to and
-    including the row.  A chunk holds at most ``span`` rows of a key because the
-    order column is unique per key.  Chunk totals are map-side combined; the
-    running total over chunks sees one row per chunk.
+    including the row.  A chunk covers ``span`` values of the order column, so it holds at most ``span``
+    rows of a key; a region covers ``DEFAULT_SPAN`` chunks.  Chunk totals are map-side combined, and
+    their running totals are taken per region, so however sparse the values are, no window sees more
+    than ``DEFAULT_SPAN`` chunks of a key, or more regions than 64-bit numbers have.
     """
-    chunked = _in_chunks(df, order, span)
+    chunked = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(span)).cast("long"))
+    region = F.floor(F.col("_chunk") / F.lit(DEFAULT_SPAN)).cast("long")
     totals = chunked.groupBy(*keys, "_chunk").agg(*[F.sum(e).alias(f"_t_{n}") for n, e in sums.items()])
-    before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys, "_chunk", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums]
-    )
+    totals = totals.withColumn("_region", region)
+
+    def earlier(rows: DataFrame, within: list[str], by: str, mark: str) -> DataFrame:
+        before = W.partitionBy(*within).orderBy(by).rowsBetween(W.unboundedPreceding, -1)
+        running = [F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"{mark}{n}") for n in sums]
+        return rows.select(*keys, *dict.fromkeys([by, "_region"]), *running)
+
+    regions = totals.groupBy(*keys, "_region").agg(*[F.sum(f"_t_{n}").alias(f"_t_{n}") for n in sums])
+    starts = earlier(totals, [*keys, "_region"], "_chunk", "_o_").join(earlier(regions, keys, "_region", "_r_"), [*keys, "_region"])
     inside = W.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    joined = chunked.join(offsets, [*keys, "_chunk"])
+    joined = chunked.join(starts.drop("_region"), [*keys, "_chunk"])
     for name, expression in sums.items():
-        total = F.col(f"_o_{name}") + F.coalesce(F.sum(expression).over(inside), F.lit(0))
+        total = F.col(f"_r_{name}") + F.col(f"_o_{name}") + F.coalesce(F.sum(expression).over(inside), F.lit(0))
         joined = joined.withColumn(name, total)
-    return joined.drop("_chunk", *[f"_o_{n}" for n in sums])
+    return joined.drop("_chunk", *[f"{mark}{n}" for n in sums for mark in ("_o_", "_r_")])
 
 
 def with_position(df: DataFrame, keys: list[str], order: str, name: str = "_pos", span: int = DEFAULT_SPAN) -> DataFrame:
@@ -98,74 +97,25 @@ def rolling(
     return spread.filter(~F.col("_halo")).drop("_block", "_halo")
 
 
-def join_per_key(
-    big: DataFrame, per_key: DataFrame, key: str | list[str], rows: str, how: str = "left", hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Join a big side to one row per key when single keys may be huge.
-
-    ``per_key`` carries the number of big-side rows of each key in ``rows``.
-    Keys with more than ``hot_rows`` rows go by broadcast: there are at most
-    ``total rows / hot_rows`` of them, whatever the data.  All other keys go by
-    shuffle, where no key exceeds ``hot_rows``.
-    """
-    keys = [key] if isinstance(key, str) else key
-    hot = per_key.filter(F.col(rows) > hot_rows)
-    rest = per_key.filter(F.col(rows) <= hot_rows)
-    of_hot = big.join(F.broadcast(hot), keys, "inner")
-    of_rest = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys, how)
-    return of_hot.unionByName(of_rest)
-
-
-def exact_median(
-    df: DataFrame, keys: list[str], value: str, hot_rows: int = HOT_ROWS, bins: int = 4096, rounds: int = 3
-) -> DataFrame:
-    """Median of ``value`` per key: columns ``keys + [median, n]``.
+def exact_median(df: DataFrame, keys: list[str], value: str, *also: Column) -> DataFrame:
+    """Median of ``value`` per key: columns ``keys + [median, n]`` and the aggregates ``also``.
 
-    Small keys use the built-in exact median.  Keys with more than ``hot_rows``
-    values are narrowed by counting: each round counts values in ``bins`` equal
-    bins (combined before the shuffle) and keeps the bins that hold the two
-    middle ranks; the values left at the end are counted one by one.
+    One pass finds a bracket around the middle with a map-side combined quantile sketch (and computes
+    ``also`` over all rows); a second one counts the values below it and each value inside it.  The
+    sketch's error is a tenth of the distance between the middle and the ends, so the middle ranks lie
+    inside, and about ``2 * BRACKET`` of a key's values are counted one by one.  Keys whose values are
+    all null have no median.
     """
-    clean = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    stats = clean.groupBy(*keys).agg(F.count("_v").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    hot = stats.filter(F.col("n") > hot_rows)
-    cold_keys = F.broadcast(hot.select(*keys))
-    small = (
-        clean.join(cold_keys, keys, "left_anti")
-        .groupBy(*keys)
-        .agg(F.median("_v").alias("median"), F.count("_v").alias("n"))
-    )
-    ranks = F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2))
-    # One row per key and middle rank, with the interval that still holds it and the count below the interval.
-    goal = hot.select(*keys, "n", F.posexplode(ranks).alias("_which", "_rank"), "_lo", "_hi", F.lit(0).cast("long").alias("_below"))
-    order = W.partitionBy(*keys, "_which").orderBy("_bin")
-    for _ in range(rounds):
-        goal = cut_to_bin(clean, goal, keys, bins, order)
-    left = clean.join(F.broadcast(goal), keys).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-    counted = left.groupBy(*keys, "n", "_which", "_rank", "_below", F.col("_v").alias("_bin")).agg(F.count("*").alias("_c"))
-    upto = F.col("_below") + F.sum("_c").over(order.rowsBetween(W.unboundedPreceding, 0))
-    picked = (
-        counted.withColumn("_upto", upto)
-        .filter((F.col("_upto") > F.col("_rank")) & (F.col("_upto") - F.col("_c") <= F.col("_rank")))
-        .groupBy(*keys, "n")
-        .agg(F.avg("_bin").alias("median"))
-    )
-    return small.unionByName(picked.select(*small.columns))
-
-
-def cut_to_bin(clean: DataFrame, goal: DataFrame, keys: list[str], bins: int, order) -> DataFrame:
-    """One narrowing round of :func:`exact_median`."""
-    joined = clean.join(F.broadcast(goal), keys).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-    width = F.col("_hi") - F.col("_lo")
-    bin_of = F.when(width <= 0, F.lit(0)).otherwise(
-        F.least(F.floor((F.col("_v") - F.col("_lo")) / width * bins), F.lit(bins - 1))
-    )
-    counted = joined.groupBy(*keys, "n", "_which", "_rank", "_below", bin_of.cast("long").alias("_bin")).agg(
-        F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-    )
-    upto = F.col("_below") + F.sum("_c").over(order.rowsBetween(W.unboundedPreceding, 0))
-    return (
-        counted.withColumn("_upto", upto)
-        .filter((F.col("_upto") > F.col("_rank")) & (F.col("_upto") - F.col("_c") <= F.col("_rank")))
-        .select(*keys, "n", "_which", "_rank", "_lo", "_hi", (F.col("_upto") - F.col("_c")).alias("_below"))
-    )
+    clean = df.withColumn("_v", F.col(value).cast("double"))
+    ends = F.percentile_approx("_v", [0.5 - BRACKET, 0.5 + BRACKET], SKETCH_ACCURACY)
+    stats = clean.groupBy(*keys).agg(F.count("_v").alias("n"), ends.alias("_ends"), *also)
+    low, high = F.col("_ends")[0], F.col("_ends")[1]
+    near = clean.select(*keys, "_v").join(stats.select(*keys, low.alias("_low"), high.alias("_high")), keys)
+    near = near.filter(F.col("_v") <= F.col("_high")).withColumn("_v", F.when(F.col("_v") >= F.col("_low"), F.col("_v")))
+    counted = near.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
+    order = W.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    counted = counted.withColumn("_upto", F.sum("_c").over(order)).join(stats.select(*keys, "n"), keys)
+    left = F.min(F.when(F.col("_upto") > F.floor((F.col("n") - 1) / 2), F.col("_v")))
+    right = F.min(F.when(F.col("_upto") > F.floor(F.col("n") / 2), F.col("_v")))
+    middle = counted.groupBy(*keys).agg(((left + right) / 2).alias("median"))
+    return stats.drop("_ends").join(middle, keys, "left")

@@ -15,7 +15,18 @@ SESSION_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a hot join key even when the join result is shuffled again
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # limit groups before the shuffle also where many rows of a key are wanted
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
 }
+CHECKPOINT_DIR = "spark.checkpoint.dir"
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Set the settings above on a session that is given; all of them can change at run time."""
+    for key, value in SESSION_CONF.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+    return spark
 
 
 def build_session(app: str = "plangauge", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -31,14 +42,15 @@ def build_session(app: str = "plangauge", cores: int | str = "*", shuffle_partit
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named in ``spark.checkpoint.dir``.
 
-    A machine-local folder is only accepted in local mode (tests).
+    Only a local session without the setting (tests) gets one machine-local folder, which it keeps.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get(CHECKPOINT_DIR, None)
     if configured:
         return configured.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="plangauge-")
-    raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors can reach")
+    spark.conf.set(CHECKPOINT_DIR, tempfile.mkdtemp(prefix="plangauge-"))
+    return spark.conf.get(CHECKPOINT_DIR)
 
 
 def new_work_dir(spark: SparkSession, purpose: str) -> str:

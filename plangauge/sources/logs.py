@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,10 +68,11 @@ def read_history(
     return df
 
 
-def write_benchmark(rows: DataFrame, summary: DataFrame, path: str) -> None:
-    """Per-query rows and the one-row summary, side by side."""
+def write_benchmark(rows: DataFrame, summarize: Callable[[DataFrame], DataFrame], path: str) -> None:
+    """Per-query rows and their one-row summary, side by side; the summary is taken from the rows as written."""
     rows.write.mode("overwrite").json(f"{path}/queries")
-    summary.write.mode("overwrite").json(f"{path}/summary")
+    written = rows.sparkSession.read.schema(rows.schema).json(f"{path}/queries")
+    summarize(written).write.mode("overwrite").json(f"{path}/summary")
 
 
 def write_reports(reports: DataFrame, path: str) -> None:

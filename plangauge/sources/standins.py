@@ -12,7 +12,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plangauge.operators.skew import spread
 
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -181,11 +180,12 @@ def base_tables_of(name: str) -> list[str]:
     return list(dict.fromkeys(own + [t for n in needed for t in base_tables_of(n)]))
 
 
-def standin(spark: SparkSession, directory: str, name: str, costly: bool = False) -> DataFrame:
-    """One derived log table as a DataFrame; ``costly`` announces heavy per-row work on it."""
-    for table in base_tables_of(name):
-        rows = spark.read.parquet(f"{directory}/{table}.parquet")
-        if costly and table == "events":
-            rows = spread(rows)
-        rows.createOrReplaceTempView(table)
-    return spark.sql(f"{with_views(name)} SELECT * FROM {name}")
+def standin(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    """One derived log table as a DataFrame; the given tables go in by name, no view of the session is replaced."""
+    given = {table: spark.read.parquet(f"{directory}/{table}.parquet") for table in base_tables_of(name)}
+    views = with_views(name)
+    # tables are passed under names that no column has
+    marked = {f"given_{table}": rows for table, rows in given.items()}
+    sources = ",\n".join(f"{table} AS (SELECT * FROM {{given_{table}}})" for table in given)
+    body = views.removeprefix("WITH ").replace("{", "{{").replace("}", "}}")
+    return spark.sql(f"WITH {sources},\n{body} SELECT * FROM {name}", **marked)

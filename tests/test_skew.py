@@ -57,25 +57,41 @@ def test_rolling(log, width, span):
     assert as_set(got, "run_id", "step", "m") == as_set(expected, "run_id", "step", "m")
 
 
-@pytest.mark.parametrize("hot_rows", [10, 100, 10**9])
-def test_join_per_key(log, hot_rows):
-    per_key = log.groupBy("run_id").agg(F.max("value").alias("top"), F.count("*").alias("n")).filter("run_id <> 'k1'")
-    expected = log.join(per_key, "run_id", "left")
-    got = skew.join_per_key(log, per_key, "run_id", "n", "left", hot_rows)
-    assert as_set(got, *expected.columns) == as_set(expected, *expected.columns)
-    assert got.count() == log.count()
+def test_top_n_limits_many_rows_before_the_shuffle(log):
+    limited = skew.top_n_per_key(log, ["run_id"], [F.col("step").asc()], 3000, ["step"])
+    assert plan_of(limited).count("WindowGroupLimit") >= 6  # partial and final, in three stages
+    assert limited.count() == log.count()
+
+
+def test_prefix_of_sparse_values(spark):
+    """Steps 10^9 and 10^15 apart, below zero too."""
+    data = [("a", k * 10**9 - 5 * 10**10, k) for k in range(100)] + [("a", k * 10**15, 1) for k in range(1, 9000, 7)]
+    df = spark.createDataFrame(data, "k string, at long, v long")
+    got = {r["at"]: r["s"] for r in skew.with_prefix(df, ["k"], "at", {"s": F.col("v")}).collect()}
+    total = 0
+    for _, at, v in sorted(data, key=lambda r: r[1]):
+        total += v
+        assert got[at] == total
 
 
-@pytest.mark.parametrize("hot_rows,bins", [(10**9, 4096), (20, 4096), (20, 3), (0, 2)])
-def test_exact_median(log, hot_rows, bins):
+def test_exact_median(log):
     expected = {}
     for r in log.collect():
         expected.setdefault(r["run_id"], []).append(r["value"])
-    out = skew.exact_median(log, ["run_id"], "value", hot_rows, bins=bins, rounds=2).collect()
-    got = {r["run_id"]: (r["median"], r["n"]) for r in out}
-    assert got == {k: (statistics.median(v), len(v)) for k, v in expected.items()}
+    out = skew.exact_median(log, ["run_id"], "value", F.max("step").alias("last")).collect()
+    assert {r["run_id"]: (r["median"], r["n"]) for r in out} == {k: (statistics.median(v), len(v)) for k, v in expected.items()}
+    assert out[0]["last"] == log.filter(F.col("run_id") == out[0]["run_id"]).agg(F.max("step")).first()[0]
+
+
+def test_exact_median_of_one_hot_key(spark):
+    """A key with most rows, all values different, beside keys of one and two values."""
+    hot = spark.range(0, 400_001, numPartitions=6).select(F.lit("hot").alias("k"), F.sqrt(F.col("id") * 7919 % 400_001).alias("v"))
+    few = spark.createDataFrame([("one", 3.5), ("two", 1.0), ("two", 2.0)], "k string, v double")
+    got = {r["k"]: (r["median"], r["n"]) for r in skew.exact_median(hot.union(few), ["k"], "v").collect()}
+    assert got == {"hot": (200_000**0.5, 400_001), "one": (3.5, 1), "two": (1.5, 2)}
 
 
 def test_exact_median_one_value_and_nulls(spark):
-    df = spark.createDataFrame([("a", 5.0)] * 4 + [("a", None)], "k string, v double")
-    assert tuple(skew.exact_median(df, ["k"], "v", hot_rows=1).first()) == ("a", 5.0, 4)
+    df = spark.createDataFrame([("a", 5.0)] * 4 + [("a", None), ("b", None)], "k string, v double")
+    out = {r["k"]: (r["median"], r["n"]) for r in skew.exact_median(df, ["k"], "v").collect()}
+    assert out == {"a": (5.0, 4), "b": (None, 0)}
