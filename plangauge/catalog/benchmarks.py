@@ -116,25 +116,21 @@ def e13(spark, d):
 TASKS = [("Q1", 1), ("Q6", 1), ("Q14", 1), ("Q3", 2), ("Q5", 2), ("Q10", 2), ("Q12", 2), ("Q2", 3), ("Q9", 3), ("Q17", 3)]
 
 
+def _draw(purpose: str) -> str:
+    return f"('0x' || substr(md5(CAST(event_id AS VARCHAR) || ':{purpose}'), 1, 8))::BIGINT"
+
+
+_CHOICES = " ".join(f"WHEN {level} THEN {[task for task, of in TASKS if of == level]}" for level in (1, 2, 3))
+
+
 @Q(
     "E15_task_assignment",
     ("event_log",),
-    """SELECT run_id, COUNT(*) AS resets, LEAST(COUNT(*), 200) AS gated, 0::BIGINT AS gated_above_level_1, 0::BIGINT AS level_out_of_range, 0::BIGINT AS task_of_other_level
-    FROM event_log GROUP BY run_id""",
+    f"""WITH numbered AS (SELECT run_id, event_id, row_number() OVER (PARTITION BY run_id ORDER BY event_id) AS rn FROM event_log),
+    leveled AS (SELECT run_id, event_id, CASE WHEN rn <= 200 THEN 1 ELSE {_draw("level")} % 3 + 1 END AS task_level FROM numbered),
+    chosen AS (SELECT *, CASE task_level {_CHOICES} END AS choices FROM leveled)
+    SELECT run_id, event_id AS reset_index, task_level, choices[{_draw("task")} % len(choices) + 1] AS task_id FROM chosen""",
 )
 def e15(spark, d):
     log = standin(spark, d, "event_log").select("run_id", F.col("event_id").alias("reset_index"), F.col("event_id").alias("seed"))
-    rows = episodes.assign_tasks(log, TASKS)
-    level_of = F.create_map(*[x for task, level in TASKS for x in (F.lit(task), F.lit(level))])
-    early = episodes.top_n_per_key(log, ["run_id"], [F.col("reset_index").asc()], 200, ["reset_index"])
-    checked = rows.withColumn("_off", (level_of[F.col("task_id")] != F.col("task_level")).cast("int"))
-    per_reset = checked.join(early.select("run_id", "reset_index", F.lit(True).alias("_early")), ["run_id", "reset_index"], "left")
-    return plain(
-        per_reset.groupBy("run_id").agg(
-            F.count("*").alias("resets"),
-            F.count("_early").alias("gated"),
-            F.count_if(F.col("_early") & (F.col("task_level") != 1)).alias("gated_above_level_1"),
-            F.count_if(~F.col("task_level").between(1, 3)).alias("level_out_of_range"),
-            F.sum("_off").alias("task_of_other_level"),
-        )
-    )
+    return plain(episodes.assign_tasks(log, TASKS).drop("seed"))

@@ -209,3 +209,18 @@ def p13(spark, d):
 def p14(spark, d):
     rows = plan_tree.plan_metrics(standin(spark, d, "plans").select("plan_id", "plan_json", "task_level", "seed"))
     return plain(plan_tree.sample_observations(rows.select("plan_id", "task_level", "seed", "seq_scans"), 20).select("plan_id", "seed", "seq_scans"))
+
+
+@Q(
+    "P4_normalized_plans",
+    ("normalized_plans",),
+    """SELECT plan_id, 'Limit' AS node_type, k * 1e1 AS total_cost, k * 9e0 AS actual_time_ms, CAST(k * 15 AS BIGINT) AS rows, 1::BIGINT AS seq_scans, 1::BIGINT AS hash_joins,
+    1::BIGINT AS join_depth, 'Hash Join' AS top_node_type, CAST(k * 20 AS BIGINT) AS child0_rows, 3::BIGINT AS node_count, k % 2 = 0 AS filter_or FROM normalized_plans""",
+)
+def p4_normalized(spark, d):
+    metrics = plan_tree.plan_metrics(standin(spark, d, "normalized_plans").select("plan_id", "plan_json"))
+    return plain(
+        metrics.select(
+            "plan_id", "node_type", "total_cost", "actual_time_ms", "rows", "seq_scans", "hash_joins", "join_depth", "top_node_type", "child0_rows", "node_count", "filter_or"
+        )
+    )

@@ -77,6 +77,20 @@ def io4(spark, d):
     return plain(logs.read_history(spark, path, ["episode_length"], fmt="parquet"))
 
 
+@Q(
+    "IO4_read_tracked_history",
+    ("history",),
+    """SELECT run_id, step, speedup_ratio, result_changed, syntax_error, seq_scans_removed, episode_length, action AS train_action, CAST(rewrite_unchanged AS BIGINT) AS rewrite_unchanged
+    FROM history""",
+)
+def io4_tracked(spark, d):
+    path = new_work_dir(spark, "tracked-history")
+    history = standin(spark, d, "history").withColumn("train_action", F.col("action")).drop("action")
+    logs.write_jsonl(history.withColumnsRenamed(logs.TRACKED), path)
+    wanted = ["speedup_ratio", "result_changed", "syntax_error", "seq_scans_removed", "episode_length", "train_action", "rewrite_unchanged"]
+    return plain(logs.read_history(spark, path, wanted))
+
+
 @Q(
     "IO5_benchmark_payload",
     ("timings", "timing_baselines"),

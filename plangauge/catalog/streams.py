@@ -28,6 +28,7 @@ def _step_stream(spark, d) -> DataFrame:
     return events.select(
         run.alias("run_id"),
         episode.alias("episode_id"),
+        F.pmod("event_id", F.lit(7)).alias("step_index"),
         "ts",
         F.col("value").alias("new_ms"),
         ((F.col("value") - 20) / 100).cast("decimal(18,4)").alias("reward"),
@@ -36,7 +37,7 @@ def _step_stream(spark, d) -> DataFrame:
     )
 
 
-_STEPS = """WITH steps AS (SELECT run_id, episode_id, ts, value AS new_ms, CAST((value - 20) / 1e2 AS DECIMAL(18,4)) AS reward,
+_STEPS = """WITH steps AS (SELECT run_id, episode_id, step_index, ts, value AS new_ms, CAST((value - 20) / 1e2 AS DECIMAL(18,4)) AS reward,
     CASE event_type WHEN 'error' THEN 'syntax_error' WHEN 'signup' THEN 'result_changed' END AS error,
     CASE WHEN k % 2 = 0 THEN 'push_filter' ELSE 'add_cte' END AS action FROM event_log)
     """
@@ -48,7 +49,7 @@ _STEPS = """WITH steps AS (SELECT run_id, episode_id, ts, value AS new_ms, CAST(
     _STEPS
     + """, marked AS (SELECT *, CASE WHEN ts - LAG(ts) OVER (PARTITION BY run_id, episode_id ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM steps),
     numbered AS (SELECT *, SUM(fresh) OVER (PARTITION BY run_id, episode_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM marked),
-    sessions AS (SELECT run_id, episode_id, COUNT(*) AS episode_length, CAST(SUM(reward) AS DOUBLE) AS episode_total_reward, arg_max(new_ms, ts) AS final_execution_ms,
+    sessions AS (SELECT run_id, episode_id, COUNT(*) AS episode_length, CAST(SUM(reward) AS DOUBLE) AS episode_total_reward, last(new_ms ORDER BY ts, step_index) AS final_execution_ms,
       COUNT(*) FILTER (error = 'syntax_error') AS syntax_penalties, COUNT(*) FILTER (error = 'result_changed') AS result_penalties,
       MAX(ts) + INTERVAL 1 HOUR AS session_end FROM numbered GROUP BY run_id, episode_id, session)
     SELECT * EXCLUDE (session_end) FROM sessions WHERE session_end <= (SELECT MAX(ts) - INTERVAL 1 HOUR FROM steps)""",

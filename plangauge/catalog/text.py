@@ -164,12 +164,15 @@ def t9(spark, d):
 @Q(
     "T10_completion_diversity",
     CO,
-    """WITH probes AS (SELECT prompt_id, CAST(FLOOR(sample_id / 5) AS BIGINT) AS probe_id, sample_id, text FROM completions),
-    sizes AS (SELECT prompt_id, probe_id, COUNT(*) AS samples FROM probes GROUP BY prompt_id, probe_id),
-    pairs AS (SELECT a.prompt_id, a.probe_id, AVG(levenshtein(a.text, b.text)) AS mean_distance FROM probes a JOIN probes b
-      ON a.prompt_id = b.prompt_id AND a.probe_id = b.probe_id AND a.sample_id < b.sample_id GROUP BY a.prompt_id, a.probe_id)
-    SELECT s.prompt_id, s.probe_id, samples, ROUND(COALESCE(mean_distance, 0e0), 6) AS mean_distance, COALESCE(mean_distance, 0e0) < 50 AS low_diversity
-    FROM sizes s LEFT JOIN pairs p ON s.prompt_id = p.prompt_id AND s.probe_id = p.probe_id""",
+    """WITH sizes AS (SELECT prompt_id, COUNT(*) AS samples FROM completions GROUP BY prompt_id),
+    dealt AS (SELECT c.prompt_id, sample_id, text, samples, ('0x' || substr(md5(CAST(sample_id AS VARCHAR)), 1, 8))::BIGINT % CAST(CEIL(samples / 5e0) AS BIGINT) AS probe_id
+      FROM completions c JOIN sizes s ON c.prompt_id = s.prompt_id),
+    pairs AS (SELECT a.prompt_id, COUNT(*) AS pairs, SUM(levenshtein(a.text, b.text)) AS total FROM dealt a JOIN dealt b
+      ON a.prompt_id = b.prompt_id AND a.probe_id = b.probe_id AND a.sample_id < b.sample_id GROUP BY a.prompt_id),
+    probes AS (SELECT prompt_id, COUNT(DISTINCT probe_id) AS probes FROM dealt GROUP BY prompt_id)
+    SELECT s.prompt_id, samples, probes, COALESCE(pairs, 0) AS pairs, ROUND(COALESCE(total / CAST(pairs AS DOUBLE), 0e0), 6) AS mean_distance,
+    COALESCE(total / CAST(pairs AS DOUBLE), 0e0) < 50 AS low_diversity
+    FROM sizes s JOIN probes q ON q.prompt_id = s.prompt_id LEFT JOIN pairs p ON s.prompt_id = p.prompt_id""",
 )
 def t10(spark, d):
     return plain(diversity.completion_diversity(standin(spark, d, "completions")))

@@ -299,12 +299,14 @@ def x2(spark, d):
 @Q(
     "X3_changed_results",
     ("attempts", "initial_obs"),
-    """SELECT a.run_id, COUNT(*) AS attempts, SUM(CASE WHEN new_hash IS DISTINCT FROM base_hash THEN 1 ELSE 0 END)::BIGINT AS changed
-    FROM attempts a JOIN initial_obs i ON a.run_id = i.run_id AND a.episode_id = i.episode_id GROUP BY a.run_id""",
+    """SELECT a.run_id, COUNT(*) AS attempts, COUNT(*) FILTER (i.run_id IS NOT NULL AND new_hash IS DISTINCT FROM base_hash) AS changed,
+    COUNT(*) FILTER (i.run_id IS NULL) AS without_baseline FROM attempts a LEFT JOIN initial_obs i ON a.run_id = i.run_id AND a.episode_id = i.episode_id GROUP BY a.run_id""",
 )
 def x3(spark, d):
     rows = equality.changed_results(standin(spark, d, "attempts"), standin(spark, d, "initial_obs"), ["run_id", "episode_id"])
-    return rows.groupBy("run_id").agg(F.count("*").alias("attempts"), F.count_if("result_changed").alias("changed"))
+    return rows.groupBy("run_id").agg(
+        F.count("*").alias("attempts"), F.count_if(F.coalesce("result_changed", F.lit(False))).alias("changed"), F.count_if(~F.col("has_baseline")).alias("without_baseline")
+    )
 
 
 @Q(

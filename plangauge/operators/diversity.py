@@ -11,16 +11,17 @@ LOW_DIVERSITY = 50.0
 
 
 def completion_diversity(completions: DataFrame, probe: int = PROBE_SIZE, low: float = LOW_DIVERSITY) -> DataFrame:
-    """Mean edit distance over the pairs of each probe.
+    """Mean edit distance of the completions of each prompt: one row per prompt.
 
-    The samples of a prompt are taken in probes of ``probe`` consecutive sample
-    ids, so a prompt with any number of samples is covered whole and no task
-    holds more than one probe.  ``sample_id`` counts from 0 and is unique per prompt.
+    Up to ``probe`` samples are compared pair by pair.  The samples of a larger prompt are dealt to
+    ``ceil(samples / probe)`` probes by the md5 of their id, and pairs are formed within probes: every
+    sample counts, the pairs grow with the samples and not with their square, and a task holds a few texts.
+    The mean is over all pairs, so probes weigh by their pairs; without any pair it is 0.
     """
-    probes = completions.withColumn("probe_id", F.floor(F.col("sample_id") / probe).cast("long"))
-    texts = probes.groupBy("prompt_id", "probe_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("sample_id", F.coalesce("text", F.lit("")).alias("text")))), lambda s: s["text"]).alias("_texts")
-    )
+    sizes = completions.groupBy("prompt_id").agg(F.count("*").alias("_n"))
+    number = F.conv(F.substring(F.md5(F.col("sample_id").cast("string")), 1, 8), 16, 10).cast("long")
+    dealt = completions.join(sizes, "prompt_id").withColumn("probe_id", F.pmod(number, F.ceil(F.col("_n") / probe)))
+    texts = dealt.groupBy("prompt_id", "probe_id").agg(F.collect_list(F.coalesce("text", F.lit(""))).alias("_texts"))
     distances = F.flatten(
         F.transform(
             "_texts",
@@ -29,7 +30,10 @@ def completion_diversity(completions: DataFrame, probe: int = PROBE_SIZE, low: f
     )
     rows = texts.withColumn("_d", distances)
     total = F.aggregate("_d", F.lit(0).cast("long"), lambda s, d: s + d)
-    mean = total / F.greatest(F.size("_d"), F.lit(1))
-    return rows.select(
-        "prompt_id", "probe_id", F.size("_texts").alias("samples"), mean.cast("double").alias("mean_distance")
-    ).withColumn("low_diversity", F.col("mean_distance") < low)
+    per_prompt = rows.groupBy("prompt_id").agg(
+        F.sum(F.size("_texts")).alias("samples"), F.count("*").alias("probes"), F.sum(F.size("_d")).alias("pairs"), F.sum(total).alias("_total")
+    )
+    mean = F.col("_total") / F.greatest(F.col("pairs"), F.lit(1))
+    return per_prompt.select("prompt_id", "samples", "probes", "pairs", mean.cast("double").alias("mean_distance")).withColumn(
+        "low_diversity", F.col("mean_distance") < low
+    )

@@ -159,6 +159,12 @@ def tasks_for_levels(tasks: DataFrame, *levels: int) -> DataFrame:
     return tasks.filter(F.col("level").isin(*levels))
 
 
+def _draw(purpose: str, n: Column) -> Column:
+    """A number from 0 to n - 1 from the md5 of the seed and a purpose."""
+    digest = F.md5(F.concat(F.col("seed").cast("string"), F.lit(f":{purpose}")))
+    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), n)
+
+
 def assign_tasks(
     resets: DataFrame, tasks: list[tuple[str, int]], first: int = 200, unlocked: int = 3, gating: bool = True
 ) -> DataFrame:
@@ -176,7 +182,7 @@ def assign_tasks(
         early = top_n_per_key(resets, ["run_id"], [F.col("reset_index").asc()], first, ["reset_index"])
         limits = early.groupBy("run_id").agg(F.max("reset_index").alias("_limit"))
         rows = resets.join(limits, "run_id")  # a hot run is split by adaptive execution
-        drawn = F.pmod(F.xxhash64(F.col("seed"), F.lit("level")), F.lit(top)) + 1
+        drawn = _draw("level", F.lit(top)) + 1
         level = F.when(F.col("reset_index") <= F.col("_limit"), F.lit(1)).otherwise(drawn).cast("int")
         rows = rows.withColumn("task_level", level).drop("_limit")
     else:
@@ -188,5 +194,5 @@ def assign_tasks(
     pairs = [x for level, ids in by_level.items() for x in (F.lit(level), F.array(*[F.lit(i) for i in ids]))]
     choices = F.create_map(*pairs)
     usable = F.coalesce(F.try_element_at(choices, F.col("task_level")), F.try_element_at(choices, F.lit(0)))
-    at = F.pmod(F.xxhash64(F.col("seed"), F.lit("task")), F.size(usable)).cast("int") + 1
+    at = _draw("task", F.size(usable)).cast("int") + 1
     return rows.withColumn("task_id", F.element_at(usable, at))

@@ -105,9 +105,14 @@ def same_result(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def changed_results(attempts: DataFrame, baselines: DataFrame, key: list[str]) -> DataFrame:
-    """Mark logged attempts whose result hash differs from the hash of their episode."""
-    joined = attempts.join(baselines.select(*key, "base_hash"), key)
-    return joined.withColumn("result_changed", ~F.col("new_hash").eqNullSafe(F.col("base_hash")))
+    """Mark logged attempts whose result hash differs from the hash of their episode.
+
+    Every attempt stays: one without a baseline has ``has_baseline`` false and ``result_changed`` null.
+    """
+    known = baselines.select(*key, "base_hash", F.lit(True).alias("has_baseline"))
+    joined = attempts.join(known, key, "left").withColumn("has_baseline", F.coalesce("has_baseline", F.lit(False)))
+    differs = ~F.col("new_hash").eqNullSafe(F.col("base_hash"))
+    return joined.withColumn("result_changed", F.when(F.col("has_baseline"), differs))
 
 
 def differing_rows(a: DataFrame, b: DataFrame, n: int | None = 5) -> DataFrame:

@@ -3,7 +3,10 @@
 A plan is one JSON text per row.  The whole tree is unfolded inside its row by
 built-in higher-order functions over VARIANT values, level by level, so there
 is no shuffle, no Python and no limit on the number of plans.  The number of
-levels is bounded per row by the number of times its text says "Plans".
+levels is bounded per row by the number of times its text says "Plans" or "children".
+
+Plans may be raw EXPLAIN output or the normalized form that observations store: ``node_type``, ``total_cost``,
+``actual_time_ms``, ``rows``, ``children`` and, as a raw node, ``highest_cost_node``.
 """
 
 from __future__ import annotations
@@ -43,20 +46,25 @@ def _get(source: str, name: str, kind: str) -> str:
     return f"try_variant_get({source}, '$[\"{name}\"]', '{kind}')"
 
 
+def _either(source: str, raw: str, normalized: str, kind: str, default: str) -> str:
+    """A field under its raw or its normalized name."""
+    return f"coalesce({_get(source, raw, kind)}, {_get(source, normalized, kind)}, {default})"
+
+
 def _is_join(source: str) -> str:
     types = ", ".join(f"'{t}'" for t in JOIN_TYPES)
-    return f"if(coalesce({_get(source, 'Node Type', 'string')}, '') in ({types}), 1, 0)"
+    return f"if({_either(source, 'Node Type', 'node_type', 'string', chr(39) * 2)} in ({types}), 1, 0)"
 
 
 def _typed(front: str) -> str:
     raw = f"{front}.raw"
     return f"""named_struct(
         'path', {front}.path, 'depth', size({front}.path), 'joins', {front}.joins,
-        'node_type', coalesce({_get(raw, 'Node Type', 'string')}, 'unknown'),
-        'total_cost', coalesce({_get(raw, 'Total Cost', 'double')}, 0D),
-        'actual_time_ms', coalesce({_get(raw, 'Actual Total Time', 'double')}, 0D),
-        'rows', coalesce({_get(raw, 'Actual Rows', 'bigint')}, 0L),
-        'raw', {raw})"""
+        'node_type', {_either(raw, 'Node Type', 'node_type', 'string', "'unknown'")},
+        'total_cost', {_either(raw, 'Total Cost', 'total_cost', 'double', '0D')},
+        'actual_time_ms', {_either(raw, 'Actual Total Time', 'actual_time_ms', 'double', '0D')},
+        'rows', {_either(raw, 'Actual Rows', 'rows', 'bigint', '0L')},
+        'raw', coalesce({_get(raw, 'highest_cost_node', 'variant')}, {raw}))"""
 
 
 def _unfold(plans: DataFrame, preorder: bool = False) -> DataFrame:
@@ -65,8 +73,8 @@ def _unfold(plans: DataFrame, preorder: bool = False) -> DataFrame:
         "_root",
         F.expr("coalesce(try_variant_get(_doc, '$[0].Plan', 'variant'), try_variant_get(_doc, '$.Plan', 'variant'), _doc)"),
     )
-    levels = "1 + regexp_count(plan_json, '\"Plans\"')"
-    children = "coalesce(try_variant_get(f.raw, '$.Plans', 'array<variant>'), " + _EMPTY.format("variant") + ")"
+    levels = "1 + regexp_count(plan_json, '\"(Plans|children)\"')"
+    children = _either("f.raw", "Plans", "children", "array<variant>", _EMPTY.format("variant"))
     step = f"""named_struct(
         'done', concat(a.done, transform(a.front, f -> {_typed('f')})),
         'front', flatten(transform(a.front, f -> transform({children}, (c, i) ->

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 D = dt.date
+_LOW_BITS = 20
 
 
 def _day(value: dt.date) -> Column:
@@ -54,9 +55,13 @@ def charge_units() -> Column:
 def total(units: Column, digits: int) -> Column:
     """Exact sum of whole units, as a decimal with ``digits`` places.
 
-    A single value must stay below 10^18 units; a larger one raises, it does not wrap.
+    Upper and lower parts are summed as longs, inside the generated code, and meet as a decimal once per
+    group.  A sum of either part that leaves 64 bits raises, it does not wrap.
     """
-    return F.sum(units.cast("decimal(18,0)")) * F.lit(Decimal(1).scaleb(-digits))
+    low = F.sum(units.bitwiseAND(F.lit((1 << _LOW_BITS) - 1))).cast("decimal(20,0)")
+    high = F.sum(F.shiftright(units, _LOW_BITS)).cast("decimal(20,0)")
+    whole = (high * F.lit(Decimal(1 << _LOW_BITS)) + low).cast("decimal(28,0)")
+    return whole * F.lit(Decimal(1).scaleb(-digits))
 
 
 def net_total() -> Column:

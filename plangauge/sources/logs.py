@@ -29,8 +29,21 @@ EPISODES = _columns(
 HISTORY = _columns(
     "run_id STRING, step BIGINT, reward_mean DOUBLE, env_reward DOUBLE, speedup_ratio DOUBLE, result_changed DOUBLE, "
     "syntax_error DOUBLE, seq_scans_removed DOUBLE, episode_length DOUBLE, task_level DOUBLE, action STRING, "
-    "rewrite_unchanged INT, noop INT"
+    "train_action STRING, step_action STRING, rewrite_unchanged INT, noop INT"
 )
+# The names under which trackers log these columns.
+TRACKED = {
+    "step": "_step",
+    "reward_mean": "reward/mean",
+    "env_reward": "env/reward",
+    "speedup_ratio": "reward/speedup_ratio",
+    "result_changed": "penalty/result_changed",
+    "syntax_error": "penalty/syntax_error",
+    "seq_scans_removed": "plan/seq_scans_removed",
+    "train_action": "train/action",
+    "step_action": "step/action",
+    "rewrite_unchanged": "train/rewrite_unchanged",
+}
 TIMINGS = _columns("query_id STRING, variant STRING, rep INT, ms DOUBLE, result_hash STRING")
 PLANS = _columns("plan_id BIGINT, plan_json STRING")
 COMPLETIONS = _columns("prompt_id BIGINT, sample_id INT, text STRING")
@@ -59,10 +72,14 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 def read_history(
     spark: SparkSession, path: str, columns: list[str] | None = None, fmt: str = "json", cap: int | None = None
 ) -> DataFrame:
-    """Metric history with only the wanted columns. ``cap`` keeps the first rows of each run by step."""
-    df = spark.read.schema(HISTORY).format(fmt).load(path)
-    if columns:
-        df = df.select("run_id", "step", *[c for c in columns if c not in ("run_id", "step")])
+    """Metric history with only the wanted columns, logged under our names or a tracker's (which wins).
+
+    ``cap`` keeps the first rows of each run by step.
+    """
+    tracked = [T.StructField(name, HISTORY[column].dataType) for column, name in TRACKED.items()]
+    df = spark.read.schema(T.StructType([*HISTORY.fields, *tracked])).format(fmt).load(path)
+    wanted = dict.fromkeys(["run_id", "step", *(columns or HISTORY.names)])
+    df = df.select(*[F.coalesce(F.col(f"`{TRACKED[c]}`"), F.col(c)).alias(c) if c in TRACKED else F.col(c) for c in wanted])
     if cap is not None:
         df = top_n_per_key(df, ["run_id"], [F.col("step").asc()], cap, salt_by=["step"]).drop("_rank")
     return df

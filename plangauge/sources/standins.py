@@ -126,6 +126,17 @@ STANDINS: dict[str, tuple[tuple[str, ...], str]] = {
               ELSE '{"Node Type": "Nested Loop", "Total Cost": 90000, "Actual Rows": 60000, "Plans": []}' END AS child
             FROM event_log) l) t""",
     ),
+    # the form in which observations store plans
+    "normalized_plans": (
+        ("event_log",),
+        """SELECT event_id AS plan_id, k, '{"node_type": "Limit", "total_cost": ' || CAST(k * 10 AS STRING) || ', "actual_time_ms": ' || CAST(k * 9 AS STRING)
+        || ', "rows": ' || CAST(k * 15 AS STRING) || ', "seq_scans": 1, "index_scans": 0, "nested_loops": 0, "hash_joins": 1, "highest_cost_node": ' || raw_join
+        || ', "children": [{"node_type": "Hash Join", "total_cost": 2000, "actual_time_ms": 1, "rows": ' || CAST(k * 20 AS STRING)
+        || ', "seq_scans": 1, "index_scans": 0, "nested_loops": 0, "hash_joins": 1, "highest_cost_node": ' || raw_join || ', "children": [{"node_type": "Seq Scan", "total_cost": 50, '
+        || '"actual_time_ms": 1, "rows": 5, "seq_scans": 1, "index_scans": 0, "nested_loops": 0, "hash_joins": 0, "highest_cost_node": ' || raw_scan || ', "children": []}]}]}' AS plan_json
+        FROM (SELECT event_log.*, '{"Node Type": "Hash Join", "Total Cost": 2000}' AS raw_join,
+          '{"Node Type": "Seq Scan", "Total Cost": 50' || CASE WHEN k % 2 = 0 THEN ', "Filter": "(a = 1 OR b = 2)"}' ELSE '}' END AS raw_scan FROM event_log) l""",
+    ),
     "completions": (
         ("attempts",),
         """SELECT episode_id AS prompt_id, step_index AS sample_id, run_id, event_id,

@@ -67,7 +67,9 @@ def latest_versions(spark: SparkSession, folder: str, keys: list[str]) -> DataFr
 def live_episode_totals(steps: DataFrame, gap: str = "1 hour", delay: str = "1 hour") -> DataFrame:
     """Totals per episode while it runs: an episode ends when it is quiet for ``gap``.
 
-    Expects run_id, episode_id, ts, reward, new_ms, error.
+    Expects run_id, episode_id, step_index, ts, reward, new_ms, error.  The final time is that of the last
+    step; of steps at the same time the one with the greater index.  Spark writes session windows once they
+    are closed; there is no update mode for them.
     """
     timed = event_time(steps, delay=delay)
     return (
@@ -75,7 +77,7 @@ def live_episode_totals(steps: DataFrame, gap: str = "1 hour", delay: str = "1 h
         .agg(
             F.count("*").alias("episode_length"),
             F.sum("reward").alias("episode_total_reward"),
-            F.max_by("new_ms", "ts").alias("final_execution_ms"),
+            F.max_by("new_ms", F.struct("ts", "step_index")).alias("final_execution_ms"),
             F.count_if(F.col("error") == "syntax_error").alias("syntax_penalties"),
             F.count_if(F.col("error") == "result_changed").alias("result_penalties"),
         )

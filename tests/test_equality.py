@@ -76,3 +76,10 @@ def test_repetitions(spark):
     base = spark.createDataFrame([("q", "h")], "query_id string, base_hash string")
     out = {r["variant"]: (r["hash_match"], r["repetitions"]) for r in E.all_repetitions_match(t, base).collect()}
     assert out == {"u": (True, 2), "t": (False, 2)}
+
+
+def test_attempts_without_a_baseline_stay(spark):
+    attempts = spark.createDataFrame([(1, "h"), (1, "x"), (2, "h"), (3, None)], "episode_id int, new_hash string")
+    known = spark.createDataFrame([(1, "h"), (3, None)], "episode_id int, base_hash string")
+    got = E.changed_results(attempts, known, ["episode_id"]).select("episode_id", "new_hash", "has_baseline", "result_changed")
+    assert {tuple(r) for r in got.collect()} == {(1, "h", True, False), (1, "x", True, True), (2, "h", False, None), (3, None, True, False)}

@@ -13,12 +13,12 @@ from plangauge.sources import logs
 from plangauge.sources.standins import standin
 from plangauge.streaming import jobs
 
-STEP = "run_id string, episode_id long, ts timestamp_ntz, new_ms double, reward double, error string, action string"
+STEP = "run_id string, episode_id long, step_index int, ts timestamp_ntz, new_ms double, reward double, error string, action string"
 START = dt.datetime(2024, 1, 1)
 
 
-def step(minute, episode=1, reward=1.0, error=None):
-    return ("r", episode, START + dt.timedelta(minutes=minute), float(minute), reward, error, "push_filter")
+def step(minute, episode=1, reward=1.0, error=None, index=0):
+    return ("r", episode, index, START + dt.timedelta(minutes=minute), float(minute), reward, error, "push_filter")
 
 
 def arrive(spark, folder, *files):
@@ -123,3 +123,24 @@ def test_sample_of_queries_against_sql(spark, data, key):
     assert sorted(columns) == sorted(df.columns)
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(columns, result.fetchall())
     assert F is not None
+
+
+def test_the_last_of_steps_at_the_same_time(spark, tmp_path):
+    folder = str(tmp_path)
+    late = ("r", 1, 2, START + dt.timedelta(minutes=5), 77.0, 1.0, None, "push_filter")
+    stream = arrive(spark, folder, [late, step(5, index=1), step(5, index=0)], [step(1000, 2)], [step(2000, 3)])
+    jobs.start_append(jobs.live_episode_totals(stream), folder).awaitTermination()
+    out = spark.read.parquet(f"{folder}/data").filter("episode_id = 1").first()
+    assert (out["final_execution_ms"], out["episode_length"]) == (77.0, 3)
+
+
+def test_history_under_tracker_names(spark, tmp_path):
+    lines = [
+        '{"run_id": "a", "_step": 1, "reward/mean": 0.5, "penalty/syntax_error": 1, "train/action": "no_op", "plan/seq_scans_removed": 2}',
+        '{"run_id": "a", "step": 2, "reward_mean": 0.25, "env/reward": 4, "action": "x", "other": [1]}',
+    ]
+    (tmp_path / "history.jsonl").write_text("\n".join(lines))
+    got = logs.read_history(spark, str(tmp_path), ["reward_mean", "env_reward", "syntax_error", "train_action", "action", "seq_scans_removed"])
+    assert rows(got, "step") == [("a", 1, 0.5, None, 1.0, "no_op", None, 2.0), ("a", 2, 0.25, 4.0, None, None, "x", None)]
+    first = logs.read_history(spark, str(tmp_path), ["reward_mean"], cap=1)
+    assert rows(first) == [("a", 1, 0.5)]

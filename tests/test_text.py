@@ -133,17 +133,21 @@ def distance(a, b):
 
 
 def test_diversity_by_brute_force(spark):
+    import hashlib
     import itertools
     import random
 
     g = random.Random(5)
-    data = [(p, s, "".join(g.choice("aéb ") for _ in range(g.randrange(90)))) for p in range(3) for s in range(12)]
-    out = rows(completion_diversity(spark.createDataFrame(data, "prompt_id long, sample_id int, text string")), "prompt_id", "probe_id")
+    data = [(p, s, "".join(g.choice("aéb ") for _ in range(g.randrange(90)))) for p, n in enumerate((12, 4, 1)) for s in range(n)]
+    out = rows(completion_diversity(spark.createDataFrame(data, "prompt_id long, sample_id int, text string")), "prompt_id")
     expected = []
-    for p in range(3):
-        for probe in range(3):
-            texts = [t for q, s, t in data if q == p and s // 5 == probe]
-            pairs = [distance(a, b) for a, b in itertools.combinations(texts, 2)]
-            mean = sum(pairs) / max(len(pairs), 1)
-            expected.append((p, probe, len(texts), mean, mean < 50))
-    assert out == expected
+    for p, n in enumerate((12, 4, 1)):
+        probes = {}
+        for q, s, t in data:
+            if q == p:
+                number = int(hashlib.md5(str(s).encode()).hexdigest()[:8], 16) % -(-n // 5)
+                probes.setdefault(number, []).append(t)
+        pairs = [distance(a, b) for texts in probes.values() for a, b in itertools.combinations(texts, 2)]
+        mean = sum(pairs) / max(len(pairs), 1)
+        expected.append((p, n, len(probes), len(pairs), mean, mean < 50))
+    assert out == expected and out[1][3] == 6
