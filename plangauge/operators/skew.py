@@ -109,13 +109,15 @@ def exact_median(df: DataFrame, keys: list[str], value: str, *also: Column) -> D
     clean = df.withColumn("_v", F.col(value).cast("double"))
     ends = F.percentile_approx("_v", [0.5 - BRACKET, 0.5 + BRACKET], SKETCH_ACCURACY)
     stats = clean.groupBy(*keys).agg(F.count("_v").alias("n"), ends.alias("_ends"), *also)
+    # the aggregates travel along as grouping columns, so the rows are read twice and not once more per use
+    carried = [c for c in stats.columns if c not in (*keys, "_ends")]
     low, high = F.col("_ends")[0], F.col("_ends")[1]
-    near = clean.select(*keys, "_v").join(stats.select(*keys, low.alias("_low"), high.alias("_high")), keys)
-    near = near.filter(F.col("_v") <= F.col("_high")).withColumn("_v", F.when(F.col("_v") >= F.col("_low"), F.col("_v")))
-    counted = near.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
+    near = clean.select(*keys, "_v").join(stats.withColumns({"_low": low, "_high": high}).drop("_ends"), keys)
+    near = near.filter((F.col("_v") <= F.col("_high")) | (F.col("n") == 0))
+    near = near.withColumn("_v", F.when(F.col("_v") >= F.col("_low"), F.col("_v")))
+    counted = near.groupBy(*keys, *carried, "_v").agg(F.count("*").alias("_c"))
     order = W.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
-    counted = counted.withColumn("_upto", F.sum("_c").over(order)).join(stats.select(*keys, "n"), keys)
+    counted = counted.withColumn("_upto", F.sum("_c").over(order))
     left = F.min(F.when(F.col("_upto") > F.floor((F.col("n") - 1) / 2), F.col("_v")))
     right = F.min(F.when(F.col("_upto") > F.floor(F.col("n") / 2), F.col("_v")))
-    middle = counted.groupBy(*keys).agg(((left + right) / 2).alias("median"))
-    return stats.drop("_ends").join(middle, keys, "left")
+    return counted.groupBy(*keys, *carried).agg(((left + right) / 2).alias("median"))

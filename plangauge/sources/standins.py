@@ -168,6 +168,11 @@ STANDINS: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+# Logs whose rows are whole plans or completions, many times as large as the events they come from.  The events are
+# dealt over tasks before they grow; a log that was collected as such is read as it is.
+TEXT_LOGS = ("plans", "normalized_plans", "completions")
+
+
 def with_views(*names: str) -> str:
     """A WITH clause that defines the named views and all they need."""
     ordered: list[str] = []
@@ -194,6 +199,9 @@ def base_tables_of(name: str) -> list[str]:
 def standin(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """One derived log table as a DataFrame; the given tables go in by name, no view of the session is replaced."""
     given = {table: spark.read.parquet(f"{directory}/{table}.parquet") for table in base_tables_of(name)}
+    if name in TEXT_LOGS:
+        # the number is given, or small events would be put together again
+        given["events"] = given["events"].repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "event_id")
     views = with_views(name)
     # tables are passed under names that no column has
     marked = {f"given_{table}": rows for table, rows in given.items()}

@@ -173,3 +173,18 @@ def test_level_success_ignores_nan(spark):
     assert (out["success_rate"], out["entries"], out["gating"]) == (0.25, 4, True)
     top = episodes.highest_reward(h).first()
     assert (top["max_reward_seen"], top["episodes_logged"], top["ok"]) == (5.0, 5, True)
+
+
+def test_benchmark_reads_the_timings_twice(spark, tmp_path):
+    data = [("q", v, float(i), "h" if v != "trained" else "x") for v in ("baseline", "untrained", "trained") for i in range(9)]
+    data += [("nulls", "trained", 1.0, None), ("other", "trained", None, "h")]
+    timings = spark.createDataFrame(data, "query_id string, variant string, ms double, result_hash string")
+    base = spark.createDataFrame([("q", "h"), ("nulls", None)], "query_id string, base_hash string")
+    out = {r["query_id"]: r for r in benchmarks.benchmark(timings, base).collect()}
+    q = out["q"]
+    assert (q["baseline_ms"], q["trained_ms"], q["hash_match_untrained"], q["hash_match_trained"]) == (4.0, 4.0, True, False)
+    assert out["nulls"]["hash_match_trained"] is True  # no hash anywhere agrees with no baseline hash
+    assert (out["other"]["trained_ms"], out["other"]["hash_match_trained"]) == (None, False)
+    timings.write.parquet(f"{tmp_path}/timings")
+    stored = benchmarks.benchmark(spark.read.parquet(f"{tmp_path}/timings"), base)
+    assert plan_of(stored).count("Location: InMemoryFileIndex") == 2
