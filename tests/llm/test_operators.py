@@ -213,6 +213,19 @@ def test_links_through_a_centre_are_not_lost(spark):
         assert (2, 3) in links and not links & {(1, 2), (1, 3), (2, 4), (3, 4)}
 
 
+def test_pairs_of_exactly_the_threshold_are_linked(spark):
+    """Texts of 32 and 39 words: 28 shingles in 35. 4/9 of 63 is above 28 as a float."""
+    rows, pairs = [(0, " ".join(f"c{k}" for k in range(40)))], []
+    for i, n in enumerate((28, 52, 56, 60)):  # shingles of the shorter text; the longer has a quarter more
+        long = [f"p{i}w{k}" for k in range(n * 5 // 4 + 4)]
+        rows += [(2 * i + 1, " ".join(long[: n + 4])), (2 * i + 2, " ".join(long))]
+        pairs += [(0, 2 * i + 1), (0, 2 * i + 2)]
+    texts = spark.createDataFrame(rows, "node long, text string")
+    verified = near_copies.verify(spark.createDataFrame(pairs, "centre long, node long"), texts, 0.8)
+    links = {tuple(sorted(r)) for r in near_copies.compare_rest(verified, texts, 0.8).collect()}
+    assert links == {(2 * i + 1, 2 * i + 2) for i in range(4)}
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (4, 3), (9, 8), (8, 7), (20, 21)] + [(30 + k, 31 + k) for k in range(12)]
     got = {r["node"]: r["label"] for r in near_copies.components(spark.createDataFrame(edges, "a long, b long")).collect()}
