@@ -43,8 +43,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Document index of the token files, read back from them."""
-    return token_planes.round_trip(docs.select("doc_id", "text"), tokenizer_path())
+    """Document index of the token files, read back from them; the files hold the documents in the order of their rows, which is the training order."""
+    return token_planes.round_trip(docs, tokenizer_path(), order=token_planes.row_order(docs))
 
 
 STAGES = [

@@ -1,6 +1,6 @@
 """Token ids in a binary format: byte planes of fixed-size blocks, each plane compressed, with a chunk index.
 
-Documents are encoded in ascending id order; their ids, with the end id behind each
+Documents are encoded in ascending id order, or in an order that is given; their ids, with the end id behind each
 document, form one stream per shard.  The stream is cut into blocks of ``block_ids`` 32-bit
 ids, a block is transposed into its four byte planes, and each plane is a zstandard frame.
 
@@ -9,7 +9,7 @@ binary, and the documents that end in the block) and ``index`` (shard, first_id,
 compressed bytes).  Reading takes one pass over the blocks of a shard with one block in memory.
 
 Null texts are empty and give the end id alone.  Null ids sort first; equal ids are
-ordered by the hash of their text.  An empty table gives empty tables.
+ordered by the hash of their text.  Documents of an equal place in a given order come in any order.  An empty table gives empty tables.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -151,12 +152,33 @@ class Encoder:
 BLOCK_SCHEMA = "shard int, block int, n_ids int, planes binary, docs array<struct<id:{id},end:int>>"
 
 
-def write(df: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text: str = "text", end_id: int = END_ID, fmt: PlaneFormat = PlaneFormat(), shards: int | None = None) -> None:
-    """Encode and store. Shards are ranges of ids, one task each; a retried task replaces its own output."""
+def row_order(df: DataFrame) -> list[Column]:
+    """Columns that sort the rows of ``df`` as they stand: by the files that Spark wrote for its partitions and the rows in them, else by partition.
+
+    A file table is read in another order than it was written (large files first), so its partitions do not tell.
+    """
+    if df._jdf.queryExecution().analyzed().children().isEmpty():
+        try:
+            df.select("_metadata.file_name", "_metadata.row_index")
+        except AnalysisException:  # not files, or files that do not number their rows
+            return [F.monotonically_increasing_id()]
+        name = F.col("_metadata.file_name")
+        part, piece = (F.regexp_extract(name, at, 1).try_cast("long") for at in (r"^part-(\d+)", r"-c(\d+)\."))
+        return [part, piece, F.when(part.isNull(), name), F.col("_metadata.row_index")]
+    return [F.monotonically_increasing_id()]
+
+
+def write(
+    df: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text: str = "text", end_id: int = END_ID, fmt: PlaneFormat = PlaneFormat(),
+    shards: int | None = None, order: list[Column] | None = None,
+) -> None:
+    """Encode and store. Shards are ranges of ids, or of ``order``, one task each; a retried task replaces its own output."""
     spark = df.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
-    ranged = rows.repartitionByRange(shards, F.col("id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("id").asc_nulls_first(), "tie")
+    places = [F.xxhash64(text).alias("tie")] if order is None else [c.alias(f"place{k}") for k, c in enumerate(order)]
+    rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"), *places)
+    by = [F.col(c).asc_nulls_first() for c in (["id", "tie"] if order is None else rows.columns[2:])]
+    ranged = rows.repartitionByRange(shards, *by).sortWithinPartitions(*by)
     schema = spark.createDataFrame([], BLOCK_SCHEMA.format(id=dict(rows.dtypes)["id"])).schema
     arrow = to_arrow_schema(schema)
 

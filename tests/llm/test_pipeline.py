@@ -7,6 +7,7 @@ import pytest
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from plangauge.llm import decontaminate, mixing, near_copies  # noqa: E402
+from plangauge.llm.common import keep  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra string"
 
@@ -41,3 +42,22 @@ def test_stages_on_odd_and_empty_tables(spark, data):
         docs = spark.createDataFrame(some, DOCS)
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, docs, data).count() <= len(some) * 3
+
+
+def test_token_files_keep_the_training_order(spark, data):
+    rows = [(i, " ".join(["word"] * (1 + i % 7)), "en", "abc"[i % 3], None, None) for i in range(200)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3).cache()
+    streams = set()
+    for slopes in (mixing.SLOPES, (-0.9, 0.0, 0.9)):
+        mix = mixing.mix(docs, slopes=slopes)
+        plan = {r["doc_id"]: sorted(p["position"] for p in r["plays"] if 2 * p["words"] >= r["size"]) for r in mix.select("doc_id", "mix.*").collect()}
+        ordered = mixing.in_training_order(mix, 13).select(*corpus_pipeline.COLUMNS)
+        for given in (keep(ordered, "test-order"), ordered.cache()):  # files, which Spark reads in another order, and rows in memory
+            index = sorted(corpus_pipeline.token_files(spark, given, data).collect(), key=lambda r: r["start"])
+            seen, places = collections.Counter(), []
+            for r in index:
+                places.append(plan[r["doc_id"]][seen[r["doc_id"]]])
+                seen[r["doc_id"]] += 1
+            assert places == sorted(places) and len(places) == sum(map(len, plan.values()))
+        streams.add(tuple(r["doc_id"] for r in index))
+    assert len(streams) == 2
