@@ -27,7 +27,9 @@ from plangauge.llm.common import map_rows
 
 # Kinds of elements in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template head title iframe object svg math textarea select option button".split())
+# Scripts, styles, parts of the head, frames, form controls, and what browsers never show of formulas and drawings.
+HIDDEN = frozenset("script style noscript template head title iframe textarea select option button annotation annotation-xml desc metadata".split())
+WITH_PARENT = frozenset("math svg".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html "
@@ -355,8 +357,15 @@ def train(pages: DataFrame, html: str = "html", max_pages: int = 160, layouts: i
 
 
 def decode(nodes: list[Node], log_odds: np.ndarray) -> np.ndarray:
-    """Keep flags of greatest total log-odds (a kept element counts its log-odds, a dropped one the opposite) with nothing kept under a dropped one."""
+    """Keep flags of greatest total log-odds (a kept element counts its log-odds, a dropped one the opposite) with nothing kept under a dropped one.
+
+    Formulas and drawings stay or go with the element they stand in: training pages hold too few to judge their parts.
+    """
     n = len(nodes)
+    follows = np.zeros(n, dtype=bool)
+    for i, x in enumerate(nodes):
+        follows[i] = x.parent >= 0 and (x.tag in WITH_PARENT or follows[x.parent])
+    log_odds = np.where(follows, 0.0, log_odds)
     kept_gain, drop_gain = log_odds.copy(), -log_odds
     for i in range(n - 1, 0, -1):
         p = nodes[i].parent
@@ -364,7 +373,7 @@ def decode(nodes: list[Node], log_odds: np.ndarray) -> np.ndarray:
         drop_gain[p] += drop_gain[i]
     keep = kept_gain > drop_gain
     for i, x in enumerate(nodes):
-        keep[i] &= (x.parent < 0 or keep[x.parent]) and x.tag not in HIDDEN
+        keep[i] = (keep[i] or follows[i]) and (x.parent < 0 or keep[x.parent]) and x.tag not in HIDDEN
     return keep
 
 

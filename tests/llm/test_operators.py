@@ -286,6 +286,14 @@ def test_main_text(spark, empty):
     assert main_text.main_text(pages, none).count() == len(rows) and main_text.main_text(pages.limit(0), none).count() == 0
 
 
+def test_formulas_drawings_and_objects_of_an_article_stay():
+    extra = '<math><semantics><mi>x</mi><mo>=</mo><mn>2</mn><annotation>TEX</annotation></semantics></math> <svg><title>T</title><text>label</text></svg> <object>instead</object>'
+    nodes = main_text.parse(f"<nav><svg><text>icon</text></svg></nav><article><p>So {extra}.</article>")
+    odds = np.where(main_text.weak_labels(nodes) == 1, 1.0, -1.0)
+    odds[[i for i, x in enumerate(nodes) if x.tag in ("math", "mi", "svg", "text")]] = -3.0  # as trees fitted to pages without any say
+    assert main_text.blocks(nodes, main_text.decode(nodes, odds)) == ["So x=2 label instead."]
+
+
 def test_decoding_keeps_nothing_under_a_dropped_element():
     rng = np.random.default_rng(1)
     nodes = main_text.parse("<div><p>a<b>b</b></p><ul><li>c<li>d</ul></div><div>e<p>f</div>")
