@@ -7,7 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from plangauge.catalog.base import Catalog
-from plangauge.llm import decontaminate, host_rules, language, line_chunks, main_text, mixing, near_copies, quality, recompression, sql, token_planes
+from plangauge.llm import decontaminate, host_rules, language, line_chunks, main_text, mixing, near_copies, quality, recompression, simhash, sql, token_planes
 from plangauge.llm.common import fold_column, read
 
 CATALOG = Catalog()
@@ -87,3 +87,8 @@ def op6(spark, d):
 def op8(spark, d):
     pages = read(spark, d, "pages")
     return main_text.main_text(pages, main_text.train(pages))
+
+
+@Q("op11_covering_simhash")
+def op11(spark, d):
+    return simhash.near_components(read(spark, d, "documents"))
