@@ -7,7 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from plangauge.catalog.base import Catalog
-from plangauge.llm import decontaminate, host_rules, language, line_chunks, main_text, mixing, near_copies, quality, recompression, simhash, sql, token_planes
+from plangauge.llm import decontaminate, hard_negatives, host_rules, language, line_chunks, main_text, mixing, near_copies, quality, recompression, simhash, sql, token_planes
 from plangauge.llm.common import fold_column, read
 
 CATALOG = Catalog()
@@ -92,3 +92,9 @@ def op8(spark, d):
 @Q("op11_covering_simhash")
 def op11(spark, d):
     return simhash.near_components(read(spark, d, "documents"))
+
+
+@Q("op12_hard_negatives", (), sql.HARD_NEGATIVES)
+def op12(spark, d):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read(spark, d, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
