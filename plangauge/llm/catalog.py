@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from plangauge.catalog.base import Catalog
-from plangauge.llm import decontaminate, hard_negatives, host_rules, language, line_chunks, main_text, mixing, near_copies, quality, recompression, simhash, sql, token_planes
+from plangauge.llm import alignment, decontaminate, hard_negatives, host_rules, language, line_chunks, main_text, mixing, near_copies, quality, recompression, simhash, sql, token_planes
 from plangauge.llm.common import fold_column, read
 
 CATALOG = Catalog()
@@ -17,10 +18,10 @@ LANG_FOLDS, LANG_HELD_OUT = 4, 2
 QUALITY_FOLDS, QUALITY_HELD_OUT, GOOD = 5, 0, 0.3
 
 
-def tokenizer_path() -> str:
-    """Vocabulary file of a public tokenizer; the folder is a parameter of the environment."""
-    folder = os.environ.get("PLANGAUGE_TOKENIZERS", "/opt/tokenizers")
-    return f"{folder}/word_bpe_49k.json"
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Vocabulary file of a public tokenizer; the environment may name another folder."""
+    folder = os.environ.get("PLANGAUGE_TOKENIZERS")
+    return f"{folder}/{name}" if folder else public_tokenizers.path(name)
 
 
 @Q("op1_language_id")
@@ -98,3 +99,8 @@ def op11(spark, d):
 def op12(spark, d):
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(read(spark, d, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+@Q("op13_token_alignment")
+def op13(spark, d):
+    return alignment.align(read(spark, d, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
