@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from plangauge.catalog.base import Catalog, plain
 from plangauge.operators import episodes, scoring
-from plangauge.session import cut_lineage
+from plangauge.session import cut_lineage, new_work_dir
+from plangauge.sources import steplog
 from plangauge.sources.standins import standin
 
 CATALOG = Catalog()
@@ -52,13 +53,13 @@ def _name(column: str) -> str:
 
 
 SCORED = f"""WITH judged AS (
-      SELECT a.*, i.task_level, i.target_ms, i.original_query, i.execution_ms, i.base_hash, i.base_node_type, i.base_total_cost,
+      SELECT a.*, i.run_id IS NOT NULL AS has_start, i.task_level, i.target_ms, i.original_query, i.execution_ms, i.base_hash, i.base_node_type, i.base_total_cost,
       i.base_rows, i.base_seq_scans, i.base_nested_loops, i.base_hash_joins,
       CASE WHEN action NOT IN ('rewrite_join', 'add_cte', 'push_filter', 'reorder_joins', 'suggest_index', 'limit_early', 'revert') THEN 'invalid_action'
         WHEN NOT parse_ok OR (action <> 'revert' AND regexp_matches(upper(rewritten_query), '{_BLOCKED}')) THEN 'syntax_error'
         WHEN timed_out THEN 'timeout' WHEN exec_error IS NOT NULL THEN 'execution_error'
-        WHEN new_hash IS DISTINCT FROM base_hash THEN 'result_changed' END AS error
-      FROM attempts a JOIN initial_obs i ON a.run_id = i.run_id AND a.episode_id = i.episode_id WHERE step_index < 5),
+        WHEN i.run_id IS NULL THEN 'no_start' WHEN new_hash IS DISTINCT FROM base_hash THEN 'result_changed' END AS error
+      FROM attempts a LEFT JOIN initial_obs i ON a.run_id = i.run_id AND a.episode_id = i.episode_id WHERE step_index < 5),
     carried AS (
       SELECT *, {_last('new_ms', _PREV, 'execution_ms')} AS old_ms, {_last('new_ms', _UPTO, 'execution_ms')} AS state_ms,
       {', '.join(f"{_last(c, _PREV, b)} AS old_{_name(c)}" for c, b in _PLAN)},
@@ -99,14 +100,14 @@ KEY_SQL = "run_id, episode_id, CAST(step_index AS BIGINT) AS step_index"
     "S1_outcome_ladder",
     LOGS,
     SCORED.replace(" WHERE step_index < 5", "")
-    + f"""SELECT {KEY_SQL}, error, CASE error WHEN 'invalid_action' THEN -15e0 WHEN 'syntax_error' THEN -15e0 WHEN 'timeout' THEN -12e0
+    + f"""SELECT {KEY_SQL}, has_start, NULLIF(error, 'no_start') AS error, CASE error WHEN 'invalid_action' THEN -15e0 WHEN 'syntax_error' THEN -15e0 WHEN 'timeout' THEN -12e0
     WHEN 'execution_error' THEN -15e0 WHEN 'result_changed' THEN -20e0 END AS penalty FROM judged""",
 )
 def s1(spark, d):
     rows = attempts(spark, d)
     base = standin(spark, d, "initial_obs").select(*scoring.EPISODE, "base_hash")
-    judged = rows.join(base, scoring.EPISODE).withColumn("error", scoring.outcome())
-    return plain(judged.select(*KEY, "error", scoring.penalty(F.col("error")).alias("penalty")))
+    judged = scoring.judge(rows, base)
+    return plain(judged.select(*KEY, "has_start", "error", scoring.penalty(F.col("error")).alias("penalty")))
 
 
 @Q(
@@ -130,6 +131,37 @@ def s2(spark, d):
     )
 
 
+def _step_log(spark, d):
+    """The log in its nested layout, with the first half of some lines once more, as a writer that was stopped leaves them."""
+    path = new_work_dir(spark, "step-log")
+    lines = cut_lineage(steplog.to_step_log(scoring.with_history(scored(spark, d))))
+    torn = lines.filter(_torn()).select(F.expr("left(value, cast(length(value) / 2 as int))").alias("value"))
+    lines.unionByName(torn).write.text(path)
+    return steplog.read_step_log(spark, path)
+
+
+def _torn():
+    return (F.get_json_object("value", "$.episode_id").cast("long") % 10 == 0) & (F.get_json_object("value", "$.step_index") == "0")
+
+
+@Q(
+    "IO2_nested_step_log",
+    LOGS,
+    SCORED
+    + f"SELECT {KEY_SQL}, NULLIF(error, 'no_start') AS error, ROUND(reward, 6) + 0e0 AS reward, ROUND(old_ms, 6) AS old_ms, ROUND(state_ms, 6) AS state_ms, done, effective_query FROM scored",
+)
+def io2_nested(spark, d):
+    rows, _ = _step_log(spark, d)
+    replayed = scoring.score_attempts(steplog.attempts(rows), steplog.initial_observations(rows))
+    return plain(replayed.select(*KEY, "error", "reward", "old_ms", "state_ms", "done", "effective_query"))
+
+
+@Q("IO2_quarantined_lines", LOGS, SCORED + "SELECT 'not a JSON object' AS problem, COUNT(*) AS lines FROM scored WHERE episode_id % 10 = 0 AND step_index = 0")
+def io2_quarantined(spark, d):
+    _, bad = _step_log(spark, d)
+    return bad.groupBy("problem").agg(F.count("*").alias("lines"))
+
+
 _PARTS = "plan_type_bonus speedup_reward rows_signal cost_signal noop_penalty slowdown_penalty raw normalized".split()
 
 
@@ -227,12 +259,12 @@ METRICS = (
     + """, seen AS (SELECT run_id, episode_id, COUNT(*) AS n, AVG(reward) AS mean_reward, SUM(reward) AS total,
       COUNT(*) FILTER (error = 'result_changed') AS changed, COUNT(*) FILTER (error = 'syntax_error') AS syntax,
       arg_max(state_ms, step_index) AS final_ms, arg_max(state_seq, step_index) AS final_seq FROM scored GROUP BY run_id, episode_id),
-    metrics AS (SELECT i.run_id, i.episode_id, COALESCE(mean_reward, 0e0) AS mean_step_reward, COALESCE(total, 0e0) AS episode_total_reward,
+    metrics AS (SELECT COALESCE(i.run_id, s.run_id) AS run_id, COALESCE(i.episode_id, s.episode_id) AS episode_id, COALESCE(mean_reward, 0e0) AS mean_step_reward, COALESCE(total, 0e0) AS episode_total_reward,
       GREATEST(0e0, LEAST(1e0, (execution_ms - COALESCE(final_ms, execution_ms)) / execution_ms)) AS speedup_ratio,
       COALESCE(changed, 0) AS result_changed, COALESCE(syntax, 0) AS syntax_errors,
       CAST(CASE WHEN n IS NULL THEN 0 ELSE GREATEST(base_seq_scans - final_seq, 0) END AS BIGINT) AS seq_scans_removed,
-      COALESCE(n, 0) AS episode_length, COALESCE(final_ms, execution_ms) AS final_execution_ms, CAST(task_level AS BIGINT) AS task_level
-      FROM initial_obs i LEFT JOIN seen s ON i.run_id = s.run_id AND i.episode_id = s.episode_id)
+      COALESCE(n, 0) AS episode_length, COALESCE(final_ms, execution_ms) AS final_execution_ms, CAST(COALESCE(task_level, 1) AS BIGINT) AS task_level, i.run_id IS NOT NULL AS has_start
+      FROM initial_obs i FULL JOIN seen s ON i.run_id = s.run_id AND i.episode_id = s.episode_id)
     """
 )
 
@@ -246,7 +278,7 @@ def metrics(spark, d):
     LOGS,
     METRICS
     + """SELECT run_id, episode_id, ROUND(mean_step_reward, 6) AS mean_step_reward, ROUND(speedup_ratio, 6) AS speedup_ratio, result_changed,
-    syntax_errors, seq_scans_removed, episode_length, task_level FROM metrics""",
+    syntax_errors, seq_scans_removed, episode_length, task_level, has_start FROM metrics""",
 )
 def e1(spark, d):
     return plain(metrics(spark, d).drop("episode_total_reward", "final_execution_ms"))

@@ -27,7 +27,8 @@ def _no_nan(name: str) -> Column:
 def episode_metrics(scored: DataFrame, initial: DataFrame) -> DataFrame:
     """One row per started episode, also for those without attempts (all zeros, with their level).
 
-    ``scored`` is already partitioned by episode, so the grouping adds no shuffle.
+    Episodes of which only attempts were logged have ``has_start`` false and no times or gains.  ``scored`` is already partitioned by
+    episode, so the grouping adds no shuffle.
     """
     last = F.col("step_index")
     seen = scored.groupBy(*EPISODE).agg(
@@ -39,7 +40,7 @@ def episode_metrics(scored: DataFrame, initial: DataFrame) -> DataFrame:
         F.max_by("state_ms", last).alias("_final_ms"),
         F.max_by("state_plan.seq_scans", last).alias("_final_seq"),
     )
-    rows = initial.join(seen, EPISODE, "left")
+    rows = initial.withColumn("has_start", F.lit(True)).join(seen, EPISODE, "full").withColumn("has_start", F.coalesce("has_start", F.lit(False)))
     base = F.col("execution_ms")
     final = F.coalesce(F.col("_final_ms"), base)
     gain = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (base - final) / base))
@@ -52,10 +53,11 @@ def episode_metrics(scored: DataFrame, initial: DataFrame) -> DataFrame:
         F.when(F.col("_length").isNull() | (base <= 0), F.lit(0.0)).otherwise(gain).alias("speedup_ratio"),
         F.coalesce("_changed", zero).alias("result_changed"),
         F.coalesce("_syntax", zero).alias("syntax_errors"),
-        F.when(F.col("_length").isNull(), F.lit(0)).otherwise(F.greatest(F.lit(0), removed)).cast("long").alias("seq_scans_removed"),
+        F.when(F.col("_length").isNull() | ~F.col("has_start"), F.lit(0)).otherwise(F.greatest(F.lit(0), removed)).cast("long").alias("seq_scans_removed"),
         F.coalesce("_length", zero).alias("episode_length"),
         final.alias("final_execution_ms"),
         F.coalesce("task_level", F.lit(1)).alias("task_level"),
+        "has_start",
     )
 
 

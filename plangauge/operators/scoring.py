@@ -37,6 +37,14 @@ def outcome() -> Column:
     )
 
 
+def judge(attempts: DataFrame, start: DataFrame) -> DataFrame:
+    """Attempts next to what is known of their episode's start, with ``has_start``, ``error`` and ``accepted``."""
+    rows = attempts.join(start.withColumn("has_start", F.lit(True)), EPISODE, "left").withColumn("has_start", F.coalesce("has_start", F.lit(False)))
+    error = outcome()
+    rows = rows.withColumn("error", F.when(F.col("has_start") | (error != "result_changed"), error))
+    return rows.withColumn("accepted", F.col("has_start") & F.col("error").isNull())
+
+
 def penalty(error: Column) -> Column:
     chain = F.when(F.lit(False), F.lit(0.0))
     for name, value in R.PENALTIES.items():
@@ -59,6 +67,9 @@ def score_attempts(attempts: DataFrame, initial: DataFrame, max_steps: int = MAX
     Rejected attempts change nothing: the state before an attempt is that of the
     last accepted attempt, else the initial one.  Attempts after the first done
     one are left out.
+
+    Attempts of an episode whose first observation is missing stay, with ``has_start`` false.  They keep an error that needs no
+    state; whether their result changed, and what they gained, is not known: they are not accepted and, without an error, have no reward.
     """
     log = attempts.filter(F.col("step_index") < max_steps)
     start = initial.select(
@@ -70,8 +81,7 @@ def score_attempts(attempts: DataFrame, initial: DataFrame, max_steps: int = MAX
         F.col("execution_ms").alias("start_ms"),
         F.struct(*[F.col(f"base_{n}").alias(n) for n in R.PLAN_FIELDS]).alias("start_plan"),
     )
-    rows = log.join(start, EPISODE)
-    rows = rows.withColumn("error", outcome()).withColumn("accepted", F.col("error").isNull())
+    rows = judge(log, start)
     # an accepted attempt whose plan could not be read keeps the plan before it
     rows = rows.withColumn("_read", F.when(F.col("node_type").isNotNull(), F.struct(*R.PLAN_FIELDS)))
 
