@@ -9,7 +9,7 @@ from plangauge.catalog.base import Catalog, plain
 from plangauge.catalog.series import ALERTS, FILLED, IMPROVED, INFLECTION, NOOP
 from plangauge.session import new_work_dir
 from plangauge.sources.standins import standin
-from plangauge.streaming import jobs
+from plangauge.streaming import jobs, running
 
 CATALOG = Catalog()
 Q = CATALOG.query
@@ -62,6 +62,24 @@ def st1(spark, d):
     return plain(rows.drop("session_start", "session_end"))
 
 
+@Q(
+    "ST1_running_episode_totals",
+    ("event_log",),
+    _STEPS
+    + """, marked AS (SELECT *, CASE WHEN ts - LAG(ts) OVER (PARTITION BY run_id, episode_id ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM steps),
+    numbered AS (SELECT *, SUM(fresh) OVER (PARTITION BY run_id, episode_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM marked)
+    SELECT run_id, episode_id, MIN(ts) AS session_start, COUNT(*) AS episode_length, CAST(SUM(reward) AS DOUBLE) AS episode_total_reward, last(new_ms ORDER BY ts, step_index) AS final_execution_ms,
+      COUNT(*) FILTER (error = 'syntax_error') AS syntax_penalties, COUNT(*) FILTER (error = 'result_changed') AS result_penalties,
+      MAX(ts) + INTERVAL 1 HOUR <= (SELECT MAX(ts) - INTERVAL 1 HOUR FROM steps) AS closed FROM numbered GROUP BY run_id, episode_id, session""",
+)
+def st1_running(spark, d):
+    folder = new_work_dir(spark, "running-episodes")
+    changes = running.running_episode_totals(_step_stream(spark, d))
+    jobs.start_versioned(changes, folder, keys=running.KEYS).awaitTermination()
+    rows = running.current(jobs.latest_versions(spark, folder, running.KEYS)).drop("session_end")
+    return plain(rows.withColumn("session_start", F.col("session_start").cast("timestamp_ntz")))
+
+
 @Q(
     "ST2_health_checks",
     ("history",),
@@ -95,8 +113,9 @@ def _windows_sql(slide: str, steps: int) -> str:
 
 def _windows(spark, d, slide, name):
     folder = new_work_dir(spark, name)
-    jobs.start_versioned(jobs.penalty_windows(_step_stream(spark, d), "1 hour", slide), folder).awaitTermination()
-    rows = jobs.latest_versions(spark, folder, ["window_start", "window_end", "action"])
+    keys = ["window_start", "window_end", "action"]
+    jobs.start_versioned(jobs.penalty_windows(_step_stream(spark, d), "1 hour", slide), folder, keys=keys).awaitTermination()
+    rows = jobs.latest_versions(spark, folder, keys)
     return plain(
         rows.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")).withColumn(
             "window_end", F.col("window_end").cast("timestamp_ntz")

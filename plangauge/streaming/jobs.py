@@ -6,14 +6,13 @@ batch replaces its own output and nothing passes through the driver.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from plangauge.operators import series
+from plangauge.streaming.versions import Folder
 
 
 def read_stream(
@@ -38,27 +37,31 @@ def event_time(df: DataFrame, column: str = "ts", delay: str = "1 hour") -> Data
     return df.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, delay)
 
 
-def _write_versions(folder: str) -> Callable[[DataFrame, int], None]:
-    def write(batch: DataFrame, batch_id: int) -> None:
-        # one folder per batch: a retry overwrites its own folder only
-        batch.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+COMPACT_EVERY = 20
+
 
-    return write
+def start_versioned(
+    changes: DataFrame, folder: str, available_now: bool = True, every: str = "1 minute", keys: list[str] | None = None, compact_every: int = COMPACT_EVERY
+) -> StreamingQuery:
+    """Run an update-mode query; every batch writes the rows that changed.
 
+    With ``keys``, every ``compact_every`` batches the newest rows are put into one snapshot (:mod:`plangauge.streaming.versions`).
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        kept = Folder(batch.sparkSession, folder)
+        kept.write(batch, batch_id)
+        if keys and batch_id % compact_every == compact_every - 1:
+            kept.compact(keys)
 
-def start_versioned(changes: DataFrame, folder: str, available_now: bool = True, every: str = "1 minute") -> StreamingQuery:
-    """Run an update-mode aggregation; every batch writes the rows that changed."""
-    writer = changes.writeStream.outputMode("update").foreachBatch(_write_versions(f"{folder}/data"))
+    writer = changes.writeStream.outputMode("update").foreachBatch(write)
     writer = writer.option("checkpointLocation", f"{folder}/checkpoint")
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
 
 
 def latest_versions(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
-    """The newest version of every key written by :func:`start_versioned`."""
-    rows = spark.read.parquet(f"{folder}/data")
-    values = [c for c in rows.columns if c not in keys and c != "batch"]
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
-    return newest.select(*keys, "_v.*")
+    """The newest version of every key written by :func:`start_versioned`: one snapshot and the batches behind it are read."""
+    return Folder(spark, folder).latest(keys)
 
 
 # ST1 ---------------------------------------------------------------------------------
@@ -113,17 +116,21 @@ def start_health_checks(history: DataFrame, folder: str, available_now: bool = T
     """Recompute the checks after every micro-batch and write a report.
 
     Only the rows the checks look at are carried from batch to batch: the state
-    per run has a fixed size, so a batch costs as much late in a run as early.
+    per run has a fixed size, so a batch costs as much late in a run as early, and the states and reports of
+    the last two batches are all that is stored.
     """
 
     def check(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        kept = Folder(spark, folder)
         known = batch
         if batch_id > 0:
             known = spark.read.schema(batch.schema).parquet(f"{folder}/state/batch={batch_id - 1}").unionByName(batch)
         series.compact(known).write.mode("overwrite").parquet(f"{folder}/state/batch={batch_id}")
         state = spark.read.schema(batch.schema).parquet(f"{folder}/state/batch={batch_id}")
         health_report(state).write.mode("overwrite").parquet(f"{folder}/reports/batch={batch_id}")
+        for part in ("state", "reports"):  # a retry needs the state before it, a reader the report it has begun
+            kept.forget(part, batch_id - 1)
 
     writer = history.writeStream.outputMode("append").foreachBatch(check).option("checkpointLocation", f"{folder}/checkpoint")
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
@@ -131,9 +138,7 @@ def start_health_checks(history: DataFrame, folder: str, available_now: bool = T
 
 def latest_report(spark: SparkSession, folder: str) -> DataFrame:
     """The report of the newest batch."""
-    rows = spark.read.parquet(f"{folder}/reports")
-    newest = rows.agg(F.max("batch").alias("_newest"))
-    return rows.join(F.broadcast(newest), F.col("batch") == F.col("_newest")).drop("batch", "_newest")
+    return spark.read.parquet(f"{folder}/reports/batch={Folder(spark, folder).last('reports')}")
 
 
 # ST3 ---------------------------------------------------------------------------------
