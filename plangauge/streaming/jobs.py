@@ -112,12 +112,14 @@ def health_report(history: DataFrame) -> DataFrame:
     return out
 
 
-def start_health_checks(history: DataFrame, folder: str, available_now: bool = True, every: str = "1 minute") -> StreamingQuery:
+def start_health_checks(
+    history: DataFrame, folder: str, available_now: bool = True, every: str = "1 minute", keep_reports: int | None = None
+) -> StreamingQuery:
     """Recompute the checks after every micro-batch and write a report.
 
     Only the rows the checks look at are carried from batch to batch: the state
-    per run has a fixed size, so a batch costs as much late in a run as early, and the states and reports of
-    the last two batches are all that is stored.
+    per run has a fixed size, so a batch costs as much late in a run as early, and two states are all
+    that is stored, next to the reports: all of them, or those of the last ``keep_reports`` batches.
     """
 
     def check(batch: DataFrame, batch_id: int) -> None:
@@ -129,8 +131,9 @@ def start_health_checks(history: DataFrame, folder: str, available_now: bool = T
         series.compact(known).write.mode("overwrite").parquet(f"{folder}/state/batch={batch_id}")
         state = spark.read.schema(batch.schema).parquet(f"{folder}/state/batch={batch_id}")
         health_report(state).write.mode("overwrite").parquet(f"{folder}/reports/batch={batch_id}")
-        for part in ("state", "reports"):  # a retry needs the state before it, a reader the report it has begun
-            kept.forget(part, batch_id - 1)
+        kept.forget("state", batch_id - 1)  # a retry needs the state before it
+        if keep_reports:
+            kept.forget("reports", batch_id - keep_reports + 1)
 
     writer = history.writeStream.outputMode("append").foreachBatch(check).option("checkpointLocation", f"{folder}/checkpoint")
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()

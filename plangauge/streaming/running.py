@@ -4,7 +4,7 @@ A session of an episode lasts until no step comes for ``gap``.  Each batch gives
 the session closes; the row of a later batch replaces it.  A step that joins two sessions, or comes before a session's first one, takes over their
 rows: what they were known by before is put out as ``replaced``.  When the watermark passes the end of a session, a timer
 closes it, its last row says so, and its state is dropped, so state lives as long as a session may still change and no longer.  Steps later than
-the watermark's delay are dropped before they get here.
+the watermark's delay are dropped, so none can reach a session that has closed.
 
 State is one small summary for each open session, merged row by row: however many steps a batch brings for an episode, none is held.
 """
@@ -84,8 +84,10 @@ class OpenSessions(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         before = self._held()
-        now = before
+        now, watermark = before, 1000 * timerValues.getCurrentWatermarkInMs()
         for r in rows:
+            if r.us < watermark:  # Spark itself tells late rows by the watermark of the batch before
+                continue
             step = {"first": r.us, "last": r.us, "steps": 1, "reward": r.reward or Decimal(0), "final_index": r.step_index, "final_ms": r.new_ms}
             now = add_step(now, step | {"syntax": int(r.error == "syntax_error"), "changed": int(r.error == "result_changed")}, self.gap)
         self._hold(now)
