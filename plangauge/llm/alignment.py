@@ -10,7 +10,7 @@ merged in any task.  A group that runs over a piece's border comes out as the lo
 
 Steps: texts to pieces (written to the shared folder); links of each batch, counted by id pair, to counts over the corpus and the highest count
 of each B id; the counts of a batch's own pairs back to the batch, which is then merged for groups and sums.  What a batch sends and gets is
-bounded by its work.  A task tokenizes one whole text at a time.
+bounded by its work.  Ids are stored compressed.
 
 Texts that are null, empty, or which one tokenizer does not spell byte for byte have no tokens: zeros and ''.  Long texts are split over batches as said.  Rows that share an
 id, or are equal, are documents of their own, one row each, and all count.  A null id stays null.  An empty table gives no rows; other columns are ignored.
@@ -19,7 +19,9 @@ id, or are equal, are documents of their own, one row each, and all count.  A nu
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from plangauge.llm.common import Kept, keep
+from plangauge.llm.common import keep
+from plangauge.llm.token_planes import worker_cache
 
 PIECE, BATCH = 65_536, 1_000_000
 SLICE = 128
@@ -42,8 +45,45 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(others)}
 
 
+# A space between two characters that are letters, digits or marks in every version of the character tables.
+CUT = re.compile("(?<=[!-~\u00c0-\u024f]) (?=[!-~\u00c0-\u024f])")
+
+
+def a_can_be_cut(tokenizer) -> bool:
+    """No normalization, and the byte-level splitting that starts a new piece at every single space: nothing reaches over one from the left."""
+    made = json.loads(tokenizer.to_str())
+    split, model = made["pre_tokenizer"] or {}, made["model"]
+    plain = made["normalizer"] is None and made["truncation"] is None and made["post_processor"] is None and all(t["special"] for t in made["added_tokens"])
+    whole_words = model["type"] == "BPE" and not model["dropout"] and not model["continuing_subword_prefix"] and not model["end_of_word_suffix"]
+    return plain and whole_words and split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
+
+
+def b_can_be_cut(model_file: str, pieces: list[str]) -> bool:
+    """Merges without normalization, and no piece that holds a space behind something else: no merge reaches over a space from the left."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    made = sentencepiece_model_pb2.ModelProto()
+    with open(model_file, "rb") as file:
+        made.ParseFromString(file.read())
+    norm, learned = made.normalizer_spec, made.trainer_spec
+    plain = norm.name == "identity" and norm.add_dummy_prefix and norm.escape_whitespaces and not norm.remove_extra_whitespaces and not norm.precompiled_charsmap
+    merged = learned.model_type == sentencepiece_model_pb2.TrainerSpec.BPE and not learned.user_defined_symbols and not learned.treat_whitespace_as_suffix
+    return plain and merged and not any("\u2581" in p.lstrip("\u2581") for p in pieces)
+
+
+def stored(size: int) -> np.dtype:
+    """How ids of a vocabulary are stored: in two bytes where they fit."""
+    return np.dtype("<u2" if size <= 1 << 16 else "<u4")
+
+
 class Tokenizers:
-    """Ids of texts in A (byte-level vocabulary) and B (pieces), and the bytes of each id."""
+    """Ids of texts in A (byte-level vocabulary) and B (pieces), and the bytes of each id.
+
+    Where both tokenizers provably cut there, texts are split at single spaces between words; a part's ids do not depend on the others, so parts are
+    encoded once and remembered, up to ``limit`` of them in a worker.  Other tokenizers get whole texts.
+    """
+
+    limit = 300_000
 
     def __init__(self, a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each task one core
@@ -58,22 +98,40 @@ class Tokenizers:
         self.a_bytes = [b""] * (max(known.values()) + 1)
         for token, i in known.items():
             self.a_bytes[i] = bytes(map(letters.__getitem__, token)) if all(c in letters for c in token) else token.encode()
-        self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
-
-    def _piece(self, i: int) -> bytes:
-        piece = self.b.id_to_piece(i)
-        return bytes([int(piece[1:-1], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.b_bytes = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(pieces)]
+        self.cuttable = a_can_be_cut(self.a) and b_can_be_cut(b_path, pieces)
+        self.a_type, self.b_type = stored(len(self.a_bytes)), stored(len(self.b_bytes))
+        self.known = worker_cache(f"{a_path} {b_path}")
+
+    def _learn(self, parts: list[str]) -> None:
+        """Remember the ids of both sides as bytes; None where a side does not spell space and part."""
+        a_known, b_known = self.known.setdefault("a", {}), self.known.setdefault("b", {})
+        for at in range(0, len(parts), 4096):
+            some = parts[at : at + 4096]
+            firsts = self.a.encode_batch_fast([f" {p}" for p in some], add_special_tokens=False)
+            for p, first, b in zip(some, firsts, self.b.encode(some, num_threads=1)):
+                a, want = first.ids, f" {p}".encode()
+                same = b"".join(map(self.a_bytes.__getitem__, a)) == want == b"".join(map(self.b_bytes.__getitem__, b))
+                a_known[p] = np.array(a, dtype=self.a_type).tobytes() if same else None
+                b_known[p] = np.array(b, dtype=self.b_type).tobytes() if same else None
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of both sides; none where a side does not spell space and text."""
-        given = [t or "" for t in texts]
-        firsts = self.a.encode_batch_fast([f" {t}" for t in given], add_special_tokens=False)
-        seconds = self.b.encode(given, num_threads=1)
+        split = [(CUT.split(t) if self.cuttable else [t]) if t else [] for t in texts]
+        a_known, b_known = self.known.setdefault("a", {}), self.known.setdefault("b", {})
+        new = set().union(*split).difference(a_known)
+        if len(a_known) + len(new) > self.limit:  # the first learned are the most frequent: they stay
+            for p in list(a_known)[self.limit // 2 :]:
+                del a_known[p], b_known[p]
+            new = set().union(*split).difference(a_known)
+        self._learn(list(new))
         out = []
-        for t, first, b in zip(given, firsts, seconds):
-            a, want = first.ids, f" {t}".encode()
-            same = t and b"".join(map(self.a_bytes.__getitem__, a)) == want and b"".join(map(self.b_bytes.__getitem__, b)) == want
-            out.append((np.array(a if same else [], dtype=np.int32), np.array(b if same else [], dtype=np.int32)))
+        for parts in split:
+            a, b = list(map(a_known.__getitem__, parts)), list(map(b_known.__getitem__, parts))
+            if None in a:
+                a, b = [], []
+            out.append((np.frombuffer(b"".join(a), dtype=self.a_type), np.frombuffer(b"".join(b), dtype=self.b_type)))
         return out
 
     def lengths(self) -> tuple[np.ndarray, np.ndarray]:
@@ -81,13 +139,30 @@ class Tokenizers:
         return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
 
 
-def stored(lengths: np.ndarray) -> np.dtype:
-    """How ids are stored: in two bytes where the vocabulary allows."""
-    return np.dtype("<u2" if len(lengths) <= 1 << 16 else "<u4")
+def squeeze(ids: list[bytes], width: int) -> bytes:
+    """Ids of a batch, low and high bytes apart, compressed."""
+    import zstandard
+
+    raw = np.frombuffer(b"".join(ids), dtype=np.uint8).reshape(-1, width)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(raw.T).tobytes())
+
+
+def expand(packed: bytes, width: int) -> np.ndarray:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), dtype=np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(raw.T).view(f"<u{width}").ravel()
 
 
-def ids_of(piece: dict, side: str, lengths: np.ndarray) -> np.ndarray:
-    return np.frombuffer(piece[side], dtype=stored(lengths)).astype(np.int64)
+def pieces_of(row: dict, a_len: np.ndarray, b_len: np.ndarray) -> list[dict]:
+    """The pieces of a stored batch with their ids."""
+    pieces = row["pieces"]
+    for side, lengths in (("a", a_len), ("b", b_len)):
+        ids, at = expand(row[side], stored(len(lengths)).itemsize), 0
+        for p in pieces:
+            p[side] = ids[at : at + p[f"n_{side}"]]
+            at += p[f"n_{side}"]
+    return pieces
 
 
 def crossing(a: np.ndarray, b: np.ndarray, diagonal: int) -> tuple[int, int]:
@@ -114,7 +189,7 @@ def cut(a_ids: np.ndarray, b_ids: np.ndarray, a_len: np.ndarray, b_len: np.ndarr
         # bytes of the first token of each side that lie in earlier pieces
         done = max(a[i - 1] if i else 0, b[j - 1] if j else 0)
         yield {
-            "piece": k, "pieces": count, "a": a_ids[i:x].astype(stored(a_len)).tobytes(), "b": b_ids[j:y].astype(stored(b_len)).tobytes(), "a_next": int(a_ids[x]) if x < len(a) else -1, "b_next": int(b_ids[y]) if y < len(b) else -1,
+            "piece": k, "pieces": count, "a": a_ids[i:x], "b": b_ids[j:y], "a_next": int(a_ids[x]) if x < len(a) else -1, "b_next": int(b_ids[y]) if y < len(b) else -1,
             "a_done": int(done - (a[i - 1] if i else 0)), "b_done": int(done - (b[j - 1] if j else 0)),
         }
 
@@ -139,7 +214,7 @@ def merge(pieces: list[dict], a_len: np.ndarray, b_len: np.ndarray) -> Merged:
     """Ends of all pieces are laid one behind the other, so one merge serves all of them."""
     sides = []
     for side, lengths, done in (("a", a_len, "a_done"), ("b", b_len, "b_done")):
-        own = [ids_of(p, side, lengths) for p in pieces]
+        own = [p[side].astype(np.int64) for p in pieces]
         counts = np.array([len(x) for x in own])
         after = np.array([max(0, p[f"{side}_next"]) for p in pieces], dtype=np.int64)
         ids = np.concatenate([y for x, n in zip(own, after) for y in (x, [n])]) if pieces else np.empty(0, dtype=np.int64)
@@ -177,12 +252,12 @@ class Spelling:
 
     def __init__(self, a_size: int, b_size: int):
         self.a_size, self.b_size = a_size, b_size
-        self.known = [f"{i}{end}" for size, ends in ((a_size, ",|"), (b_size, ",;")) for end in ends for i in range(size)]
+        self.known = [f"{i}{end}".encode() for size, ends in ((a_size, ",|"), (b_size, ",;")) for end in ends for i in range(size)]
 
-    def groups(self, a: np.ndarray, b: np.ndarray, a_group: np.ndarray, b_group: np.ndarray) -> str:
+    def groups(self, a: np.ndarray, b: np.ndarray, a_group: np.ndarray, b_group: np.ndarray) -> bytes:
         """``a1,a2|b1;`` for each group, in order."""
         if not len(a):
-            return ""
+            return b""
         n = int(max(a_group[-1], b_group[-1])) + 1
         a_last = np.concatenate([a_group[1:] != a_group[:-1], [True]])
         b_last = np.concatenate([b_group[1:] != b_group[:-1], [True]])
@@ -191,17 +266,17 @@ class Spelling:
         code = np.empty(len(a) + len(b), dtype=np.int64)
         code[np.arange(len(a)) + b_before[a_group]] = a + a_last * self.a_size
         code[np.arange(len(b)) + a_upto[b_group]] = b + 2 * self.a_size + b_last * self.b_size
-        return "".join(map(self.known.__getitem__, code.tolist()))
+        return b"".join(map(self.known.__getitem__, code.tolist()))
 
 
-PIECES = "key string, doc_id {id}, piece int, pieces int, a binary, b binary, a_next int, b_next int, a_done long, b_done long"
+PIECES = "key string, doc_id {id}, piece int, pieces int, n_a int, n_b int, a_next int, b_next int, a_done long, b_done long"
 PARTS = "key string, doc_id {id}, piece int, pieces int, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, body string, a_head array<int>, b_head array<int>, a_tail array<int>, b_tail array<int>"
 
 
 def to_batches(df: DataFrame, a_path: str, b_path: str, id_col: str, text: str, piece: int, batch: int) -> DataFrame:
     """batch and its pieces: rows of about equal work."""
     rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    schema = df.sparkSession.createDataFrame([], f"batch long, pieces array<struct<{PIECES.format(id=dict(rows.dtypes)['doc_id']).replace(' ', ':').replace(',:', ',')}>>").schema
+    schema = df.sparkSession.createDataFrame([], f"batch long, a binary, b binary, pieces array<struct<{PIECES.format(id=dict(rows.dtypes)['doc_id']).replace(' ', ':').replace(',:', ',')}>>").schema
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +288,8 @@ def to_batches(df: DataFrame, a_path: str, b_path: str, id_col: str, text: str,
 
         def row():
             # random, not counted: tasks need not know of each other; two equal numbers would share a group, which is harmless
-            return pa.RecordBatch.from_pylist([{"batch": (name.int + made * 0x9E3779B97F4A7C15) % (1 << 63), "pieces": waiting}], schema=arrow)
+            sides = {c: squeeze([p.pop(c).tobytes() for p in waiting], kind.itemsize) for c, kind in (("a", tokenizers.a_type), ("b", tokenizers.b_type))}
+            return pa.RecordBatch.from_pylist([sides | {"batch": (name.int + made * 0x9E3779B97F4A7C15) % (1 << 63), "pieces": waiting}], schema=arrow)
 
         for given in batches:
             for at in range(0, given.num_rows, SLICE):
@@ -222,8 +298,9 @@ def to_batches(df: DataFrame, a_path: str, b_path: str, id_col: str, text: str,
                 for i, (a, b) in zip(ids, tokenizers.encode(part.column(1).to_pylist())):
                     number += 1
                     for p in cut(a, b, a_len, b_len, piece):
-                        waiting.append(p | {"key": f"{name.hex}-{number}", "doc_id": i})
-                        work += len(p["a"]) // stored(a_len).itemsize + len(p["b"]) // stored(b_len).itemsize + 8
+                        whole = p["pieces"] == 1
+                        waiting.append(p | {"key": None if whole else f"{name.hex}-{number}", "doc_id": i, "n_a": len(p["a"]), "n_b": len(p["b"])})
+                        work += len(p["a"]) + len(p["b"]) + 8
                         if work >= batch:
                             yield row()
                             waiting, work, made = [], 0, made + 1
@@ -244,7 +321,8 @@ def batch_pairs(batches: DataFrame, a_len: np.ndarray, b_len: np.ndarray) -> Dat
     def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in given:
             for k in range(part.num_rows):
-                name, pieces = part.column(0)[k].as_py(), part.column(1)[k].as_py()
+                row = part.slice(k, 1).to_pylist()[0]
+                name, pieces = row["batch"], pieces_of(row, a_len, b_len)
                 pairs, n = np.unique(pair_of(merge(pieces, a_len, b_len)), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(pairs), type=pa.int64()), pa.array(pairs), pa.array(n.astype(np.int64))], names=["batch", "pair", "n"])
 
@@ -267,7 +345,8 @@ def parts(batches: DataFrame, counted: DataFrame, a_len: np.ndarray, b_len: np.n
         order = np.unique(pairs, return_index=True)[1]
         pairs, n, best = pairs[order], n[order], best[order]
         out = []
-        for pieces in left.column("pieces").to_pylist():
+        for stored_row in left.to_pylist():
+            pieces = pieces_of(stored_row, a_len, b_len)
             m = merge(pieces, a_len, b_len)
             at = np.searchsorted(pairs, pair_of(m))
             add = lambda values: np.bincount(m.link_piece, values, len(pieces)) if len(at) else np.zeros(len(pieces))
@@ -275,7 +354,7 @@ def parts(batches: DataFrame, counted: DataFrame, a_len: np.ndarray, b_len: np.n
             total = np.zeros(len(pieces), dtype=np.int64)
             np.add.at(total, m.link_piece, n[at])
             for k, p in enumerate(pieces):
-                a, b = ids_of(p, "a", a_len), ids_of(p, "b", b_len)
+                a, b = p["a"].astype(np.int64), p["b"].astype(np.int64)
                 first = int(m.cuts[k - 1]) if k else 0
                 groups = int(m.cuts[k]) - first
                 ga, gb = m.a_group[m.a_from[k] : m.a_from[k + 1]] - first, m.b_group[m.b_from[k] : m.b_from[k + 1]] - first
@@ -285,9 +364,9 @@ def parts(batches: DataFrame, counted: DataFrame, a_len: np.ndarray, b_len: np.n
                 row = {c: p[c] for c in ("key", "doc_id", "piece", "pieces")}
                 row |= {"n_a": len(a), "n_b": len(b), "n_groups": groups, "n_links": int(links[k]), "n_best": int(good[k]), "count_sum": int(total[k])}
                 if p["pieces"] == 1:
-                    row["body"] = hashlib.sha256(body[:-1].encode()).hexdigest() if body else ""
+                    row["body"] = hashlib.sha256(body[:-1]).hexdigest() if body else ""
                 else:
-                    row |= {"body": body, "a_head": a[: whole_a.start], "b_head": b[: whole_b.start], "a_tail": a[whole_a.stop :], "b_tail": b[whole_b.stop :]}
+                    row |= {"body": body.decode(), "a_head": a[: whole_a.start], "b_head": b[: whole_b.start], "a_tail": a[whole_a.stop :], "b_tail": b[whole_b.stop :]}
                 out.append(row)
         return pa.Table.from_pylist(out, schema=arrow)
 

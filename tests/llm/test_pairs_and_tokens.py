@@ -242,6 +242,20 @@ def test_token_bytes_spell_the_text(tokenizers):
     assert [len(x) for x in both.encode(["x▁y"])[0]] == [0, 0]  # a letter that stands for space: B spells another text
 
 
+def test_texts_cut_at_spaces_have_the_ids_of_whole_texts(tokenizers):
+    rng = random.Random(12)
+    both = alignment.Tokenizers(*tokenizers)
+    assert both.cuttable
+    blocks = [(0x20, 0x7F)] * 5 + [(0, 0x21), (0x80, 0x250), (0x80, 0x250), (0x250, 0x3000), (0x3000, 0xD7FF), (0xFB00, 0xFFFF), (0x10000, 0x1F9FF)]
+    texts = ["".join(chr(rng.randrange(*rng.choice(blocks))) + rng.choice(["", "", " ", " ", "  ", "\n", " 's", "\u2581 "]) for _ in range(rng.randint(1, 16))) for _ in range(30_000)]
+    for at in range(0, len(texts), 1000):
+        some = texts[at : at + 1000]
+        firsts = both.a.encode_batch_fast([f" {t}" for t in some], add_special_tokens=False)
+        for t, first, second, (a, b) in zip(some, firsts, both.b.encode(some, num_threads=1), both.encode(some)):
+            spelled = b"".join(both.a_bytes[i] for i in first.ids) == b"".join(both.b_bytes[i] for i in second) == f" {t}".encode()
+            assert [a.tolist(), b.tolist()] == ([first.ids, second] if spelled else [[], []]), t
+
+
 def test_pieces_of_the_merge_path_have_equal_work_and_part_no_tie():
     rng = random.Random(9)
     for _ in range(300):
