@@ -14,6 +14,7 @@ ordered by the hash of their text.  Documents of an equal place in a given order
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import sys
@@ -77,9 +78,23 @@ class PlaneFormat:
 
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+# First bytes of U+0300 and beyond: combining marks begin there.  Characters below are in normal form and are lower-cased one by one.
+BEYOND = bytes(range(0xCC, 0x100))
 ENDINGS = b"!#$%&*+,-./:;<=>?@\\^_`|~()[]{}\""
 MARK = "\x01"
 
+# The normalization and the splitting under which texts may be cut at blanks, and in front of marks behind a letter or digit.
+CUTTABLE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
 
 def worker_cache(name: str) -> dict:
     """A dict that outlives the task in a Python worker that Spark uses again."""
@@ -87,13 +102,22 @@ def worker_cache(name: str) -> dict:
     return home.__dict__.setdefault(name, {})
 
 
+def can_be_cut(tokenizer) -> bool:
+    """Whether the loaded tokenizer normalizes and splits as :data:`CUTTABLE` says, and its added tokens all start with ``<|``."""
+    made = json.loads(tokenizer.to_str())
+    model, added = made["model"], made["added_tokens"]
+    plain = model["type"] == "BPE" and not model["dropout"] and not made["truncation"] and not made["padding"]
+    return plain and all(made[k] == v for k, v in CUTTABLE.items()) and all(t["content"].startswith("<|") and not t["normalized"] for t in added)
+
+
 class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes.
 
-    The tokenizer drops white space and ignores case, so the ids of a text are those of its
-    blank-separated, lower-cased pieces in turn.  Pieces are encoded together, once, and remembered up to
-    ``limit`` of them; marks at the end of a piece, behind a Latin letter or digit, are encoded apart.  Texts
-    that may hold a special token, or the mark that parts pieces, are encoded as they are.
+    A tokenizer that :func:`can_be_cut` gives a text the ids of its blank-separated pieces in turn: no normal form reaches over a
+    blank, and no split holds one.  In pieces of characters below U+0300, which normalization only lower-cases, marks behind a Latin letter
+    or digit are a split of their own; the one letter whose lower case ends in a mark, U+0130, is left whole.  Pieces are encoded
+    together, once, and remembered up to ``limit`` of them.  Texts that may hold an added token or the mark that parts pieces, and all
+    texts of any other tokenizer, are encoded as they are.
     """
 
     limit = 400_000
@@ -104,6 +128,7 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.cuttable = can_be_cut(self.tokenizer)
         # words of a-z alone need no normalization, and are one piece each
         self.letters.normalizer, self.letters.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
         self.known: dict[bytes, bytes] = worker_cache(path)
@@ -111,39 +136,57 @@ class Encoder:
     def _learn(self, tokenizer, mark: str, pieces: list[bytes]) -> None:
         ids_of = lambda texts: [np.array(e.ids, dtype="<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         mark_id, step = ids_of([f"a {mark}"])[0][-1], self.together
+        glue = f" {mark} ".encode()
         for at in range(0, len(pieces), 64 * step):
             groups = [pieces[i : i + step] for i in range(at, min(at + 64 * step, len(pieces)), step)]
-            for group, ids in zip(groups, ids_of([f" {mark} ".join([p.decode("utf-8") for p in g]) for g in groups])):
-                cuts = np.flatnonzero(ids == mark_id)
-                raw, starts, ends = ids.tobytes(), [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
-                for p, a, b in zip(group, starts, ends):
-                    self.known[p] = raw[4 * a : 4 * b]
+            for group, ids in zip(groups, ids_of([glue.join(g).decode("utf-8") for g in groups])):
+                ends = (4 * np.flatnonzero(ids == mark_id)).tolist()
+                raw = ids.tobytes()
+                self.known.update(zip(group, [raw[a:b] for a, b in zip([0, *[e + 4 for e in ends]], [*ends, len(raw)])]))
+
+    def _pieces(self, raw: bytes) -> list[bytes]:
+        if raw.isascii() or len(raw.translate(None, BEYOND)) == len(raw):
+            return raw.translate(LOWER).split()
+        return [p if len(p.translate(None, BEYOND)) < len(p) else p.translate(LOWER) for p in raw.split()]
+
+    @staticmethod
+    def _cut(piece: bytes) -> int:
+        """Where the marks at the end begin, if they are a split of their own; 0 if not."""
+        base = piece.rstrip(ENDINGS)
+        if len(base) == len(piece) or not base or not (piece.isascii() or len(piece.translate(None, BEYOND)) == len(piece)):
+            return 0
+        if base[-1] < 128:
+            return len(base) if base[-1:].isalnum() else 0
+        last = base.decode("utf-8")[-1]
+        return len(base) if last < "\u0250" and last.isalpha() and last != "\u0130" else 0
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         known, split, whole = self.known, [], {}
         for i, t in enumerate(texts):
             raw = t.encode("utf-8") if t else b""
-            if b"<|" in raw or b"\x01" in raw:
+            if raw and (not self.cuttable or b"<|" in raw or b"\x01" in raw):
                 whole[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
                 raw = b""
-            split.append(raw.translate(LOWER).split())
-        new = set().union(*split)
+            split.append(self._pieces(raw))
+        new = set().union(*split).difference(known)
         if len(known) + len(new) > self.limit:  # the first learned are the most frequent: they stay
             for p in list(known)[self.limit // 2 :]:
                 del known[p]
-        ended, single = {}, set()
-        for p in new:
-            if p in known:
-                continue
-            base = p.rstrip(ENDINGS)
-            if len(base) < len(p) and base and (base[-1:].isalnum() or (base[-1] >= 128 and "\xc0" <= base.decode("utf-8")[-1] < "\u0250" and base.decode("utf-8")[-1].isalpha())):
-                ended[p] = (base, p[len(base) :])
-                single.update(ended[p])
+            new = set().union(*split).difference(known)
+        words = {p for p in new if p.isalpha()}
+        others, ended = set(), {}
+        for p in new - words:
+            at = self._cut(p)
+            if at:
+                base, marks = ended[p] = p[:at], p[at:]
+                if base not in known:
+                    (words if base.isalpha() else others).add(base)
+                if marks not in known:
+                    others.add(marks)
             else:
-                single.add(p)
-        single = sorted(p for p in single if p not in known)
-        self._learn(self.letters, "0", [p for p in single if p.isalpha()])
-        self._learn(self.tokenizer, MARK, [p for p in single if not p.isalpha()])
+                others.add(p)
+        self._learn(self.letters, "0", list(words))
+        self._learn(self.tokenizer, MARK, list(others))
         for p, (base, marks) in ended.items():
             known[p] = known[base] + known[marks]
         return [whole[i] if i in whole else b"".join(map(known.__getitem__, pieces)) for i, pieces in enumerate(split)]
