@@ -63,8 +63,13 @@ def op7(spark, d):
 
 @Q("op9_mixing", (), sql.MIXING)
 def op9(spark, d):
-    mixed = mixing.mix(read(spark, d, "documents").select("doc_id", "source", "text"))
-    return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
+    # words are counted where the texts are read; the texts themselves are not shuffled
+    docs = read(spark, d, "documents").select("doc_id", "source", mixing.n_words("text").alias("words"))
+    mixed = mixing.mix(docs, size=F.col("words"))
+    rows = mixed.select(
+        "doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", F.size("mix.plays").cast("long").alias("n_uses"), F.get("mix.plays", F.lit(0))["position"].alias("first_position"),
+    )
+    return rows.repartitionByRange("first_position", "doc_id").sortWithinPartitions("first_position", "doc_id")
 
 
 @Q("op10_token_planes")

@@ -63,16 +63,19 @@ def _invert(u: Column, slope: Column) -> Column:
 
 def mix(
     df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", cycle: tuple[int, ...] = (1, 2, 3),
-    slopes: tuple[float, ...] = SLOPES, passes: int = MAX_PASSES, order_digits: int = 3,
+    slopes: tuple[float, ...] = SLOPES, passes: int = MAX_PASSES, order_digits: int = 4, size: Column | None = None,
 ) -> DataFrame:
     """Columns of ``df`` plus (or, if there is one, with a new) struct ``mix`` (size, source_size, target, taken, plays).
 
     ``plays`` lists each use of the document: ``position`` in [0, 1) and ``words`` taken.  Only the last
     document of a source is cut short.  The running size within a source is found in two steps, totals by the
     first ``order_digits`` hex digits of the drawn order, then inside each such piece, so a hot source
-    is spread over ``16 ** order_digits`` pieces.
+    is spread over ``16 ** order_digits`` pieces.  ``size`` gives the words of a document, so that rows can be mixed
+    without their texts.
     """
-    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != "mix"]).alias("row"), n_words(text).alias("size"), F.col(source).alias("source"), draw(id_col).alias("draw"))
+    sized = n_words(text) if size is None else size.cast("long")
+    carried = [F.col(f"`{c}`") for c in df.columns if c != "mix"]
+    whole = df.select(F.struct(*carried).alias("row"), sized.alias("size"), F.col(f"`{source}`").alias("source"), draw(id_col).alias("draw"))
     whole = whole.withColumn("piece", F.substring("draw", 1, order_digits))
     pieces = whole.groupBy("source", "piece").agg(F.sum("size").alias("piece_size"))
     before = W.partitionBy("source").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
@@ -91,7 +94,7 @@ def mix(
     def play(k: Column) -> Column:
         start = F.col("at") + k * F.col("source_size")
         words = F.greatest(F.lit(0), F.least(F.col("size"), F.col("wanted") - start))
-        return F.struct(_invert(start / F.col("wanted"), F.col("slope")).alias("position"), words.cast("long").alias("words"))
+        return F.struct(_invert(F.try_divide(start, F.col("wanted")), F.col("slope")).alias("position"), words.cast("long").alias("words"))
 
     plays = F.filter(F.transform(F.sequence(F.lit(0), F.lit(passes - 1)), play), lambda p: p["words"] > 0)
     run = run.withColumn("plays", plays)
@@ -101,12 +104,12 @@ def mix(
 
 
 def in_training_order(mixed: DataFrame, partitions: int | None = None) -> DataFrame:
-    """One row per use of a document, range-sorted by training position; adds ``position`` and ``words``.
+    """One row per use of a document, range-sorted by training position; adds ``position`` and ``words``, in place of columns of these names.
 
     A use cut to less than half of its document is left out, any other is whole.
     """
-    size = F.col("mix.size")
-    plays = mixed.withColumn("play", F.explode("mix.plays")).filter(2 * F.col("play.words") >= size)
-    rows = plays.select(*[F.col(f"`{c}`") for c in mixed.columns if c != "mix"], F.col("play.position").alias("position"), size.alias("words"))
+    own = [c for c in mixed.columns if c not in ("mix", "position", "words")]
+    plays = mixed.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col("mix.size").alias("size"), F.explode("mix.plays").alias("play"))
+    rows = plays.filter(2 * F.col("play.words") >= F.col("size")).select("row.*", F.col("play.position").alias("position"), F.col("size").alias("words"))
     ranged = rows.repartitionByRange(partitions, "position") if partitions else rows.repartitionByRange("position")
     return ranged.sortWithinPartitions("position")

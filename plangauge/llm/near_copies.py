@@ -251,6 +251,6 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", **option
     """Rows of ``df`` without those whose class is led by another document; equal rows stay once."""
     stay = near_copies(df, id_col, text, **options).filter(F.col("class_id").isNull() | (F.col("class_id") == F.col("doc_id")))
     stay = keep(stay.select(F.col("doc_id").alias("of_doc"), F.col("h1").alias("of_h1"), F.col("h2").alias("of_h2")).distinct(), "first-of-class")
-    own = df.withColumns({"_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(1), text)})
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("of_doc")) & (F.col("_h1") == F.col("of_h1")) & (F.col("_h2") == F.col("of_h2"))
-    return own.join(stay.hint("merge"), same, "left_semi").dropDuplicates([id_col, "_h1", "_h2"]).drop("_h1", "_h2")
+    own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("h1"), F.xxhash64(F.lit(1), F.col(f"`{text}`")).alias("h2"))
+    same = F.col("id").eqNullSafe(F.col("of_doc")) & (F.col("h1") == F.col("of_h1")) & (F.col("h2") == F.col("of_h2"))
+    return own.join(stay.hint("merge"), same, "left_semi").dropDuplicates(["id", "h1", "h2"]).select("row.*")

@@ -51,11 +51,14 @@ MIXING = rf"""WITH sized AS (SELECT doc_id, source, md5(COALESCE(CAST(doc_id AS
     leveled AS (SELECT *, (SUM(source_size) OVER () - COALESCE(SUM(most) OVER (ORDER BY most / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
       / SUM(weight) OVER (ORDER BY most / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
     fill AS (SELECT level FROM leveled WHERE most / weight >= level ORDER BY most / weight, place LIMIT 1),
-    targets AS (SELECT source, source_size, LEAST(CAST(most AS DOUBLE), fill.level * weight) AS target FROM leveled, fill),
-    run AS (SELECT sized.*, source_size, target, CAST(round(target) AS BIGINT) AS wanted,
+    targets AS (SELECT source, source_size, LEAST(CAST(most AS DOUBLE), fill.level * weight) AS target, CASE (place - 1) % 3 WHEN 0 THEN 6e-1 WHEN 1 THEN 0e0 ELSE -6e-1 END AS slope FROM leveled, fill),
+    run AS (SELECT sized.*, source_size, target, slope, CAST(round(target) AS BIGINT) AS wanted,
       CAST(COALESCE(SUM(size) OVER (PARTITION BY sized.source ORDER BY draw, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
       FROM sized JOIN targets ON targets.source IS NOT DISTINCT FROM sized.source)
-    SELECT doc_id, size, source_size, target, {' + '.join(f'GREATEST(0, LEAST(size, wanted - before - {k} * source_size))' for k in range(3))} AS taken FROM run"""
+    SELECT doc_id, size, source_size, target, {' + '.join(f'GREATEST(0, LEAST(size, wanted - before - {k} * source_size))' for k in range(3))} AS taken,
+      CAST({' + '.join(f'CASE WHEN LEAST(size, wanted - before - {k} * source_size) > 0 THEN 1 ELSE 0 END' for k in range(3))} AS BIGINT) AS n_uses,
+      CASE WHEN LEAST(size, wanted - before) > 0 THEN CASE WHEN slope = 0 THEN before / CAST(wanted AS DOUBLE)
+        ELSE (-(1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * (before / CAST(wanted AS DOUBLE)))) / (2 * slope) END END AS first_position FROM run"""
 
 RECOMPRESSION = rf"""WITH d AS (SELECT doc_id, regexp_extract_all(COALESCE(text, ''), {_WORD}) AS w FROM documents),
     windows AS (SELECT doc_id, k, md5(array_to_string(list_slice(w, k, k + 34), ' ')) AS g FROM (SELECT doc_id, w, UNNEST(range(1, len(w) - 33)) AS k FROM d WHERE len(w) >= 35) x),
