@@ -9,13 +9,14 @@ against nav, footer, advert, comment and so on).  To learn more than those tags,
 also laid out anew in other ways from its own texts.
 
 Null and empty pages give an empty text.  Broken markup (unclosed, stray or cut off tags) is read as browsers do,
-in the main.  Every row in gives one row out.
+in the main; pages of any length, and hostile ones, are read whole in time in proportion.  Every row in gives one row out.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -36,8 +37,13 @@ BLOCKS = frozenset(
     "legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSES_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "li", "dd", "dt", "summary", "figcaption"}
+PARTNER = {"td": ("th",), "th": ("td",), "dd": ("dt",), "dt": ("dd",)}
 SAME = {"li": "ul ol menu", "tr": "table tbody thead tfoot", "td": "tr", "th": "tr", "dd": "dl", "dt": "dl", "option": "select"}
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+TAG_NAME = re.compile(r"</?[a-zA-Z][^\s/>]*+")
+# White space and slashes, or a name with perhaps a value: in quotes, or up to white space.  A quote inside an unquoted value is part of it,
+# one that is never closed part of a name.  Nothing is tried twice, so long tags cost time in proportion.
+INSIDE = re.compile(r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>)))?+)*+""")
+UNQUOTED_END = re.compile(r"""=\s*+[^\s>"'][^\s>]*+\Z""")
 ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACE = re.compile(r"\s+")
@@ -66,60 +72,83 @@ class Node:
     pieces: list = field(default_factory=list)  # texts and child indexes, in page order
 
 
+def next_markup(html: str, at: int) -> tuple[int, int, str, str] | None:
+    """The next tag, comment or declaration from ``at``: where it begins and ends, its name (with a slash in front of an end tag's; empty for the others), and its attributes.
+
+    A tag or declaration that the page's end cuts off goes to the end, as a comment does.
+    """
+    while (begin := html.find("<", at)) >= 0:
+        if html.startswith("<!--", begin):
+            end = html.find("-->", begin + 2)
+            return begin, end + 3 if end >= 0 else len(html), "", ""
+        named = TAG_NAME.match(html, begin)
+        if named:
+            end = INSIDE.match(html, named.end()).end()
+            return begin, min(end + 1, len(html)), named[0][1:].lower() if end < len(html) else "", html[named.end() : end]
+        if html.startswith(("<!", "<?", "</"), begin):
+            end = html.find(">", begin)
+            return begin, end + 1 if end >= 0 else len(html), "", ""
+        at = begin + 1
+    return None
+
+
 def parse(html: str) -> list[Node]:
     """Elements in page order; element 0 is the page."""
     nodes = [Node("html", -1, 0)]
-    stack, at = [0], 0
+    stack, at, open_ = [0], 0, Counter()
+
+    def close(k: int) -> None:
+        """Close the element at place ``k`` of the stack and all inside it."""
+        for i in stack[k:]:
+            open_[nodes[i].tag] -= 1
+        del stack[k:]
 
     def text(raw: str) -> None:
         if raw:
             nodes[stack[-1]].pieces.append(unescape(raw))
 
     while at < len(html):
-        found = MARKUP.search(html, at)
+        found = next_markup(html, at)
         if found is None:
-            rest = html[at:]
-            cut = re.search(r"<[/!?a-zA-Z][^<>]*\Z", rest)  # a tag that the page's end cuts off
-            text(rest[: cut.start()] if cut else rest)
+            text(html[at:])
             break
-        text(html[at : found.start()])
-        at = found.end()
-        if not found[2]:
+        begin, end, name, attributes = found
+        text(html[at:begin])
+        at = end
+        if not name:
             continue
-        tag = found[2].lower()
-        if found[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == tag:
-                    del stack[k:]
-                    break
+        tag = name.removeprefix("/")
+        if name[0] == "/":
+            if open_[tag]:
+                close(next(k for k in range(len(stack) - 1, 0, -1) if nodes[stack[k]].tag == tag))
             continue
         if tag == "html":
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and open_["p"]:
             for k in range(len(stack) - 1, 0, -1):
                 if nodes[stack[k]].tag == "p":
-                    del stack[k:]
+                    close(k)
                     break
                 if nodes[stack[k]].tag in BLOCKS:
                     break
-        if tag in SAME:
+        if tag in SAME and (open_[tag] or any(open_[other] for other in PARTNER.get(tag, ()))):
             for k in range(len(stack) - 1, 0, -1):
                 other = nodes[stack[k]].tag
-                if other == tag or {other, tag} in ({"td", "th"}, {"dd", "dt"}):
-                    del stack[k:]
+                if other == tag or other in PARTNER.get(tag, ()):
+                    close(k)
                     break
                 if other in SAME[tag].split():
                     break
         parent = stack[-1]
-        hints = _hints(found[3]) if found[3] else ()
-        nodes.append(Node(tag, parent, nodes[parent].depth + 1, hints))
+        nodes.append(Node(tag, parent, nodes[parent].depth + 1, _hints(attributes) if attributes else ()))
         nodes[parent].pieces.append(len(nodes) - 1)
-        if tag in VOID or found[3].endswith("/"):
+        if tag in VOID or attributes.endswith("/") and not UNQUOTED_END.search(attributes):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
+            end_tag = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+            at = end_tag.end() if end_tag else len(html)
             continue
+        open_[tag] += 1
         stack.append(len(nodes) - 1)
     return nodes
 
@@ -312,7 +341,10 @@ def layout_labels(html: str) -> tuple[list[Node], np.ndarray]:
     nodes = parse(html)
     marked = html.index(" data-part")
     # the marked element is the one that many elements opened before
-    opened = len([m for m in MARKUP.finditer(html[:marked]) if m[2] and not m[1] and m[2].lower() != "html"])
+    opened, at = 0, 0
+    while (found := next_markup(html, at)) and found[1] <= marked:
+        opened += bool(found[2]) and found[2][0] != "/" and found[2] != "html"
+        at = found[1]
     label, inside = np.zeros(len(nodes)), np.zeros(len(nodes), dtype=bool)
     target = opened + 1
     for i, x in enumerate(nodes):
