@@ -123,26 +123,40 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden:
     return QualityModel(prior, centre, scale, tuple(layers))
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1, slack: float = 0.01) -> float:
+    """Share of positives among the unlabelled, from scores of rows of both that the scorer was not fitted to.
+
+    Above any threshold, the share of unlabelled rows over the share of positives bounds the prior from above, and meets it where
+    no negative is left.  The threshold is the one with the least bound after what chance may add (best bin estimation).
+    """
+    n, m = len(positive), len(unlabelled)
+    if not n or not m:
+        return 0.5
+    tops = np.sort(positive)[::-1]
+    share_p = np.arange(1, n + 1) / n
+    share_u = (m - np.searchsorted(np.sort(unlabelled), tops, side="left")) / m
+    chance = np.sqrt(np.log(4 / delta) / (2 * n)) + np.sqrt(np.log(4 / delta) / (2 * m))
+    at = int(np.argmin(share_u / share_p + (1 + slack) * chance / share_p))
+    return float(np.clip(share_u[at] / share_p[at], 0.01, 0.99))
+
+
 def train(
     documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality",
-    folds: int = 5, held_out: int = 0, max_positive: int = 6000, max_unlabelled: int = 9000,
+    folds: int = 5, held_out: int = 0, max_positive: int = 6000, max_unlabelled: int = 9000, prior: float | None = None,
 ) -> QualityModel:
     """Fit on a bounded sample: at most ``max_positive`` rows labelled 1 and ``max_unlabelled`` rows of any kind.
 
-    Both are the first by a hash of the id, outside the held-out fold.  The class prior is the share of
-    label 1 among all labels outside that fold.
+    Both are the first by a hash of the id, outside the held-out fold.  Unless a ``prior`` is given, it is estimated from them
+    (:func:`estimate_prior`): a first scorer is fitted to one half and asked about the other.  Labels other than 1 are not used.
     """
     outside = fold_column(id_col, folds) != held_out
-    known = labels.select(id_col, label).filter(outside & F.col(id_col).isNotNull() & F.col(label).isNotNull())
-    prior = known.agg(F.avg((F.col(label) == 1).cast("double")).alias("p")).first()["p"]
-    if prior is None:
-        return fit_nnpu(np.empty((0, N_FEATURES)), np.empty((0, N_FEATURES)), 0.5)
+    trusted = labels.select(id_col, label).filter(outside & F.col(id_col).isNotNull() & (F.col(label) == 1))
     first = lambda ids, n: ids.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(n)
-    positive = first(known.filter(F.col(label) == 1), max_positive).withColumn("positive", F.lit(1))
+    positive = first(trusted, max_positive).withColumn("positive", F.lit(1))
     others = first(documents.filter(outside & F.col(id_col).isNotNull()), max_unlabelled).withColumn("positive", F.lit(0))
-    # at most max_positive + max_unlabelled ids
+    # at most max_positive + max_unlabelled ids; rows that share one count once, the least text
     chosen = F.broadcast(positive.unionByName(others))
-    sample = documents.select(id_col, text).join(chosen, id_col).select("positive", text)
+    sample = documents.select(id_col, F.col(text).alias("text")).join(chosen, id_col).groupBy(id_col, "positive").agg(F.min("text").alias("text")).select("positive", "text")
 
     def make():
         def work(flags, texts):
@@ -151,12 +165,16 @@ def train(
 
         return work
 
-    rows = map_rows(sample, "positive int, x array<double>", make).limit(2 * (max_positive + max_unlabelled)).collect()
+    rows = map_rows(sample, "positive int, x array<double>", make).collect()
     x = np.array([r["x"] for r in rows] or np.empty((0, N_FEATURES)))
     is_positive = np.array([r["positive"] for r in rows], dtype=bool)
     order = np.lexsort(x.T) if len(x) else np.arange(0)  # same fit whatever the order of rows
     x, is_positive = x[order], is_positive[order]
-    return fit_nnpu(x[is_positive], x[~is_positive], float(prior))
+    p, u = x[is_positive], x[~is_positive]
+    if prior is None:
+        ranker = fit_nnpu(p[::2], u[::2], 0.5, steps=400)
+        prior = estimate_prior(ranker.score(p[1::2]), ranker.score(u[1::2])) if len(p) > 1 and len(u) > 1 else 0.5
+    return fit_nnpu(p, u, float(prior))
 
 
 def score(df: DataFrame, model: QualityModel, id_col: str = "doc_id", text: str = "text") -> DataFrame:
