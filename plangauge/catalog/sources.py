@@ -10,9 +10,9 @@ from plangauge.catalog.base import Catalog, plain
 from plangauge.catalog.benchmarks import ROWS
 from plangauge.operators import benchmarks
 from plangauge.session import new_work_dir
-from plangauge.sources import logs
+from plangauge.sources import layout, logs
 from plangauge.sources.standins import standin
-from plangauge.sources.tables import TABLE_ROWS, register_views, table_rows
+from plangauge.sources.tables import TABLE_ROWS, read_table, register_views, table_rows
 
 CATALOG = Catalog()
 Q = CATALOG.query
@@ -31,6 +31,35 @@ def io1(spark, d):
     return reduce(lambda a, b: a.unionByName(b), counts).join(nominal, "table_name")
 
 
+@Q(
+    "IO1_colocated_join",
+    (),
+    "SELECT o_orderpriority, COUNT(*) AS lines, CAST(SUM(l_quantity) AS BIGINT) AS quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderpriority",
+)
+def io1_colocated(spark, d):
+    """Orders and lines stored by order key: the join reads both as they lie."""
+    stored = {}
+    for name, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
+        path = new_work_dir(spark, f"colocated-{name}")
+        stored[name] = layout.write_colocated(read_table(spark, d, name), f"colocated_{path.rsplit('-', 1)[1]}", key, 16, path)
+    joined = stored["orders"].join(stored["lineitem"].hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return joined.groupBy("o_orderpriority").agg(F.count("*").alias("lines"), F.sum("l_quantity").cast("long").alias("quantity"))
+
+
+@Q(
+    "IO1_zordered_scan",
+    (),
+    """SELECT COUNT(*) AS lines, MIN(l_orderkey) AS least, MAX(l_orderkey) AS most, CAST(SUM(l_quantity) AS BIGINT) AS quantity FROM lineitem
+    WHERE l_shipdate >= DATE '1994-01-01' AND l_shipdate < DATE '1995-01-01' AND l_orderkey > (SELECT MAX(l_orderkey) FROM lineitem) / 2""",
+)
+def io1_zordered(spark, d):
+    """Lines stored along a curve of day and order key: a filter on both skips row groups by both."""
+    lines = layout.write_zordered(read_table(spark, d, "lineitem"), new_work_dir(spark, "zordered-lineitem"), ["l_shipdate", "l_orderkey"], row_group_bytes=4 << 20)
+    half = lines.agg(F.max("l_orderkey")).first()[0] / 2
+    some = lines.filter((F.col("l_shipdate") >= F.lit("1994-01-01").cast("date")) & (F.col("l_shipdate") < F.lit("1995-01-01").cast("date")) & (F.col("l_orderkey") > half))
+    return some.agg(F.count("*").alias("lines"), F.min("l_orderkey").alias("least"), F.max("l_orderkey").alias("most"), F.sum("l_quantity").cast("long").alias("quantity"))
+
+
 _ROUND_TRIP = """SELECT run_id, COUNT(*) AS entries, COUNT(reward_mean) - COUNT(*) FILTER (isnan(reward_mean)) AS rewards, MAX(step) AS last_step,
     ROUND(SUM(speedup_ratio), 4) AS speedups FROM history GROUP BY run_id"""
 

@@ -178,6 +178,24 @@ def t10(spark, d):
     return plain(diversity.completion_diversity(standin(spark, d, "completions")))
 
 
+# a prompt is what an action and an episode's last digit share: some twenty samples and more
+_SAMPLED = "SELECT action || '-' || CAST(episode_id % 50 AS VARCHAR) AS prompt_id, event_id AS sample_id, rewritten_query AS text FROM attempts"
+
+
+@Q(
+    "T10_exact_diversity",
+    ("attempts",),
+    f"""WITH samples AS ({_SAMPLED}), pairs AS (SELECT a.prompt_id, COUNT(*) AS pairs, SUM(levenshtein(a.text, b.text)) AS total FROM samples a JOIN samples b
+      ON a.prompt_id = b.prompt_id AND a.sample_id < b.sample_id GROUP BY a.prompt_id), sizes AS (SELECT prompt_id, COUNT(*) AS samples FROM samples GROUP BY prompt_id)
+    SELECT s.prompt_id, samples, COALESCE(pairs, 0) AS pairs, ROUND(COALESCE(total / CAST(pairs AS DOUBLE), 0e0), 6) AS mean_distance,
+    COALESCE(total / CAST(pairs AS DOUBLE), 0e0) < 50 AS low_diversity FROM sizes s LEFT JOIN pairs p ON s.prompt_id = p.prompt_id""",
+)
+def t10_exact(spark, d):
+    log = standin(spark, d, "attempts")
+    prompt = F.concat_ws("-", "action", (F.col("episode_id") % 50).cast("string"))
+    return plain(diversity.exact_diversity(log.select(prompt.alias("prompt_id"), F.col("event_id").alias("sample_id"), F.col("rewritten_query").alias("text"))))
+
+
 # Prompts ---------------------------------------------------------------------------------
 
 PLANS = ("plans",)
@@ -197,12 +215,14 @@ def _rounded(column: str) -> str:
     return f"CAST(CAST(round_even({column}, 0) AS BIGINT) AS VARCHAR)"
 
 
+_FACTS = {
+    "root of the plan": "node_type", "costliest node": f"top_node_type || ' (cost=' || {_rounded('top_node_cost')} || ')'", "estimated cost": _rounded("total_cost"),
+    "full scans": "seq_scans", "nested loop joins": "nested_loops", "hash joins": "hash_joins",
+}
 _PERFORMANCE = (
-    f"{lit(prompts.HEAD_PERFORMANCE + 'Execution Time: ')} || printf('%.1f ms', round_even(execution_ms, 1)) || "
-    f"{lit(chr(10) + 'Query Plan Summary:' + chr(10) + '  - Top node: ')} || node_type || {lit(chr(10) + '  - Sequential scans: ')} || seq_scans || "
-    f"{lit(chr(10) + '  - Nested loops: ')} || nested_loops || {lit(chr(10) + '  - Hash joins: ')} || hash_joins || "
-    f"{lit(chr(10) + '  - Highest cost node: ')} || top_node_type || ' (cost=' || {_rounded('top_node_cost')} || ')' || "
-    f"{lit(chr(10) + '  - Total estimated cost: ')} || {_rounded('total_cost')} || {lit(chr(10))}"
+    f"{lit(prompts.HEAD_PERFORMANCE + 'measured: ')} || printf('%.1f ms', round_even(execution_ms, 1)) || "
+    + " || ".join(f"{lit(chr(10) + label + ': ')} || {value}" for label, value in _FACTS.items())
+    + f" || {lit(chr(10))}"
 )
 _OPENING = lit(f"{W.role} {W.goal}\n\n{prompts.HEAD_SCHEMA}{SCHEMA_TEXT}")
 

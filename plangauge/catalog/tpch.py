@@ -170,6 +170,7 @@ _LATEST = "ORDER BY l_shipdate DESC, l_extendedprice DESC, l_orderkey, l_linenum
 _R1_ARGS = {"first": "1996-01-01", "last": "1996-12-31"}
 _R2_ARGS = {"day": "1998-12-25"}
 _DAY = "1998-09-02"
+_NEWEST = "o_orderdate > (SELECT MAX(o_orderdate) FROM typed_orders) - INTERVAL 30 DAY"
 
 # pair -> (arguments for the given data, views, before SQL, after SQL, digits)
 PAIR_SQL: dict[str, tuple[dict, tuple[str, ...], str, str]] = {
@@ -199,9 +200,9 @@ PAIR_SQL: dict[str, tuple[dict, tuple[str, ...], str, str]] = {
     ),
     "R5": (
         {},
-        (),
-        "SELECT o_orderkey, c_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey",
-        "SELECT o_orderkey, c_name FROM orders o JOIN lineitem ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey",
+        (OD,),
+        f"SELECT o_orderkey, c_name FROM lineitem JOIN typed_orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE {_NEWEST}",
+        f"SELECT o_orderkey, c_name FROM (SELECT * FROM typed_orders WHERE {_NEWEST}) o JOIN customer ON o_custkey = c_custkey JOIN lineitem ON o_orderkey = l_orderkey",
     ),
     "R6": (
         {},
@@ -325,6 +326,20 @@ def x4(spark, d):
     return equality.differing_rows(before, orders.filter(F.col("o_orderstatus") != "P").select(*columns))
 
 
+@Q(
+    "X4_few_differing_rows",
+    (),
+    """WITH b AS (SELECT l_orderkey, l_partkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(l_quantity AS BIGINT) AS quantity FROM lineitem),
+    a AS (SELECT l_orderkey, l_partkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(l_quantity + CASE WHEN l_orderkey % 997 = 3 THEN 1 ELSE 0 END AS BIGINT) AS quantity FROM lineitem),
+    x AS (SELECT * FROM b EXCEPT ALL SELECT * FROM a), y AS (SELECT * FROM a EXCEPT ALL SELECT * FROM b)
+    SELECT *, 'only_before' AS side FROM x UNION ALL SELECT *, 'only_after' AS side FROM y""",
+)
+def x4_few(spark, d):
+    lines = tables(spark, d, "lineitem")["lineitem"].select("l_orderkey", "l_partkey", "l_linenumber", F.col("l_quantity").cast("long").alias("quantity"))
+    changed = lines.withColumn("quantity", F.col("quantity") + F.when(F.col("l_orderkey") % 997 == 3, 1).otherwise(0))
+    return plain(equality.few_differing_rows(lines, changed, n=None))
+
+
 @Q(
     "X5_all_repetitions_match",
     ("timings", "timing_baselines"),

@@ -8,6 +8,41 @@ from pyspark.sql import functions as F
 # Samples in one probe, and the mean distance below which diversity is low.
 PROBE_SIZE = 5
 LOW_DIVERSITY = 50.0
+# Samples in a block of the exact mean.
+TILE = 64
+
+
+def _distances(left: str, right: str | None = None):
+    """Sum of the edit distances of all pairs from two arrays, or within one."""
+    others = lambda i: F.slice(left, i + 2, F.size(left)) if right is None else F.col(right)
+    one = lambda a, i: F.aggregate(others(i), F.lit(0).cast("long"), lambda s, b: s + F.levenshtein(a, b))
+    return F.aggregate(F.transform(left, one), F.lit(0).cast("long"), lambda s, d: s + d)
+
+
+def exact_diversity(completions: DataFrame, block: int = TILE, low: float = LOW_DIVERSITY) -> DataFrame:
+    """Mean edit distance over *all* pairs of completions of each prompt: one row per prompt.
+
+    The samples of a prompt are dealt to blocks of about ``block`` by a hash of their id and text.  Pairs form a triangle of tiles,
+    block against block; a sample is sent to one tile for each block, so ``samples / block`` times, and a tile holds two blocks and
+    puts out one sum.  No pair becomes a row, and no task holds a prompt.  For estimates that grow with the samples only, see
+    :func:`completion_diversity`.
+    """
+    sizes = completions.groupBy("prompt_id").agg(F.count("*").alias("_n"))
+    rows = completions.select("prompt_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("sample_id", "text").alias("_h")).join(sizes, "prompt_id")
+    rows = rows.withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int")).withColumn("_own", F.pmod("_h", "_blocks").cast("int"))
+    dealt = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    mine = F.col("_own") <= F.col("_other")
+    low_block, high_block = F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j")
+    dealt = dealt.select("prompt_id", low_block, high_block, mine.alias("_first"), "text")
+    tiles = dealt.groupBy("prompt_id", "_i", "_j").agg(
+        F.collect_list(F.when(F.col("_first"), F.col("text"))).alias("_a"), F.collect_list(F.when(~F.col("_first"), F.col("text"))).alias("_b")
+    )
+    total = F.when(F.col("_i") == F.col("_j"), _distances("_a")).otherwise(_distances("_a", "_b"))
+    sums = tiles.groupBy("prompt_id").agg(F.sum(total).alias("_total"))
+    pairs = (F.col("_n") * (F.col("_n") - 1) / 2).cast("long")
+    mean = F.col("_total") / F.greatest(pairs, F.lit(1))
+    whole = sums.join(sizes, "prompt_id").select("prompt_id", F.col("_n").alias("samples"), pairs.alias("pairs"), mean.cast("double").alias("mean_distance"))
+    return whole.withColumn("low_diversity", F.col("mean_distance") < low)
 
 
 def completion_diversity(completions: DataFrame, probe: int = PROBE_SIZE, low: float = LOW_DIVERSITY) -> DataFrame:

@@ -14,10 +14,9 @@ from pyspark.sql import functions as F
 DEFAULT_SALTS = 32
 DEFAULT_SPAN = 1_000_000
 
-# How a median is bracketed: accuracy of the sketch (its ranks are off by at most rows / accuracy)
-# and the distance of the bracket's ends from the middle, ten times that error.
-SKETCH_ACCURACY = 10_000
-BRACKET = 0.001
+# Histograms in which a median is looked for: bins of each key, and how often the middle bin is divided again.
+BINS = 1024
+ROUNDS = 2
 
 
 def top_n_per_key(
@@ -97,27 +96,52 @@ def rolling(
     return spread.filter(~F.col("_halo")).drop("_block", "_halo")
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, *also: Column) -> DataFrame:
+def _narrowed(counts: DataFrame, ranges: DataFrame, keys: list[str], bins: int) -> DataFrame:
+    """``ranges`` with the least range around both middle ranks that a histogram of ``bins`` bins shows.
+
+    Bins divide the range of each key by value; what is shuffled for a key, and what the running total over its bins
+    sees, is at most ``bins`` rows.  The range ends at values that occur, so it shrinks however unevenly the values lie.
+    """
+    inside = counts.join(ranges, keys).filter(F.col("_v").between(F.col("_low"), F.col("_high")))
+    share = F.nanvl((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")), F.lit(0.0))
+    place = F.when(F.col("_v") >= F.col("_high"), F.lit(bins - 1)).when(F.col("_v") <= F.col("_low"), F.lit(0))
+    place = place.otherwise(F.least(F.lit(bins - 1), F.floor(share * bins).cast("int")))
+    binned = inside.groupBy(*keys, place.alias("_bin")).agg(
+        F.sum("_c").alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most"), F.max("_a").alias("_a"), F.max("_b").alias("_b")
+    )
+    upto = F.sum("_c").over(W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, 0))
+    placed = binned.withColumn("_before", upto - F.col("_c"))
+    holds = {r: (F.col("_before") <= F.col(r)) & (F.col(r) < F.col("_before") + F.col("_c")) for r in ("_a", "_b")}
+    low, high, before = (F.max(F.when(holds[r], F.col(c))) for r, c in (("_a", "_least"), ("_b", "_most"), ("_a", "_before")))
+    return placed.groupBy(*keys).agg(low.alias("_low"), high.alias("_high"), (F.max("_a") - before).alias("_a"), (F.max("_b") - before).alias("_b"))
+
+
+def median_candidates(df: DataFrame, keys: list[str], value: str, bins: int = BINS, rounds: int = ROUNDS) -> DataFrame:
+    """``keys``, ``_v``, ``_c`` (how often), ``_a`` and ``_b``: the values around the middle, with the middle ranks among them.
+
+    All values are counted once, dealt by key *and* value, so a hot key fills many tasks evenly; rounds of histograms then read these
+    counts again, not the rows.  Of a key with n different values about ``n / bins ** rounds`` are left if they
+    lie evenly within what is left of the range.  NaN counts as infinity.
+    """
+    clean = df.select(*keys, F.nanvl(F.col(value).cast("double"), F.lit(float("inf"))).alias("_v")).filter(F.col("_v").isNotNull())
+    counts = clean.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
+    n = F.sum("_c")
+    ranges = counts.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.floor((n - 1) / 2).alias("_a"), F.floor(n / 2).alias("_b"))
+    for _ in range(rounds):
+        ranges = _narrowed(counts, ranges, keys, bins)
+    return counts.join(ranges, keys).filter(F.col("_v").between(F.col("_low"), F.col("_high"))).drop("_low", "_high")
+
+
+def exact_median(df: DataFrame, keys: list[str], value: str, *also: Column, bins: int = BINS, rounds: int = ROUNDS) -> DataFrame:
     """Median of ``value`` per key: columns ``keys + [median, n]`` and the aggregates ``also``.
 
-    One pass finds a bracket around the middle with a map-side combined quantile sketch (and computes
-    ``also`` over all rows); a second one counts the values below it and each value inside it.  The
-    sketch's error is a tenth of the distance between the middle and the ends, so the middle ranks lie
-    inside, and about ``2 * BRACKET`` of a key's values are counted one by one.  Keys whose values are
-    all null have no median.
+    Selection by distributed histograms (:func:`median_candidates`): one algorithm for keys of every size, no sketch, and
+    no task that sees a key whole.  Keys whose values are all null have no median.
     """
-    clean = df.withColumn("_v", F.col(value).cast("double"))
-    ends = F.percentile_approx("_v", [0.5 - BRACKET, 0.5 + BRACKET], SKETCH_ACCURACY)
-    stats = clean.groupBy(*keys).agg(F.count("_v").alias("n"), ends.alias("_ends"), *also)
-    # the aggregates travel along as grouping columns, so the rows are read twice and not once more per use
-    carried = [c for c in stats.columns if c not in (*keys, "_ends")]
-    low, high = F.col("_ends")[0], F.col("_ends")[1]
-    near = clean.select(*keys, "_v").join(stats.withColumns({"_low": low, "_high": high}).drop("_ends"), keys)
-    near = near.filter((F.col("_v") <= F.col("_high")) | (F.col("n") == 0))
-    near = near.withColumn("_v", F.when(F.col("_v") >= F.col("_low"), F.col("_v")))
-    counted = near.groupBy(*keys, *carried, "_v").agg(F.count("*").alias("_c"))
-    order = W.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
-    counted = counted.withColumn("_upto", F.sum("_c").over(order))
-    left = F.min(F.when(F.col("_upto") > F.floor((F.col("n") - 1) / 2), F.col("_v")))
-    right = F.min(F.when(F.col("_upto") > F.floor(F.col("n") / 2), F.col("_v")))
-    return counted.groupBy(*keys, *carried).agg(((left + right) / 2).alias("median"))
+    near = median_candidates(df, keys, value, bins, rounds)
+    upto = F.sum("_c").over(W.partitionBy(*keys).orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
+    counted = near.withColumn("_upto", upto)
+    left, right = (F.min(F.when(F.col("_upto") > F.col(r), F.col("_v"))) for r in ("_a", "_b"))
+    middle = counted.groupBy(*keys).agg(((left + right) / 2).alias("median"))
+    stats = df.groupBy(*keys).agg(F.count(value).alias("n"), *also)
+    return stats.join(middle, keys, "left")

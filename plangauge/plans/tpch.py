@@ -78,21 +78,23 @@ def _value_between(df: DataFrame, name: str, low: str, high: str) -> Column:
 def pricing_summary(lineitem: DataFrame, end: dt.date = D(1998, 12, 1), days: int = 90, cutoff: Column | None = None) -> DataFrame:
     """Q1: totals and averages per return flag and line status for lines shipped up to a cutoff."""
     limit = F.expr(f"date'{end.isoformat()}' - interval '{days}' day") if cutoff is None else cutoff
-    return (
-        lineitem.filter(F.col("l_shipdate") <= limit)
-        .groupBy("l_returnflag", "l_linestatus")
-        .agg(
-            total(hundredths("l_quantity"), 2).alias("sum_qty"),
-            total(hundredths("l_extendedprice"), 2).alias("sum_base_price"),
-            net_total().alias("sum_disc_price"),
-            total(charge_units(), 6).alias("sum_charge"),
-            (total(hundredths("l_quantity"), 2) / F.count("l_quantity")).alias("avg_qty"),
-            (total(hundredths("l_extendedprice"), 2) / F.count("l_extendedprice")).alias("avg_price"),
-            (total(hundredths("l_discount"), 2) / F.count("l_discount")).alias("avg_disc"),
-            F.count("*").alias("count_order"),
-        )
-        .orderBy("l_returnflag", "l_linestatus")
+    # every value is made whole once, below the totals
+    lines = lineitem.filter(F.col("l_shipdate") <= limit).select(
+        "l_returnflag", "l_linestatus", *[hundredths(f"l_{c}").alias(c) for c in ("quantity", "extendedprice", "discount", "tax")]
+    )
+    lines = lines.withColumn("net", F.col("extendedprice") * (F.lit(100) - F.col("discount")))
+    lines = lines.withColumn("charge", F.col("net") * (F.lit(100) + F.col("tax")))
+    # hundredths of quantities and discounts are below 2 ** 16, so 2 ** 47 lines and more fit one long
+    small = lambda c: F.sum(c).cast("decimal(20,0)") * F.lit(Decimal("0.01"))
+    sums = lines.groupBy("l_returnflag", "l_linestatus").agg(
+        small("quantity").alias("sum_qty"), total(F.col("extendedprice"), 2).alias("sum_base_price"), total(F.col("net"), 4).alias("sum_disc_price"), total(F.col("charge"), 6).alias("sum_charge"),
+        small("discount").alias("sum_disc"), *[F.count(c).alias(f"n_{c}") for c in ("quantity", "extendedprice", "discount")], F.count("*").alias("count_order"),
     )
+    means = {"avg_qty": ("sum_qty", "n_quantity"), "avg_price": ("sum_base_price", "n_extendedprice"), "avg_disc": ("sum_disc", "n_discount")}
+    return sums.select(
+        "l_returnflag", "l_linestatus", "sum_qty", "sum_base_price", "sum_disc_price", "sum_charge",
+        *[(F.col(s) / F.col(n)).alias(name) for name, (s, n) in means.items()], "count_order",
+    ).orderBy("l_returnflag", "l_linestatus")
 
 
 def forecast_revenue(

@@ -69,6 +69,48 @@ def test_differing_rows(spark):
     assert E.differing_rows(a, b, n=None).filter("side = 'only_before'").count() == 7
 
 
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(ROW, max_size=8), st.lists(ROW, max_size=8))
+def test_few_differing_rows_equal_the_whole_comparison(spark, left, right):
+    a, b = spark.createDataFrame(left, DDL), spark.createDataFrame(right, DDL)
+    for n in (None, 2):
+        assert sorted(map(repr, E.few_differing_rows(a, b, n).collect())) == sorted(map(repr, E.differing_rows(a, b, n).collect()))
+
+
+def test_difference_is_told_without_shuffling_the_rows(spark, monkeypatch):
+    a = spark.range(0, 200_000, 1, 6).select("id", F.concat(F.lit("text "), F.col("id") % 977).alias("t"))
+    b = a.repartition(5).filter("id % 1000 <> 7").unionByName(a.filter("id < 3"))
+    sketch = E.difference_sketch(a, b)
+    assert sketch.count() <= 3 * 203
+    monkeypatch.setattr(E, "differing_rows", lambda x, y, n: (x, y))
+    x, y = E.few_differing_rows(a, b)
+    for side in (x, y):
+        text = plan_of(side)
+        assert "BroadcastHashJoin" in text and "hashpartitioning" not in text
+    assert x.count() == 203 and y.count() == 6  # of rows 0 to 2 both sides come, one and two times
+
+
+def test_a_full_sketch_falls_back_to_the_whole_comparison(spark):
+    a, b = spark.range(0, 900).select(F.col("id").cast("int").alias("a"), F.lit("x").alias("b")), spark.createDataFrame([(5, "x")] * 3, DDL)
+    rows = {r["cell"]: [r[c] for c in ("n", "p0", "p1", "p2", "p3", "check")] for r in E.difference_sketch(a, b, 16).collect()}
+    assert len(rows) == 48 and E.peel(rows, 16) is None
+    assert E.few_differing_rows(a, b, None, 16).groupBy("side").count().orderBy("side").collect() == [("only_after", 2), ("only_before", 899)]
+
+
+def test_peeling_holds_up_to_four_fifths_of_the_cells():
+    import random
+
+    rng = random.Random(7)
+    for size in (0, 1, 50, 600):
+        rows = {tuple(rng.randrange(E.PRIME) for _ in range(E.PARTS)): rng.choice([-3, -1, 1, 2]) for _ in range(size)}
+        cells = {}
+        for parts, n in rows.items():
+            for k in range(E.TABLES):
+                at = k * 256 + parts[k] % 256
+                cells[at] = [x + y for x, y in zip(cells.get(at, [0] * 6), [n, *(n * p for p in parts), n * E._check(parts)])]
+        assert E.peel({c: v for c, v in cells.items() if any(v)}, 256) == rows
+
+
 def test_repetitions(spark):
     t = spark.createDataFrame(
         [("q", "u", "h"), ("q", "u", "h"), ("q", "t", "h"), ("q", "t", None)], "query_id string, variant string, result_hash string"

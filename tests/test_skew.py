@@ -91,6 +91,32 @@ def test_exact_median_of_one_hot_key(spark):
     assert got == {"hot": (200_000**0.5, 400_001), "one": (3.5, 1), "two": (1.5, 2)}
 
 
+def test_no_task_sees_more_than_the_bound_of_a_key_with_ten_million_values(spark):
+    n, bins = 10_000_000, 1024
+    hot = spark.range(0, n, numPartitions=8).select(F.lit("hot").alias("k"), (F.col("id") * 2 + F.pmod(F.xxhash64("id"), F.lit(2))).cast("double").alias("v"))
+    near = skew.median_candidates(hot, ["k"], "v", bins)
+    assert near.count() <= 4 * n / bins**2 + 4  # a bin around each of the two middle ranks
+    # the only windows run over bins, or over what is left
+    text = plan_of(skew.exact_median(hot, ["k"], "v", bins=bins))
+    windows = [line for line in text.splitlines() if "windowspecdefinition(" in line]
+    assert windows and all("_bin" in w or "_v" in w for w in windows)
+
+
+@pytest.mark.parametrize("bins", [2, 3, 50])
+def test_exact_median_of_uneven_values(spark, bins):
+    import random
+
+    rng = random.Random(bins)
+    inf = float("inf")
+    sets = {
+        "powers": [2.0**k for k in range(-300, 301)], "inf": [1.0, inf, 2.0, -inf, 3.0], "all inf": [inf, inf], "wide": [-1.7e308, 1.7e308, 5e-324, 0.0], "same": [4.0] * 9,
+        "even": [rng.gauss(0, 1) for _ in range(300)], "odd": [rng.expovariate(1e-6) for _ in range(301)], "ties": [float(rng.randint(0, 5)) for _ in range(200)], "zeros": [-0.0, 0.0, 1.0],
+    }
+    df = spark.createDataFrame([(k, v) for k, vs in sets.items() for v in vs], "k string, v double")
+    got = {r["k"]: r["median"] for r in skew.exact_median(df, ["k"], "v", bins=bins).collect()}
+    assert got == {k: statistics.median(v) for k, v in sets.items()}
+
+
 def test_exact_median_one_value_and_nulls(spark):
     df = spark.createDataFrame([("a", 5.0)] * 4 + [("a", None), ("b", None)], "k string, v double")
     out = {r["k"]: (r["median"], r["n"]) for r in skew.exact_median(df, ["k"], "v").collect()}

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from plangauge.functions import completions as C
 from plangauge.functions import sqltext as S
-from plangauge.operators.diversity import completion_diversity
+from plangauge.operators.diversity import completion_diversity, exact_diversity
 
 
 def check(spark, function, *texts):
@@ -151,3 +151,24 @@ def test_diversity_by_brute_force(spark):
         mean = sum(pairs) / max(len(pairs), 1)
         expected.append((p, n, len(probes), len(pairs), mean, mean < 50))
     assert out == expected and out[1][3] == 6
+
+
+def test_exact_diversity_equals_all_pairs(spark):
+    import random
+    from collections import Counter
+
+    rng = random.Random(5)
+    data = [(n, k, None if k == 3 else "".join(rng.choice("abc") for _ in range(rng.randint(0, 6)))) for n in (1, 2, 7, 50, 1000) for k in range(n)]
+    df = spark.createDataFrame(data, "prompt_id long, sample_id int, text string")
+    kinds = {}
+    for n, _, t in data:
+        kinds.setdefault(n, []).append(t or "")
+    want = {}
+    for n, texts in kinds.items():
+        found = sorted(Counter(texts).items())
+        total = sum(c * d * distance(a, b) for i, (a, c) in enumerate(found) for b, d in found[:i])
+        want[n] = total / max(1, n * (n - 1) // 2)
+    for block in (64, 5):
+        out = {r["prompt_id"]: (r["samples"], r["pairs"], r["mean_distance"]) for r in exact_diversity(df, block).collect()}
+        assert out == {n: (n, n * (n - 1) // 2, want[n]) for n in kinds}
+    assert exact_diversity(df.filter("false")).count() == 0
