@@ -4,7 +4,7 @@ A word that the model knows scores its per-language log frequency.  An unknown
 word falls back to its longest known character n-grams, then to shorter ones.
 Scores are centred over the languages, so known and unknown words add up.
 
-Nulls, empty texts and texts without a letter are ``und`` with score 0.  Rows
+Nulls, empty texts and texts without a letter (digits, other numerals, marks and symbols alone) are ``und`` with score 0.  Rows
 with a null id or null language are predicted like others; a null language is
 never learned from.  Every row in gives one row out, repeated rows too.
 """
@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from plangauge.llm.common import map_rows
 
 UNKNOWN = "und"
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+# Below U+0300 there are no combining marks, and these numerals are the only ones that \\w holds and \\d does not.
+NOT_LETTERS = re.compile(r"[\W\d_\u00b2\u00b3\u00b9\u00bc\u00bd\u00be]+")
+BEYOND = re.compile("[\u0300-\U0010ffff]")
 
 
 @dataclass(frozen=True)
@@ -35,8 +37,15 @@ class LanguageModel:
 
 
 def letters_only(text: str | None) -> list[str]:
-    """Lower-case runs of letters."""
-    return NOT_LETTERS.sub(" ", text.lower()).split() if text else []
+    """Lower-case runs of letters and of the marks that belong to them, with a letter in each."""
+    if not text:
+        return []
+    text = text.lower()
+    if BEYOND.search(text) is None:
+        return NOT_LETTERS.sub(" ", text).split()
+    import regex
+
+    return regex.findall(r"\p{M}*\p{L}[\p{L}\p{M}]*", text)
 
 
 def _grams(word: str, n: int) -> list[str]:
@@ -46,15 +55,16 @@ def _grams(word: str, n: int) -> list[str]:
 
 def train(
     labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_language: int = 1500,
-    max_languages: int = 400, max_words: int = 40_000, max_grams: int = 30_000, min_count: int = 3, longest: int = 5,
+    max_languages: int | None = None, max_words: int = 40_000, max_grams: int = 30_000, min_count: int = 3, longest: int = 5,
 ) -> LanguageModel:
     """Fit on a bounded sample: about ``docs_per_language`` rows of each language, picked by a hash of the text.
 
-    ``max_languages`` (most rows first), ``max_words`` and ``max_grams`` (per
+    Every language is learned, unless ``max_languages`` asks for those with most rows only.  ``max_words`` and ``max_grams`` (per
     language, most frequent first) bound the model; ``longest`` is the longest n-gram.
     """
     known = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    rows = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    by_language = known.groupBy("lang").count().orderBy(F.desc("count"), "lang")
+    rows = (by_language if max_languages is None else by_language.limit(max_languages)).collect()
     if not rows:
         return LanguageModel((), {}, {})
     languages = tuple(sorted(r["lang"] for r in rows))
