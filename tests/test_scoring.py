@@ -187,4 +187,7 @@ def test_benchmark_reads_the_timings_twice(spark, tmp_path):
     assert (out["other"]["trained_ms"], out["other"]["hash_match_trained"]) == (None, False)
     timings.write.parquet(f"{tmp_path}/timings")
     stored = benchmarks.benchmark(spark.read.parquet(f"{tmp_path}/timings"), base)
-    assert plan_of(stored).count("Location: InMemoryFileIndex") == 2
+    stored.collect()
+    # rounds of the medians read the counts that are there already, which shows in the plan as it ran
+    final = plan_of(stored).split("== Initial Plan ==")[0]
+    assert final.count("Scan parquet") == 2 and "ReusedExchange" in final
