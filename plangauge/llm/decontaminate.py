@@ -6,7 +6,7 @@ whole item if it is shorter, is a pattern; each text is scanned once.  Hits are
 mapped back to character spans of the original text.
 
 Null or wordless texts and items give no hits.  Items that repeat an id count
-once; an item without id hits words but is not listed.  Every row in gives one
+once; an item without id hits words but is not listed.  Texts of any length are scanned whole.  Every row in gives one
 row out.
 """
 
@@ -20,9 +20,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plangauge.llm.common import map_rows
+from plangauge.llm.common import keep, map_rows
 
 WINDOW = 10
+# Bytes of windows in one automaton; measured, the automaton takes 44 bytes of a task's memory for each.
+BLOCK_CHARS = 4_000_000
 # What normalisation does to each byte of UTF-8.
 KEPT = b"0123456789abcdefghijklmnopqrstuvwxyz"
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or b in KEPT else 32 for b in range(256))
@@ -41,27 +43,32 @@ def patterns_of(text: str | None, window: int = WINDOW) -> set[bytes]:
     return {b" ".join(tokens[i : i + window]) for i in range(max(1, len(tokens) - window + 1))}
 
 
-def load_patterns(benchmark: DataFrame, id_col: str, text: str, window: int, block_chars: int) -> Iterator[dict[str, list[str]]]:
-    """Patterns with the ids that have them, in blocks of at most ``block_chars`` characters (one item may exceed it)."""
-    block: dict[bytes, set[str]] = {}
-    size = 0
-    for row in benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text).alias("t")).toLocalIterator():
-        found = patterns_of(row["t"], window)
-        if block and size + sum(map(len, found)) > block_chars:
-            yield block
-            block, size = {}, 0
-        for p in found:
-            if p not in block:
-                size += len(p)
-            block.setdefault(p, set()).update([row["i"]] if row["i"] is not None else [])
-    if block:
-        yield block
+def benchmark_patterns(benchmark: DataFrame, id_col: str, text: str, window: int) -> DataFrame:
+    """pattern and the sorted ids that have it, one row for each different window of the test set."""
+
+    def make():
+        def work(ids, texts):
+            return ((p, i) for i, t in zip(ids, texts) for p in patterns_of(t, window))
+
+        return work
+
+    items = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("i"), F.col(f"`{text}`").alias("t"))
+    return map_rows(items, "pattern binary, i string", make).groupBy("pattern").agg(F.array_sort(F.collect_set("i")).alias("ids"))
+
+
+def pattern_blocks(patterns: DataFrame, block_chars: int) -> Iterator[dict[bytes, list[str]]]:
+    """The patterns in blocks of about ``block_chars`` bytes, dealt by a hash; the driver holds one block at a time."""
+    size = patterns.agg(F.coalesce(F.sum(F.length("pattern")), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // block_chars))
+    for k in range(blocks):
+        rows = patterns.filter(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == k).collect()
+        yield {bytes(r["pattern"]): r["ids"] for r in rows}
 
 
 class Scanner:
     """Automaton over patterns; blanks on both sides make it match whole words only."""
 
-    def __init__(self, patterns: dict[bytes, set[str]]):
+    def __init__(self, patterns: dict[bytes, list[str]]):
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
@@ -104,15 +111,14 @@ def spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
 
 def scan(
     df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id",
-    item_text: str = "text", window: int = WINDOW, block_chars: int = 64_000_000, with_spans: bool = False, carry: tuple[str, ...] = (),
+    item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS, with_spans: bool = False, carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted as strings), if asked spans, and columns ``carry`` of every document; no shuffle.
 
-    The test set is the stated query set.  It is held in one automaton up to
-    ``block_chars`` characters of patterns (checked here); a larger one goes block
-    by block, each block in one pass over the text whose flags are carried on.
+    The test set is the stated query set.  Its windows are made and united in Spark.  They are held in one automaton up to about
+    ``block_chars`` bytes (measured here); a larger set goes block by block, each block in one pass over the text whose flags are carried on.
     """
-    blocks = list(load_patterns(benchmark, item_id, item_text, window, block_chars)) or [{}]
+    patterns = keep(benchmark_patterns(benchmark, item_id, item_text, window), "benchmark-windows")
     kinds = dict(df.dtypes)
     names = [f"c{i}" for i in range(len(carry))]
     state = df.select(
@@ -125,8 +131,11 @@ def scan(
         *[f"{n} {kinds[c]}" for c, n in zip(carry, names)],
     ])
 
-    for at, block in enumerate(blocks):
-        shared, last = df.sparkSession.sparkContext.broadcast(block), at == len(blocks) - 1
+    block, later = {}, pattern_blocks(patterns, block_chars)
+    coming = next(later)
+    while coming is not None:
+        block, coming = coming, next(later, None)
+        shared, last = df.sparkSession.sparkContext.broadcast(block), coming is None
 
         def make(shared=shared, last=last):
             scanner = Scanner(shared.value)
