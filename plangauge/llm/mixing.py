@@ -63,7 +63,7 @@ def _invert(u: Column, slope: Column) -> Column:
 
 def mix(
     df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", cycle: tuple[int, ...] = (1, 2, 3),
-    slopes: tuple[float, ...] = SLOPES, passes: int = MAX_PASSES, order_digits: int = 4, size: Column | None = None,
+    slopes: tuple[float, ...] = SLOPES, passes: int = MAX_PASSES, order_digits: int = 3, size: Column | None = None,
 ) -> DataFrame:
     """Columns of ``df`` plus (or, if there is one, with a new) struct ``mix`` (size, source_size, target, taken, plays).
 
