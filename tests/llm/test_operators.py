@@ -512,13 +512,5 @@ def test_hostile_markup_takes_time_in_proportion(html):
     assert time.process_time() - begin < 3
 
 
-def test_main_text_of_pages_without_an_article_element(spark, data):
-    pages = spark.read.parquet(f"{data.replace('0.001', '0.01')}/pages.parquet")
-    wanted = {r["page_id"]: r["text"] for r in main_text.main_text(pages, main_text.train(pages)).collect()}
-    renamed = pages.withColumn("html", main_text.F.regexp_replace("html", "(</?)article", "$1div"))
-    got = main_text.main_text(renamed, main_text.train(renamed)).collect()
-    assert sum(r["text"] == wanted[r["page_id"]] for r in got) >= 0.9 * len(got)
-
-
 def test_every_number_has_one_query():
     assert sorted(int(k[2:].split("_")[0]) for k in CATALOG.queries) == list(range(1, 14))
