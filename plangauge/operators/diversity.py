@@ -2,43 +2,154 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Python workers need no copy of this package: the functions below travel with the tasks.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Samples in one probe, and the mean distance below which diversity is low.
 PROBE_SIZE = 5
 LOW_DIVERSITY = 50.0
-# Samples in a block of the exact mean.
-TILE = 64
+# Different texts in a block of the exact mean.
+TILE = 1024
+# Words of 64 bits that the kept columns of one table of distances take.
+KEPT_WORDS = 1 << 21
+_TOP = np.uint64(63)
+_ONE = np.uint64(1)
+
+
+def distance_sums(rows: list[str], others: list[str], weights: np.ndarray) -> Iterator[int]:
+    """For each of ``others``: the weighted sum of its edit distances to all ``rows``.
+
+    A bit-vector recurrence (Myers 1999, in words as by Hyyro 2003): the column of differences of a row's table is held in bits, 64
+    letters to a word, and one step by a letter serves all rows at once.  Neighbours in ``others`` that begin alike share the
+    steps of that beginning, so sorted ones cost least; the result does not depend on the order.
+    """
+    codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") for t in rows]
+    lengths = np.array([len(c) for c in codes], np.int64)
+    words = max(1, -(-int(lengths.max(initial=0)) // 64))
+    # equal letters by word and row; a letter that no row has equals nothing
+    where = np.repeat(np.arange(len(rows)), lengths)
+    at = np.concatenate([np.arange(n) for n in lengths]) if len(rows) else np.empty(0, np.int64)
+    letters, kind = np.unique(np.concatenate(codes) if len(rows) else np.empty(0, "<u4"), return_inverse=True)
+    order = np.argsort(kind, kind="stable")
+    ends = np.searchsorted(kind[order], np.arange(len(letters) + 1))
+    places = {int(c): order[ends[k] : ends[k + 1]] for k, c in enumerate(letters)}
+    none = np.zeros((words, len(rows)), np.uint64)
+    known: dict[int, np.ndarray] = {}
+    room = max(1, KEPT_WORDS // max(1, none.size))
+
+    def equal(letter: int) -> np.ndarray:
+        found = known.get(letter)
+        if found is None:
+            found = none
+            if letter in places:
+                found, p = none.copy(), places[letter]
+                np.bitwise_or.at(found, (at[p] // 64, where[p]), _ONE << (at[p] % 64).astype(np.uint64))
+            if len(known) >= room:
+                known.clear()
+            known[letter] = found
+        return found
 
+    masks = np.zeros_like(none)
+    for w in range(words):
+        bits = np.clip(lengths - 64 * w, 0, 64)
+        masks[w] = np.where(bits > 0, ~np.uint64(0) >> (64 - np.maximum(bits, 1)).astype(np.uint64), np.uint64(0))
+    kept = [(np.full_like(none, ~np.uint64(0)), none)]
+    before: list[int] = []
+    for text in others:
+        letters_of = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").tolist()
+        same = 0
+        for x, y in zip(before[: len(kept) - 1], letters_of):
+            if x != y:
+                break
+            same += 1
+        del kept[same + 1 :]
+        up, down = kept[same]
+        for i in range(same, len(letters_of)):
+            up, down = _step(up, down, equal(letters_of[i]))
+            if len(kept) == i + 1 and i < room:
+                kept.append((up, down))
+        before = letters_of
+        distance = len(letters_of) + (np.bitwise_count(up & masks).astype(np.int64) - np.bitwise_count(down & masks)).sum(axis=0)
+        yield int(distance @ weights)
 
-def _distances(left: str, right: str | None = None):
-    """Sum of the edit distances of all pairs from two arrays, or within one."""
-    others = lambda i: F.slice(left, i + 2, F.size(left)) if right is None else F.col(right)
-    one = lambda a, i: F.aggregate(others(i), F.lit(0).cast("long"), lambda s, b: s + F.levenshtein(a, b))
-    return F.aggregate(F.transform(left, one), F.lit(0).cast("long"), lambda s, d: s + d)
+
+def _step(up: np.ndarray, down: np.ndarray, equal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The next column of all tables: where it rises and where it falls from letter to letter."""
+    new_up, new_down = np.empty_like(up), np.empty_like(down)
+    plus, minus = _ONE, np.uint64(0)  # the first line of a table rises by one in each column
+    for w in range(len(up)):
+        p, m, e = up[w], down[w], equal[w]
+        vertical = e | m
+        e = e | minus
+        level = (((e & p) + p) ^ p) | e
+        rises, falls = m | ~(level | p), p & level
+        next_plus, next_minus = rises >> _TOP, falls >> _TOP
+        rises, falls = (rises << _ONE) | plus, (falls << _ONE) | minus
+        new_up[w] = falls | ~(vertical | rises)
+        new_down[w] = rises & vertical
+        plus, minus = next_plus, next_minus
+    return new_up, new_down
+
+
+def _tile_sums(tiles: pa.Table) -> pa.Table:
+    """Sum of the weighted distances of all pairs of a tile; in a tile of a block with itself every pair counts once."""
+    first = tiles["_first"].to_numpy(zero_copy_only=False).astype(bool)
+    texts, counts = tiles["text"].to_pylist(), tiles["_c"].to_numpy()
+    mine = [i for i in np.flatnonzero(first)]
+    inside = tiles["_i"][0].as_py() == tiles["_j"][0].as_py()
+    others = sorted(mine if inside else np.flatnonzero(~first), key=lambda i: texts[i])
+    total = 0
+    # rows of like length together, and no more at once than their tables may take
+    mine.sort(key=lambda i: len(texts[i]))
+    for part in _parts(mine, texts):
+        sums = distance_sums([texts[i] for i in part], [texts[i] for i in others], counts[part].astype(np.int64))
+        total += sum(s * int(counts[i]) for i, s in zip(others, sums))
+    return pa.table({"prompt_id": tiles["prompt_id"].slice(0, 1), "_total": pa.array([total // 2 if inside else total], pa.int64())})
+
+
+def _parts(mine: list[int], texts: list[str]) -> Iterator[list[int]]:
+    """Rows in order of length, cut so that words times rows stay small."""
+    part: list[int] = []
+    for i in mine:
+        if part and (len(part) + 1) * (len(texts[i]) // 64 + 1) > KEPT_WORDS // 64:
+            yield part
+            part = []
+        part.append(i)
+    if part:
+        yield part
 
 
 def exact_diversity(completions: DataFrame, block: int = TILE, low: float = LOW_DIVERSITY) -> DataFrame:
     """Mean edit distance over *all* pairs of completions of each prompt: one row per prompt.
 
-    The samples of a prompt are dealt to blocks of about ``block`` by a hash of their id and text.  Pairs form a triangle of tiles,
-    block against block; a sample is sent to one tile for each block, so ``samples / block`` times, and a tile holds two blocks and
-    puts out one sum.  No pair becomes a row, and no task holds a prompt.  For estimates that grow with the samples only, see
-    :func:`completion_diversity`.
+    Equal texts of a prompt become one with a count.  The different ones are dealt to blocks of about ``block`` by a hash.  Pairs form a
+    triangle of tiles, block against block; a text is sent to one tile for each block, so ``texts / block`` times, and a tile holds two
+    blocks and puts out one sum (:func:`distance_sums`).  No pair becomes a row, and no task holds a prompt.  The work still grows with the
+    square of a prompt's different texts; for estimates that grow with the samples only, see :func:`completion_diversity`.
     """
-    sizes = completions.groupBy("prompt_id").agg(F.count("*").alias("_n"))
-    rows = completions.select("prompt_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("sample_id", "text").alias("_h")).join(sizes, "prompt_id")
-    rows = rows.withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int")).withColumn("_own", F.pmod("_h", "_blocks").cast("int"))
+    counted = completions.groupBy("prompt_id", F.coalesce("text", F.lit("")).alias("text")).agg(F.count("*").alias("_c"))
+    sizes = counted.groupBy("prompt_id").agg(F.sum("_c").alias("_n"), F.count("*").alias("_kinds"))
+    rows = counted.join(sizes, "prompt_id").withColumn("_blocks", F.ceil(F.col("_kinds") / block).cast("int"))
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64("text"), "_blocks").cast("int"))
     dealt = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     mine = F.col("_own") <= F.col("_other")
     low_block, high_block = F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j")
-    dealt = dealt.select("prompt_id", low_block, high_block, mine.alias("_first"), "text")
-    tiles = dealt.groupBy("prompt_id", "_i", "_j").agg(
-        F.collect_list(F.when(F.col("_first"), F.col("text"))).alias("_a"), F.collect_list(F.when(~F.col("_first"), F.col("text"))).alias("_b")
-    )
-    total = F.when(F.col("_i") == F.col("_j"), _distances("_a")).otherwise(_distances("_a", "_b"))
-    sums = tiles.groupBy("prompt_id").agg(F.sum(total).alias("_total"))
+    dealt = dealt.select("prompt_id", low_block, high_block, mine.alias("_first"), "text", "_c")
+    # the number is given: small in bytes, tiles are long work, and would be put together in few tasks
+    session = completions.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), 8 * session.sparkContext.defaultParallelism)
+    kind = completions.select("prompt_id").schema[0].dataType.simpleString()
+    tiles = dealt.repartition(tasks, "prompt_id", "_i", "_j").groupBy("prompt_id", "_i", "_j").applyInArrow(_tile_sums, f"prompt_id {kind}, _total long")
+    sums = tiles.groupBy("prompt_id").agg(F.sum("_total").alias("_total"))
     pairs = (F.col("_n") * (F.col("_n") - 1) / 2).cast("long")
     mean = F.col("_total") / F.greatest(pairs, F.lit(1))
     whole = sums.join(sizes, "prompt_id").select("prompt_id", F.col("_n").alias("samples"), pairs.alias("pairs"), mean.cast("double").alias("mean_distance"))

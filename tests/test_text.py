@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from plangauge.functions import completions as C
 from plangauge.functions import sqltext as S
-from plangauge.operators.diversity import completion_diversity, exact_diversity
+from plangauge.operators.diversity import completion_diversity, distance_sums, exact_diversity
 
 
 def check(spark, function, *texts):
@@ -172,3 +172,28 @@ def test_exact_diversity_equals_all_pairs(spark):
         out = {r["prompt_id"]: (r["samples"], r["pairs"], r["mean_distance"]) for r in exact_diversity(df, block).collect()}
         assert out == {n: (n, n * (n - 1) // 2, want[n]) for n in kinds}
     assert exact_diversity(df.filter("false")).count() == 0
+
+
+def test_distance_sums_equal_single_distances():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    for longest in (3, 63, 64, 65, 130, 200):
+        letters = rng.choice(["ab", "ab\u00e9\U0001f600"])
+        text = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(0, longest)))
+        texts, others = [text() for _ in range(6)], [text() for _ in range(6)] + ["", "a" * 64, "a" * 65, "a" * 64]
+        weights = np.array([rng.randint(1, 9) for _ in texts])
+        want = [sum(int(w) * distance(a, b) for a, w in zip(texts, weights)) for b in others]
+        assert list(distance_sums(texts, others, weights)) == want
+        assert list(distance_sums(texts, sorted(others), weights)) == [w for _, w in sorted(zip(others, want))]
+
+
+def test_exact_diversity_compares_equal_texts_once(spark):
+    # 5 * 10 ** 9 pairs of samples, three pairs of different texts
+    df = spark.range(100_000).selectExpr("1 AS prompt_id", "id AS sample_id", "CASE id % 4 WHEN 0 THEN 'abc' WHEN 1 THEN repeat('x', 200) ELSE 'abd' END AS text")
+    row = exact_diversity(df).first()
+    n, a, x, b = 100_000, 25_000, 25_000, 50_000
+    assert (row["samples"], row["pairs"]) == (n, n * (n - 1) // 2)
+    assert row["mean_distance"] == (a * x * 200 + x * b * 200 + a * b) / (n * (n - 1) // 2)
