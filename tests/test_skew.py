@@ -121,3 +121,9 @@ def test_exact_median_one_value_and_nulls(spark):
     df = spark.createDataFrame([("a", 5.0)] * 4 + [("a", None), ("b", None)], "k string, v double")
     out = {r["k"]: (r["median"], r["n"]) for r in skew.exact_median(df, ["k"], "v").collect()}
     assert out == {"a": (5.0, 4), "b": (None, 0)}
+
+
+def test_a_task_reads_no_more_when_a_table_grows(spark):
+    # some 100 MB are shuffled: four tasks, one a core, would share them
+    counts = spark.range(6_000_000).groupBy(F.xxhash64("id").alias("k")).count()
+    assert counts.rdd.getNumPartitions() > 4
