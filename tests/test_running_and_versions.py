@@ -162,3 +162,12 @@ def test_the_state_of_open_sessions_can_be_read_back(spark, tmp_path):
     held = spark.read.format("statestore").option("stateVarName", "sessions").option("flattenCollectionTypes", "true").load(f"{folder}/checkpoint")
     found = held.select("key.*", "list_element.*").orderBy("episode_id").select("episode_id", "steps").collect()
     assert [tuple(r) for r in found] == [(1, 2), (2, 1)]
+
+
+def test_episodes_of_one_bucket_share_state_and_close_one_by_one(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(running, "BUCKETS", 1)
+    folder = str(tmp_path)
+    got = run(spark, folder, [step(0), step(10), step(30, 2, 2.0), step(200, 3)], [step(220, 3)], [step(400, 4)])
+    assert got == [(1, 0, 70, 2, 2.0, 10.0, 0, 0, True), (2, 30, 90, 1, 2.0, 30.0, 0, 0, True), (3, 200, 280, 2, 2.0, 220.0, 0, 0, True), (4, 400, 460, 1, 1.0, 400.0, 0, 0, False)]
+    held = spark.read.format("statestore").option("stateVarName", "sessions").option("flattenCollectionTypes", "true").load(f"{folder}/checkpoint")
+    assert held.select("key").distinct().count() == 1 and [r[0] for r in held.select("list_element.episode_id").collect()] == [4]
