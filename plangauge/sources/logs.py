@@ -93,8 +93,11 @@ def write_benchmark(rows: DataFrame, summarize: Callable[[DataFrame], DataFrame]
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
-    """One folder per checkpoint step; rerunning a step replaces only that step."""
-    reports.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("global_step").json(path)
+    """One folder with one file per checkpoint step, written by many tasks; rerunning a step replaces only that step."""
+    # the number is given: reports are small in bytes, and would be put together in a task that writes all folders one by one
+    session = reports.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
+    reports.repartition(tasks, "global_step").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("global_step").json(path)
 
 
 def newest_run(runs: DataFrame, created: Column | None = None) -> DataFrame:

@@ -144,3 +144,12 @@ def test_history_under_tracker_names(spark, tmp_path):
     assert rows(got, "step") == [("a", 1, 0.5, None, 1.0, "no_op", None, 2.0), ("a", 2, 0.25, 4.0, None, None, "x", None)]
     first = logs.read_history(spark, str(tmp_path), ["reward_mean"], cap=1)
     assert rows(first) == [("a", 1, 0.5)]
+
+
+def test_reports_of_a_step_are_one_file(spark, tmp_path):
+    path = str(tmp_path / "reports")
+    rows = spark.range(60).selectExpr("CAST(id % 5 AS STRING) AS run_id", "id AS entries", "id % 12 AS global_step").repartition(3)
+    logs.write_reports(rows, path)
+    folders = [f for f in (tmp_path / "reports").iterdir() if f.is_dir()]
+    assert len(folders) == 12 and all(len(list(f.glob("part-*"))) == 1 for f in folders)
+    assert spark.read.schema("run_id STRING, entries BIGINT, global_step BIGINT").json(path).count() == 60
