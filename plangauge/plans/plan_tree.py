@@ -142,7 +142,11 @@ def plan_metrics(plans: DataFrame, keep_text: bool = False) -> DataFrame:
     forced = F.coalesce(F.col("query_has_or"), F.lit(False)) if "query_has_or" in plans.columns else F.lit(False)
 
     def has_or(text: Column) -> Column:
-        return F.coalesce(text.contains(" or ") & text.contains("filter"), F.lit(False))
+        # one pattern: the text is made once
+        return F.coalesce(text.rlike("(?s) or .*filter|filter.* or "), F.lit(False))
+
+    # a summary has no letters that its plan has not, unless escaped: most plans need none
+    possible = (whole.contains("filter") & whole.contains("or")) | whole.contains("\\")
 
     return tree.select(
         *keep,
@@ -158,7 +162,7 @@ def plan_metrics(plans: DataFrame, keep_text: bool = False) -> DataFrame:
         F.coalesce("_child.rows", F.lit(0).cast("long")).alias("child0_rows"),
         F.coalesce("_child.node_type", F.lit("")).alias("child0_node_type"),
         F.size("_nodes").alias("node_count"),
-        (has_or(summary) | forced).alias("filter_or"),
+        (F.when(possible, has_or(summary)).otherwise(F.lit(False)) | forced).alias("filter_or"),
         has_or(whole).alias("filter_or_text"),
     )
 

@@ -151,3 +151,10 @@ def test_hotspot_and_ratio(spark):
 def test_metrics_are_narrow_and_jvm_side(spark):
     text = plan_of(plan_metrics(frame(spark, ["{}"])))
     assert "Exchange" not in text and "EvalPython" not in text and "InPandas" not in text
+
+
+def test_or_flag_of_escaped_plans_and_one_summary_a_plan(spark):
+    texts = ['{"Node Type": "Seq Scan", "Filter": "a \\u006fr b"}', '{"Node Type": "Seq Scan", "F\\u0069lter": "a or b"}', '{"Node Type": "Seq Scan", "Filter": "a = 1"}', '{"Node Type": "or", "Filter": "x"}', None]
+    df = plan_metrics(spark.createDataFrame(list(enumerate(texts)), "plan_id int, plan_json string"))
+    assert [r["filter_or"] for r in df.orderBy("plan_id").collect()] == [True, True, False, False, False]
+    assert df.select("filter_or")._jdf.queryExecution().optimizedPlan().toString().lower().count("structstojson") == 1
