@@ -96,13 +96,22 @@ def rolling(
     return spread.filter(~F.col("_halo")).drop("_block", "_halo")
 
 
+def _with_ranges(counts: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """The counts that lie within the range of their key.
+
+    The ranges, one row a key, are first dealt by more than the key.  The join then shuffles both sides itself, which ends the stage that
+    made the ranges, and only a join that reads two shuffles can divide the counts of a hot key among tasks.
+    """
+    return counts.join(ranges.repartition(*keys, "_low"), keys).filter(F.col("_v").between(F.col("_low"), F.col("_high")))
+
+
 def _narrowed(counts: DataFrame, ranges: DataFrame, keys: list[str], bins: int) -> DataFrame:
     """``ranges`` with the least range around both middle ranks that a histogram of ``bins`` bins shows.
 
     Bins divide the range of each key by value; what is shuffled for a key, and what the running total over its bins
     sees, is at most ``bins`` rows.  The range ends at values that occur, so it shrinks however unevenly the values lie.
     """
-    inside = counts.join(ranges, keys).filter(F.col("_v").between(F.col("_low"), F.col("_high")))
+    inside = _with_ranges(counts, ranges, keys)
     share = F.nanvl((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")), F.lit(0.0))
     place = F.when(F.col("_v") >= F.col("_high"), F.lit(bins - 1)).when(F.col("_v") <= F.col("_low"), F.lit(0))
     place = place.otherwise(F.least(F.lit(bins - 1), F.floor(share * bins).cast("int")))
@@ -129,7 +138,7 @@ def median_candidates(df: DataFrame, keys: list[str], value: str, bins: int = BI
     ranges = counts.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.floor((n - 1) / 2).alias("_a"), F.floor(n / 2).alias("_b"))
     for _ in range(rounds):
         ranges = _narrowed(counts, ranges, keys, bins)
-    return counts.join(ranges, keys).filter(F.col("_v").between(F.col("_low"), F.col("_high"))).drop("_low", "_high")
+    return _with_ranges(counts, ranges, keys).drop("_low", "_high")
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, *also: Column, bins: int = BINS, rounds: int = ROUNDS) -> DataFrame:

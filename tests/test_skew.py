@@ -127,3 +127,29 @@ def test_a_task_reads_no_more_when_a_table_grows(spark):
     # some 100 MB are shuffled: four tasks, one a core, would share them
     counts = spark.range(6_000_000).groupBy(F.xxhash64("id").alias("k")).count()
     assert counts.rdd.getNumPartitions() > 4
+
+
+def test_median_joins_divide_a_hot_key(spark):
+    """Half of all rows belong to one key and differ in value: each join with the ranges reads the key in several tasks."""
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32k",
+    }
+    before = {name: spark.conf.get(name) for name in small}
+    key = F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50))
+    rows = spark.range(0, 40_000, 1, 8).select(key.alias("key"), (F.col("id") * 7919 % 40_009).cast("double").alias("ms"))
+    values = {}
+    for i in range(40_000):
+        values.setdefault("hot" if i % 2 == 0 else f"k{i % 50}", []).append(i * 7919 % 40_009)
+    try:
+        for name, value in small.items():
+            spark.conf.set(name, value)
+        found = skew.exact_median(rows, ["key"], "ms")
+        assert {r["key"]: (r["median"], r["n"]) for r in found.collect()} == {k: (statistics.median(v), len(v)) for k, v in values.items()}
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("skew=true") >= skew.ROUNDS + 1
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
