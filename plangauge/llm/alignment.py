@@ -23,11 +23,12 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -35,7 +36,11 @@ from plangauge.llm.common import keep
 from plangauge.llm.token_planes import worker_cache
 
 PIECE, BATCH = 65_536, 1_000_000
+# Ends of a batch that are merged in one go: a merge holds some 120 bytes for each.
+RUN = 131_072
 SLICE = 128
+# Texts that Spark hands over at once: it and the worker hold them beside the tokenizers.
+TEXTS = 1_024
 
 
 def byte_letters() -> dict[str, int]:
@@ -76,6 +81,10 @@ def stored(size: int) -> np.dtype:
     return np.dtype("<u2" if size <= 1 << 16 else "<u4")
 
 
+def cache_name(a_path: str, b_path: str) -> str:
+    return f"{a_path} {b_path}"
+
+
 class Tokenizers:
     """Ids of texts in A (byte-level vocabulary) and B (pieces), and the bytes of each id.
 
@@ -102,7 +111,7 @@ class Tokenizers:
         self.b_bytes = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(pieces)]
         self.cuttable = a_can_be_cut(self.a) and b_can_be_cut(b_path, pieces)
         self.a_type, self.b_type = stored(len(self.a_bytes)), stored(len(self.b_bytes))
-        self.known = worker_cache(f"{a_path} {b_path}")
+        self.known = worker_cache(cache_name(a_path, b_path))
 
     def _learn(self, parts: list[str]) -> None:
         """Remember the ids of both sides as bytes; None where a side does not spell space and part."""
@@ -315,16 +324,47 @@ def pair_of(m: Merged) -> np.ndarray:
     return m.b[m.link_b] << 32 | m.a[m.link_a]
 
 
-def batch_pairs(batches: DataFrame, a_len: np.ndarray, b_len: np.ndarray) -> DataFrame:
+def runs(pieces: list[dict]) -> Iterator[list[dict]]:
+    """The pieces of a batch in turn, some :data:`RUN` ends at a time."""
+    held, ends = [], 0
+    for p in pieces:
+        if held and ends + p["n_a"] + p["n_b"] > RUN:
+            yield held
+            held, ends = [], 0
+        held.append(p)
+        ends += p["n_a"] + p["n_b"]
+    if held:
+        yield held
+
+
+def count_pairs(pieces: list[dict], a_len: np.ndarray, b_len: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The id pairs of a batch in rising order, and how many links each has."""
+    pairs, n = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    for run in runs(pieces):
+        more, times = np.unique(pair_of(merge(run, a_len, b_len)), return_counts=True)
+        both, counts = np.concatenate([pairs, more]), np.concatenate([n, times])
+        order = np.argsort(both, kind="stable")
+        both, counts = both[order], counts[order]
+        first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else order
+        pairs, n = both[first], np.add.reduceat(counts, first) if len(first) else counts
+    return pairs, n
+
+
+def counted_batches(given: Iterator[pa.RecordBatch], a_len: np.ndarray, b_len: np.ndarray, cache: str) -> Iterator[pa.RecordBatch]:
+    """batch, pair, n of stored batches.  Texts are all encoded by then: what the worker remembers for that goes."""
+    worker_cache(cache).clear()
+    for part in given:
+        for k in range(part.num_rows):
+            row = part.slice(k, 1).to_pylist()[0]
+            pairs, n = count_pairs(pieces_of(row, a_len, b_len), a_len, b_len)
+            yield pa.RecordBatch.from_arrays([pa.array([row["batch"]] * len(pairs), type=pa.int64()), pa.array(pairs), pa.array(n)], names=["batch", "pair", "n"])
+
+
+def batch_pairs(batches: DataFrame, a_len: np.ndarray, b_len: np.ndarray, cache: str) -> DataFrame:
     """batch, pair, n: links of every id pair of a batch."""
 
     def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in given:
-            for k in range(part.num_rows):
-                row = part.slice(k, 1).to_pylist()[0]
-                name, pieces = row["batch"], pieces_of(row, a_len, b_len)
-                pairs, n = np.unique(pair_of(merge(pieces, a_len, b_len)), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(pairs), type=pa.int64()), pa.array(pairs), pa.array(n.astype(np.int64))], names=["batch", "pair", "n"])
+        return counted_batches(given, a_len, b_len, cache)
 
     return batches.mapInArrow(run, "batch long, pair long, n long")
 
@@ -345,8 +385,7 @@ def parts(batches: DataFrame, counted: DataFrame, a_len: np.ndarray, b_len: np.n
         order = np.unique(pairs, return_index=True)[1]
         pairs, n, best = pairs[order], n[order], best[order]
         out = []
-        for stored_row in left.to_pylist():
-            pieces = pieces_of(stored_row, a_len, b_len)
+        for pieces in (some for stored_row in left.to_pylist() for some in runs(pieces_of(stored_row, a_len, b_len))):
             m = merge(pieces, a_len, b_len)
             at = np.searchsorted(pairs, pair_of(m))
             add = lambda values: np.bincount(m.link_piece, values, len(pieces)) if len(at) else np.zeros(len(pieces))
@@ -410,11 +449,24 @@ def stitch(cut_up: DataFrame) -> DataFrame:
     return gathered.drop("own").join(signed, "key").select("doc_id", *sums, F.col("sha").alias("groups_sha256"))
 
 
+@contextmanager
+def handed_over(spark: SparkSession, rows: int) -> Iterator[None]:
+    """So many rows go to a Python worker at once; what the session had is set again."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def align(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text: str = "text", piece: int = PIECE, batch: int = BATCH) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row."""
     a_len, b_len = Tokenizers(a_path, b_path).lengths()
-    batches = keep(to_batches(df, a_path, b_path, id_col, text, piece, batch), "token-batches")
-    found = keep(batch_pairs(batches, a_len, b_len), "batch-pairs")
+    with handed_over(df.sparkSession, TEXTS):
+        batches = keep(to_batches(df, a_path, b_path, id_col, text, piece, batch), "token-batches")
+    found = keep(batch_pairs(batches, a_len, b_len, cache_name(a_path, b_path)), "batch-pairs")
     counts = keep(found.groupBy("pair").agg(F.sum("n").alias("count")), "pair-counts")
     b_id = F.shiftright("pair", 32)
     best = counts.groupBy(b_id.alias("b")).agg(F.max("count").alias("most"))  # at most one row for each id of B

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import tracemalloc
 import re
 
 import numpy as np
@@ -265,3 +266,42 @@ def test_pieces_of_the_merge_path_have_equal_work_and_part_no_tie():
             assert i + j in (diagonal, diagonal + 1)
             assert not (i and j < len(b)) or a[i - 1] < b[j]
             assert not (j and i < len(a)) or b[j - 1] < a[i]
+
+
+def _pieces(both, texts):
+    a_len, b_len = both.lengths()
+    found = [p | {"n_a": len(p["a"]), "n_b": len(p["b"])} for a, b in both.encode(texts) for p in alignment.cut(a, b, a_len, b_len, alignment.PIECE)]
+    return found, a_len, b_len
+
+
+def test_a_batch_of_a_million_ends_is_merged_in_bounded_memory(tokenizers):
+    rng = random.Random(13)
+    words = ["".join(rng.choice("aeioustrnlmé日") for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=k)) for k in [500] * 100 + [0, 1, 150_000]]
+    pieces, a_len, b_len = _pieces(alignment.Tokenizers(*tokenizers), texts)
+    ends = sum(p["n_a"] + p["n_b"] for p in pieces)
+    assert ends > 900_000 and max(p["pieces"] for p in pieces) > 1
+    some = list(alignment.runs(pieces))
+    assert [p for run in some for p in run] == pieces and all(len(run) == 1 or sum(p["n_a"] + p["n_b"] for p in run) <= alignment.RUN for run in some)
+    pairs, n = np.unique(alignment.pair_of(alignment.merge(pieces, a_len, b_len)), return_counts=True)
+    tracemalloc.start()
+    try:
+        got = alignment.count_pairs(pieces, a_len, b_len)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got[0].tolist() == pairs.tolist() and got[1].tolist() == n.tolist()
+    assert peak < 40 * ends  # all in one go: some 120
+
+
+def test_no_pairs_of_texts_without_tokens(tokenizers):
+    found = alignment.count_pairs(*_pieces(alignment.Tokenizers(*tokenizers), [None, ""]))
+    assert [x.tolist() for x in found] == [[], []]
+
+
+def test_encoded_texts_are_forgotten_before_pairs_are_counted(tokenizers):
+    both = alignment.Tokenizers(*tokenizers)
+    both.encode(["words to remember"])
+    assert both.known["a"]
+    assert list(alignment.counted_batches(iter([]), *both.lengths(), alignment.cache_name(*tokenizers))) == []
+    assert not both.known
