@@ -52,6 +52,8 @@ def byte_letters() -> dict[str, int]:
 
 # A space between two characters that are letters, digits or marks in every version of the character tables.
 CUT = re.compile("(?<=[!-~\u00c0-\u024f]) (?=[!-~\u00c0-\u024f])")
+# A part that may have such a space on both sides.
+EDGES = re.compile("(?=[!-~\u00c0-\u024f])(?s:.*)(?<=[!-~\u00c0-\u024f])\\Z")
 
 
 def a_can_be_cut(tokenizer) -> bool:
@@ -89,10 +91,11 @@ class Tokenizers:
     """Ids of texts in A (byte-level vocabulary) and B (pieces), and the bytes of each id.
 
     Where both tokenizers provably cut there, texts are split at single spaces between words; a part's ids do not depend on the others, so parts are
-    encoded once and remembered, up to ``limit`` of them in a worker.  Other tokenizers get whole texts.
+    encoded once, many in one text, and remembered, up to ``limit`` of them in a worker.  Other tokenizers get whole texts.
     """
 
-    limit = 300_000
+    limit = 200_000
+    together = 256
 
     def __init__(self, a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each task one core
@@ -110,42 +113,76 @@ class Tokenizers:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(pieces)]
         self.cuttable = a_can_be_cut(self.a) and b_can_be_cut(b_path, pieces)
+        self.a_len, self.b_len = (np.array([len(x) for x in side], dtype=np.int64) for side in (self.a_bytes, self.b_bytes))
         self.a_type, self.b_type = stored(len(self.a_bytes)), stored(len(self.b_bytes))
         self.known = worker_cache(cache_name(a_path, b_path))
 
+    def _both(self, texts: list[str]) -> Iterator[tuple[list[int], list[int], bytes, bool]]:
+        """Ids of space and text on both sides, its bytes, and whether both sides spell them."""
+        firsts = self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)
+        for t, first, b in zip(texts, firsts, self.b.encode(texts, num_threads=1)):
+            a, want = first.ids, f" {t}".encode()
+            yield a, b, want, b"".join(map(self.a_bytes.__getitem__, a)) == want == b"".join(map(self.b_bytes.__getitem__, b))
+
     def _learn(self, parts: list[str]) -> None:
-        """Remember the ids of both sides as bytes; None where a side does not spell space and part."""
+        """Remember the ids of both sides as bytes; empty where a side does not spell space and part."""
         a_known, b_known = self.known.setdefault("a", {}), self.known.setdefault("b", {})
-        for at in range(0, len(parts), 4096):
-            some = parts[at : at + 4096]
-            firsts = self.a.encode_batch_fast([f" {p}" for p in some], add_special_tokens=False)
-            for p, first, b in zip(some, firsts, self.b.encode(some, num_threads=1)):
-                a, want = first.ids, f" {p}".encode()
-                same = b"".join(map(self.a_bytes.__getitem__, a)) == want == b"".join(map(self.b_bytes.__getitem__, b))
-                a_known[p] = np.array(a, dtype=self.a_type).tobytes() if same else None
-                b_known[p] = np.array(b, dtype=self.b_type).tobytes() if same else None
+        glued, alone = [], parts
+        if self.cuttable:  # parts that have a character on both ends at which texts are cut are encoded together, as one text
+            fit = [p for p in parts if "\u2581" not in p and EDGES.match(p)]  # a letter that stands for space is spelled otherwise
+            glued, alone = [fit[at : at + self.together] for at in range(0, len(fit), self.together)], list(set(parts).difference(fit))
+        for at in range(0, len(glued), 16):
+            some = glued[at : at + 16]
+            for own, (a, b, want, same) in zip(some, self._both([" ".join(x) for x in some])):
+                upto = np.cumsum([len(p.encode()) + 1 for p in own])
+                sides = []
+                for ids, lengths, kind, known in ((a, self.a_len, self.a_type, a_known), (b, self.b_len, self.b_type, b_known)):
+                    ids = np.array(ids, dtype=kind)
+                    ends = np.cumsum(lengths[ids])
+                    last = np.minimum(np.searchsorted(ends, upto), len(ids) - 1)
+                    same = same and np.array_equal(ends[last], upto)
+                    sides.append((known, ids.tobytes(), ((last + 1) * kind.itemsize).tolist()))
+                if not same:
+                    alone = alone + own
+                    continue
+                for known, raw, ends in sides:
+                    known.update(zip(own, map(raw.__getitem__, map(slice, [0, *ends], ends))))
+        for at in range(0, len(alone), 4096):
+            some = alone[at : at + 4096]
+            for p, (a, b, _, same) in zip(some, self._both(some)):
+                a_known[p] = np.array(a, dtype=self.a_type).tobytes() if same else b""
+                b_known[p] = np.array(b, dtype=self.b_type).tobytes() if same else b""
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of both sides; none where a side does not spell space and text."""
         split = [(CUT.split(t) if self.cuttable else [t]) if t else [] for t in texts]
         a_known, b_known = self.known.setdefault("a", {}), self.known.setdefault("b", {})
-        new = set().union(*split).difference(a_known)
+        found = [list(map(a_known.get, parts)) for parts in split]
+        new = {p for parts, ids in zip(split, found) if None in ids for p, x in zip(parts, ids) if x is None}
         if len(a_known) + len(new) > self.limit:  # the first learned are the most frequent: they stay
             for p in list(a_known)[self.limit // 2 :]:
                 del a_known[p], b_known[p]
             new = set().union(*split).difference(a_known)
         self._learn(list(new))
         out = []
-        for parts in split:
-            a, b = list(map(a_known.__getitem__, parts)), list(map(b_known.__getitem__, parts))
-            if None in a:
+        for parts, a in zip(split, found):
+            a = list(map(a_known.__getitem__, parts)) if None in a else a
+            b = list(map(b_known.__getitem__, parts))
+            if not all(a):
                 a, b = [], []
             out.append((np.frombuffer(b"".join(a), dtype=self.a_type), np.frombuffer(b"".join(b), dtype=self.b_type)))
         return out
 
     def lengths(self) -> tuple[np.ndarray, np.ndarray]:
-        a, b = ([len(x) for x in side] for side in (self.a_bytes, self.b_bytes))
-        return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        return self.a_len, self.b_len
+
+
+def worker_tokenizers(a_path: str, b_path: str) -> Tokenizers:
+    """The tokenizers of a worker, loaded once for all its tasks, and kept with what they remember."""
+    cache = worker_cache(cache_name(a_path, b_path))
+    if "tokenizers" not in cache:
+        cache["tokenizers"] = Tokenizers(a_path, b_path)
+    return cache["tokenizers"]
 
 
 def squeeze(ids: list[bytes], width: int) -> bytes:
@@ -291,7 +328,7 @@ def to_batches(df: DataFrame, a_path: str, b_path: str, id_col: str, text: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
-        tokenizers, name = Tokenizers(a_path, b_path), uuid.uuid4()
+        tokenizers, name = worker_tokenizers(a_path, b_path), uuid.uuid4()
         a_len, b_len = tokenizers.lengths()
         waiting, work, number, made = [], 0, 0, 0
 

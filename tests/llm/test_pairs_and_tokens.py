@@ -305,3 +305,37 @@ def test_encoded_texts_are_forgotten_before_pairs_are_counted(tokenizers):
     assert both.known["a"]
     assert list(alignment.counted_batches(iter([]), *both.lengths(), alignment.cache_name(*tokenizers))) == []
     assert not both.known
+
+
+def test_parts_learned_together_have_the_ids_of_parts_learned_alone(tokenizers):
+    rng = random.Random(21)
+    both, (a_len, b_len) = alignment.Tokenizers(*tokenizers), alignment.Tokenizers(*tokenizers).lengths()
+    parts = list({"".join(rng.choice("abcdeéèß'.,#$09日\n▁½") for _ in range(rng.randint(1, 9))) for _ in range(3000)})
+    both.known.clear()
+    calls, whole = [], both.a
+    both.a = type("Counting", (), {"encode_batch_fast": lambda self, texts, **kw: calls.append(len(texts)) or whole.encode_batch_fast(texts, **kw)})()
+    both._learn(parts)
+    assert sum(calls) < len(parts)  # one by one: as many texts as parts
+    a_known, b_known = both.known["a"], both.known["b"]
+    for p, first, b in zip(parts, whole.encode_batch_fast([f" {p}" for p in parts], add_special_tokens=False), both.b.encode(parts)):
+        spelled = b"".join(both.a_bytes[i] for i in first.ids) == b"".join(both.b_bytes[i] for i in b) == f" {p}".encode()
+        got = [np.frombuffer(known[p], dtype=kind).tolist() for known, kind in ((a_known, both.a_type), (b_known, both.b_type))]
+        assert got == ([first.ids, b] if spelled else [[], []]), p
+
+
+def test_ids_stay_right_while_learned_parts_are_forgotten(tokenizers):
+    rng = random.Random(22)
+    both = alignment.Tokenizers(*tokenizers)
+    texts = [" ".join(f"{rng.choice('abcdefgh')}{rng.randint(0, 60)}" for _ in range(20)) for _ in range(200)] + ["x▁y z", None]
+    want = [[x.tolist() for x in both.encode([t])[0]] for t in texts]
+    both.known.clear()
+    both.limit = 40
+    for at in range(0, len(texts), 3):
+        assert [[x.tolist() for x in sides] for sides in both.encode(texts[at : at + 3])] == want[at : at + 3]
+
+
+def test_a_worker_loads_its_tokenizers_once(tokenizers):
+    first = alignment.worker_tokenizers(*tokenizers)
+    assert alignment.worker_tokenizers(*tokenizers) is first
+    assert list(alignment.counted_batches(iter([]), *first.lengths(), alignment.cache_name(*tokenizers))) == []
+    assert not first.known  # the worker drops them with what they remember
