@@ -120,7 +120,7 @@ class Encoder:
     texts of any other tokenizer, are encoded as they are.
     """
 
-    limit = 400_000
+    limit = 360_000
     together = 64
 
     def __init__(self, path: str):
@@ -144,6 +144,14 @@ class Encoder:
                 raw = ids.tobytes()
                 self.known.update(zip(group, [raw[a:b] for a, b in zip([0, *[e + 4 for e in ends]], [*ends, len(raw)])]))
 
+    def _forget(self) -> None:
+        """Three quarters of ``limit`` stay at most.  Pieces put together from two others go first, as they are soon made again; the first learned are the most frequent."""
+        known = self.known
+        for p in [p for p in known if self._cut(p)]:
+            del known[p]
+        for p in list(known)[3 * self.limit // 4 :]:
+            del known[p]
+
     def _pieces(self, raw: bytes) -> list[bytes]:
         if raw.isascii() or len(raw.translate(None, BEYOND)) == len(raw):
             return raw.translate(LOWER).split()
@@ -169,9 +177,8 @@ class Encoder:
                 raw = b""
             split.append(self._pieces(raw))
         new = set().union(*split).difference(known)
-        if len(known) + len(new) > self.limit:  # the first learned are the most frequent: they stay
-            for p in list(known)[self.limit // 2 :]:
-                del known[p]
+        if len(known) + len(new) > self.limit:
+            self._forget()
             new = set().union(*split).difference(known)
         words = {p for p in new if p.isalpha()}
         others, ended = set(), {}

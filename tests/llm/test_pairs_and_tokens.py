@@ -13,7 +13,7 @@ pytest.importorskip("plangauge.llm")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from plangauge.llm import alignment, hard_negatives, simhash  # noqa: E402
+from plangauge.llm import alignment, hard_negatives, simhash, token_planes  # noqa: E402
 from plangauge.llm.catalog import CATALOG, tokenizer_path  # noqa: E402
 
 CLASHES = "fp long, mask long, key string, node long, label2 string, first long, least long, piece int, batch int, rank int, own string, part int, block int, width int, best int, x int, h1 long"
@@ -339,3 +339,18 @@ def test_a_worker_loads_its_tokenizers_once(tokenizers):
     assert alignment.worker_tokenizers(*tokenizers) is first
     assert list(alignment.counted_batches(iter([]), *first.lengths(), alignment.cache_name(*tokenizers))) == []
     assert not first.known  # the worker drops them with what they remember
+
+
+def test_pieces_that_are_soon_made_again_are_forgotten_first():
+    encoder = token_planes.Encoder(tokenizer_path())
+    encoder.known.clear()
+    encoder.limit = 40
+    words = ["".join(random.Random(k).choices("abcdefgh", k=9)) for k in range(25)]
+    texts = [" ".join(words)] + [" ".join(f"{w}{mark}" for w in words[k : k + 8]) for mark in (".", ",", "!?") for k in (0, 8, 16)]
+    want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    learned = []
+    learn = encoder._learn
+    encoder._learn = lambda tokenizer, mark, pieces: (learned.extend(pieces), learn(tokenizer, mark, pieces))
+    assert [encoder([t])[0] for t in texts] == want
+    assert sorted(learned) == sorted({w.encode() for w in words} | {b".", b",", b"!?"})  # no word is learned again
+    encoder.known.clear()
