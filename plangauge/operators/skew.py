@@ -125,6 +125,15 @@ def _narrowed(counts: DataFrame, ranges: DataFrame, keys: list[str], bins: int)
     return placed.groupBy(*keys).agg(low.alias("_low"), high.alias("_high"), (F.max("_a") - before).alias("_a"), (F.max("_b") - before).alias("_b"))
 
 
+def _dealt(df: DataFrame, *columns: Column) -> DataFrame:
+    """``columns`` of all rows, dealt over tasks by their whole content.
+
+    A file can be read in parts no smaller than its row groups, and what a task counts before a shuffle grows with them; after this
+    one it grows with what a task reads of a shuffle.
+    """
+    return df.select(*columns, F.xxhash64(*df.columns).alias("_deal")).repartition("_deal").drop("_deal")
+
+
 def median_candidates(df: DataFrame, keys: list[str], value: str, bins: int = BINS, rounds: int = ROUNDS) -> DataFrame:
     """``keys``, ``_v``, ``_c`` (how often), ``_a`` and ``_b``: the values around the middle, with the middle ranks among them.
 
@@ -132,7 +141,7 @@ def median_candidates(df: DataFrame, keys: list[str], value: str, bins: int = BI
     counts again, not the rows.  Of a key with n different values about ``n / bins ** rounds`` are left if they
     lie evenly within what is left of the range.  NaN counts as infinity.
     """
-    clean = df.select(*keys, F.nanvl(F.col(value).cast("double"), F.lit(float("inf"))).alias("_v")).filter(F.col("_v").isNotNull())
+    clean = _dealt(df, *map(F.col, keys), F.nanvl(F.col(value).cast("double"), F.lit(float("inf"))).alias("_v")).filter(F.col("_v").isNotNull())
     counts = clean.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
     n = F.sum("_c")
     ranges = counts.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.floor((n - 1) / 2).alias("_a"), F.floor(n / 2).alias("_b"))
@@ -152,5 +161,5 @@ def exact_median(df: DataFrame, keys: list[str], value: str, *also: Column, bins
     counted = near.withColumn("_upto", upto)
     left, right = (F.min(F.when(F.col("_upto") > F.col(r), F.col("_v"))) for r in ("_a", "_b"))
     middle = counted.groupBy(*keys).agg(((left + right) / 2).alias("median"))
-    stats = df.groupBy(*keys).agg(F.count(value).alias("n"), *also)
+    stats = _dealt(df, *map(F.col, df.columns)).groupBy(*keys).agg(F.count(value).alias("n"), *also)
     return stats.join(middle, keys, "left")

@@ -3,6 +3,7 @@
 import random
 import statistics
 
+import numpy as np
 import pytest
 from conftest import plan_of
 from pyspark.sql import Window as W
@@ -153,3 +154,14 @@ def test_median_joins_divide_a_hot_key(spark):
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)
+
+
+def test_rows_of_a_median_are_dealt_before_they_are_counted(spark):
+    df = spark.range(1000).selectExpr("CAST(id % 3 AS STRING) AS k", "CAST(id % 400 AS DOUBLE) AS v", "id")
+    found = skew.exact_median(df, ["k"], "v", F.max("id").alias("last"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    counted = [at for at, line in enumerate(plan.splitlines()) if "Aggregate" in line and "count(" in line]
+    dealt = [at for at, line in enumerate(plan.splitlines()) if "RepartitionByExpression" in line and "_deal" in line]
+    assert counted and len(dealt) >= len(counted) and all(any(d > at for d in dealt) for at in counted)
+    want = {str(k): (float(np.median([i % 400 for i in range(1000) if i % 3 == k])), max(i for i in range(1000) if i % 3 == k)) for k in range(3)}
+    assert {r["k"]: (r["median"], r["last"]) for r in found.collect()} == want
