@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from plangauge.llm.common import keep
-from plangauge.llm.token_planes import worker_cache
+from plangauge.llm.token_planes import byte_letters, worker_cache
 
 PIECE, BATCH = 65_536, 1_000_000
 # Ends of a batch that are merged in one go: a merge holds some 120 bytes for each.
@@ -43,13 +43,6 @@ SLICE = 128
 TEXTS = 1_024
 
 
-def byte_letters() -> dict[str, int]:
-    """The letter of each byte in byte-level vocabularies: itself where it is a printing Latin-1 character, else the next free one from U+0100."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(others)}
-
-
 # A space between two characters that are letters, digits or marks in every version of the character tables.
 CUT = re.compile("(?<=[!-~\u00c0-\u024f]) (?=[!-~\u00c0-\u024f])")
 # A part that may have such a space on both sides.

@@ -14,8 +14,10 @@ ordered by the hash of their text.  Documents of an equal place in a given order
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
+import re
 import struct
 import sys
 import types
@@ -35,6 +37,8 @@ from plangauge.session import new_work_dir
 
 END_ID = 2
 BLOCK_IDS = 1 << 16
+# Texts that are encoded at once.
+SLICE = 1024
 
 
 @dataclass(frozen=True)
@@ -80,7 +84,21 @@ class PlaneFormat:
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 # First bytes of U+0300 and beyond: combining marks begin there.  Characters below are in normal form and are lower-cased one by one.
 BEYOND = bytes(range(0xCC, 0x100))
-ENDINGS = b"!#$%&*+,-./:;<=>?@\\^_`|~()[]{}\""
+# Latin letters below U+0250 but U+0130, whose lower case ends in a mark: lead bytes and what may follow them.
+LATIN = [(rb"\xc3", rb"[\x80-\x96\x98-\xb6\xb8-\xbf]"), (rb"\xc4", rb"[\x80-\xaf\xb1-\xbf]"), (rb"[\xc5-\xc8]", rb"[\x80-\xbf]"), (rb"\xc9", rb"[\x80-\x8f]")]
+WORD = re.compile(rb"(?:[a-z]++|" + rb"|".join(a + b for a, b in LATIN) + rb")+")
+
+
+def of_bytes(own: bytes) -> np.ndarray:
+    """Whether each byte value is one of these."""
+    return np.isin(np.arange(256), np.frombuffer(own, dtype=np.uint8))
+
+
+BLANKS, ENDINGS = of_bytes(b" \t\n\v\f\r"), of_bytes(b"!#$%&*+,-./:;<=>?@\\^_`|~()[]{}\"")
+LETTERED = np.zeros((256, 256), dtype=bool)  # the last two bytes of a text that ends in a letter or digit
+LETTERED[:, of_bytes(b"0123456789abcdefghijklmnopqrstuvwxyz")] = True
+for x in range(0xC3, 0xCA):
+    LETTERED[x, [y for y in range(0x80, 0xC0) if WORD.fullmatch(bytes([x, y]))]] = True
 MARK = "\x01"
 
 # The normalization and the splitting under which texts may be cut at blanks, and in front of marks behind a letter or digit.
@@ -96,6 +114,17 @@ CUTTABLE = {
 }
 
 
+def byte_letters() -> dict[str, int]:
+    """The letter of each byte in byte-level vocabularies: itself where it is a printing Latin-1 character, else the next free one from U+0100."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(others)}
+
+
+# The letters of all bytes in turn; blanks stay, they part words.
+LETTERS = "".join(" " if b == 0x20 else c for c, b in sorted(byte_letters().items(), key=lambda x: x[1]))
+
+
 def worker_cache(name: str) -> dict:
     """A dict that outlives the task in a Python worker that Spark uses again."""
     home = sys.modules.setdefault("plangauge_worker_cache", types.ModuleType("plangauge_worker_cache"))
@@ -110,93 +139,122 @@ def can_be_cut(tokenizer) -> bool:
     return plain and all(made[k] == v for k, v in CUTTABLE.items()) and all(t["content"].startswith("<|") and not t["normalized"] for t in added)
 
 
+def bytes_of(values: pa.Array) -> list[bytes]:
+    """The values of a binary array without nulls; ``to_pylist`` makes a scalar of each and takes ten times as long."""
+    offsets = np.frombuffer(values.buffers()[1], dtype=np.int64)[values.offset : values.offset + len(values) + 1].tolist() if len(values) else [0]
+    raw = (values.buffers()[2] or pa.py_buffer(b"")).to_pybytes() if len(values) else b""
+    return list(map(raw.__getitem__, map(slice, offsets, offsets[1:])))
+
+
+def words_of(plain: list[bytes], others: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """Blank-separated words of all texts, one behind the other, and where those of each text end.
+
+    In ``plain`` texts, marks behind a letter or digit and in front of a blank are a word of their own.
+    """
+    first = b" " + b"".join(x + b" " for x in plain)
+    flat = np.frombuffer(first + b"".join(x + b" " for x in others), dtype=np.uint8)
+    inside, marks = ~BLANKS[flat], ENDINGS[flat[: len(first)]]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    # runs of marks: texts start and end with a blank
+    edges = np.flatnonzero(marks[1:] != marks[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    begins[starts[LETTERED[flat[starts - 2], flat[starts - 1]] & ~inside[ends]]] = True
+    at = np.flatnonzero(begins)
+    offsets = np.append(np.cumsum(inside)[at] - 1, np.count_nonzero(inside))
+    words = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(flat[inside])])
+    return words, np.searchsorted(at, np.cumsum([len(x) + 1 for x in (*plain, *others)], dtype=np.int64))
+
+
 class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes.
 
     A tokenizer that :func:`can_be_cut` gives a text the ids of its blank-separated pieces in turn: no normal form reaches over a
-    blank, and no split holds one.  In pieces of characters below U+0300, which normalization only lower-cases, marks behind a Latin letter
-    or digit are a split of their own; the one letter whose lower case ends in a mark, U+0130, is left whole.  Pieces are encoded
-    together, once, and remembered up to ``limit`` of them.  Texts that may hold an added token or the mark that parts pieces, and all
-    texts of any other tokenizer, are encoded as they are.
+    blank, and no split holds one.  In texts of characters below U+0300, which normalization only lower-cases, marks behind a Latin letter
+    or digit are a split of their own; the one letter whose lower case ends in a mark, U+0130, is left whole.  Different pieces of the texts
+    that are given are looked up once, those not known are encoded together, and up to ``limit`` of them are remembered.  Texts that may hold
+    an added token or the mark that parts pieces, and all texts of any other tokenizer, are encoded as they are.
     """
 
-    limit = 360_000
+    limit = 300_000
     together = 64
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each task one core
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
         self.cuttable = can_be_cut(self.tokenizer)
-        # words of a-z alone need no normalization, and are one piece each
-        self.letters.normalizer, self.letters.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        # words of Latin letters are one split each; they are given in lower case and in the letters of their bytes, to the same model
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.known: dict[bytes, bytes] = worker_cache(path)
 
     def _learn(self, tokenizer, mark: str, pieces: list[bytes]) -> None:
         ids_of = lambda texts: [np.array(e.ids, dtype="<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        given = lambda raw: codecs.charmap_decode(raw.decode("utf-8").lower().encode("utf-8"), "strict", LETTERS)[0] if tokenizer is self.letters else raw.decode("utf-8")
         mark_id, step = ids_of([f"a {mark}"])[0][-1], self.together
         glue = f" {mark} ".encode()
         for at in range(0, len(pieces), 64 * step):
             groups = [pieces[i : i + step] for i in range(at, min(at + 64 * step, len(pieces)), step)]
-            for group, ids in zip(groups, ids_of([glue.join(g).decode("utf-8") for g in groups])):
+            for group, ids in zip(groups, ids_of([given(glue.join(g)) for g in groups])):
                 ends = (4 * np.flatnonzero(ids == mark_id)).tolist()
                 raw = ids.tobytes()
                 self.known.update(zip(group, [raw[a:b] for a, b in zip([0, *[e + 4 for e in ends]], [*ends, len(raw)])]))
 
-    def _forget(self) -> None:
-        """Three quarters of ``limit`` stay at most.  Pieces put together from two others go first, as they are soon made again; the first learned are the most frequent."""
+    def _found(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of different pieces."""
         known = self.known
-        for p in [p for p in known if self._cut(p)]:
-            del known[p]
-        for p in list(known)[3 * self.limit // 4 :]:
-            del known[p]
-
-    def _pieces(self, raw: bytes) -> list[bytes]:
-        if raw.isascii() or len(raw.translate(None, BEYOND)) == len(raw):
-            return raw.translate(LOWER).split()
-        return [p if len(p.translate(None, BEYOND)) < len(p) else p.translate(LOWER) for p in raw.split()]
-
-    @staticmethod
-    def _cut(piece: bytes) -> int:
-        """Where the marks at the end begin, if they are a split of their own; 0 if not."""
-        base = piece.rstrip(ENDINGS)
-        if len(base) == len(piece) or not base or not (piece.isascii() or len(piece.translate(None, BEYOND)) == len(piece)):
-            return 0
-        if base[-1] < 128:
-            return len(base) if base[-1:].isalnum() else 0
-        last = base.decode("utf-8")[-1]
-        return len(base) if last < "\u0250" and last.isalpha() and last != "\u0130" else 0
+        found = list(map(known.get, pieces))
+        places = [k for k, ids in enumerate(found) if ids is None]
+        if len(known) + len(places) > self.limit:  # the first learned are the most frequent: they stay
+            for p in list(known)[3 * self.limit // 4 :]:
+                del known[p]
+        words, others = [], []
+        for p in map(pieces.__getitem__, places):
+            (words if p.isalpha() or WORD.fullmatch(p) else others).append(p)
+        self._learn(self.letters, "0", words)
+        self._learn(self.tokenizer, MARK, others)
+        for k in places:
+            found[k] = known[pieces[k]]
+        return found
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        known, split, whole = self.known, [], {}
+        out, plain, others = [b""] * len(texts), {}, {}
         for i, t in enumerate(texts):
             raw = t.encode("utf-8") if t else b""
-            if raw and (not self.cuttable or b"<|" in raw or b"\x01" in raw):
-                whole[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
-                raw = b""
-            split.append(self._pieces(raw))
-        new = set().union(*split).difference(known)
-        if len(known) + len(new) > self.limit:
-            self._forget()
-            new = set().union(*split).difference(known)
-        words = {p for p in new if p.isalpha()}
-        others, ended = set(), {}
-        for p in new - words:
-            at = self._cut(p)
-            if at:
-                base, marks = ended[p] = p[:at], p[at:]
-                if base not in known:
-                    (words if base.isalpha() else others).add(base)
-                if marks not in known:
-                    others.add(marks)
+            if not raw:
+                continue
+            if not self.cuttable or b"<|" in raw or b"\x01" in raw:
+                out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            elif raw.isascii() or len(raw.translate(None, BEYOND)) == len(raw):
+                plain[i] = raw.translate(LOWER)
             else:
-                others.add(p)
-        self._learn(self.letters, "0", list(words))
-        self._learn(self.tokenizer, MARK, list(others))
-        for p, (base, marks) in ended.items():
-            known[p] = known[base] + known[marks]
-        return [whole[i] if i in whole else b"".join(map(known.__getitem__, pieces)) for i, pieces in enumerate(split)]
+                others[i] = b" ".join([p if len(p.translate(None, BEYOND)) < len(p) else p.translate(LOWER) for p in raw.split()])
+        words, upto = words_of(list(plain.values()), list(others.values()))
+        coded = words.dictionary_encode()
+        ids = pa.array(self._found(bytes_of(coded.dictionary)), type=pa.large_binary()).take(coded.indices)
+        ends = np.append(0, np.frombuffer(ids.buffers()[1], dtype=np.int64)[1 : len(ids) + 1])[upto].tolist()
+        stream = memoryview(ids.buffers()[2] or b"")
+        for i, begin, end in zip((*plain, *others), [0, *ends], ends):
+            out[i] = stream[begin:end].tobytes()
+        return out
+
+
+def worker_encoder(path: str) -> Encoder:
+    """The encoder of a worker, loaded once for all its tasks."""
+    cache = worker_cache("encoders")
+    if path not in cache:
+        cache[path] = Encoder(path)
+    return cache[path]
+
+
+def forget_encoders() -> None:
+    """Texts are all encoded: what the worker loaded and remembers for that goes."""
+    cache = worker_cache("encoders")
+    for encoder in cache.values():
+        encoder.known.clear()
+    cache.clear()
 
 
 BLOCK_SCHEMA = "shard int, block int, n_ids int, planes binary, docs array<struct<id:{id},end:int>>"
@@ -235,7 +293,7 @@ def write(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, shard = Encoder(tokenizer), TaskContext.get().partitionId()
+        encode, shard = worker_encoder(tokenizer), TaskContext.get().partitionId()
         end = struct.pack("<I", end_id)
         waiting, ends, block = bytearray(), [], 0
 
@@ -250,8 +308,8 @@ def write(
             return pa.RecordBatch.from_pylist([row], schema=arrow)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
                 for i, raw in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
                     waiting += raw + end
                     ends.append({"id": i, "end": len(waiting) // 4})
@@ -277,6 +335,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         shard, base, begin, crc, open_ids = None, 0, 0, 0, []
         for batch in batches:
             for k in range(batch.num_rows):

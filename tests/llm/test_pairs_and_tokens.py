@@ -354,3 +354,24 @@ def test_pieces_that_are_soon_made_again_are_forgotten_first():
     assert [encoder([t])[0] for t in texts] == want
     assert sorted(learned) == sorted({w.encode() for w in words} | {b".", b",", b"!?"})  # no word is learned again
     encoder.known.clear()
+
+
+def test_words_are_remembered_without_the_marks_behind_them():
+    encoder = token_planes.Encoder(tokenizer_path())
+    text = "Word, word. wörd! (word) x1; don't? \u0130, a.b, ... WÖRD.\u0301 日本, c."
+    for t in (text, text.split(" \u0130")[0]):  # with and without characters from U+0300 on, with which words are left whole
+        encoder.known.clear()
+        assert np.frombuffer(encoder([t])[0], dtype="<u4").tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
+    assert {b"word", "wörd".encode(), b"x1", b"don't", b",", b".", b"?"} <= set(encoder.known)
+    assert not {b"word.", "wörd!".encode(), b"x1;", b"don't?"} & set(encoder.known)
+    encoder.known.clear()
+
+
+def test_a_worker_loads_its_encoder_once_and_drops_it_when_texts_are_encoded():
+    first = token_planes.worker_encoder(tokenizer_path())
+    assert token_planes.worker_encoder(tokenizer_path()) is first
+    first(["words to remember"])
+    assert first.known
+    token_planes.forget_encoders()
+    assert not first.known and token_planes.worker_encoder(tokenizer_path()) is not first
+    token_planes.forget_encoders()
