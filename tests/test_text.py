@@ -197,3 +197,80 @@ def test_exact_diversity_compares_equal_texts_once(spark):
     n, a, x, b = 100_000, 25_000, 25_000, 50_000
     assert (row["samples"], row["pairs"]) == (n, n * (n - 1) // 2)
     assert row["mean_distance"] == (a * x * 200 + x * b * 200 + a * b) / (n * (n - 1) // 2)
+
+
+def test_frames_equal_single_distances(monkeypatch):
+    import random
+
+    import numpy as np
+
+    from plangauge.operators import diversity as D
+
+    rng = random.Random(8)
+    for _ in range(150):
+        letters = rng.choice(["ab", "0123456789", "abcdefgh", "aé\U0001f600"])
+        text = lambda n: "".join(rng.choice(letters) for _ in range(n))
+        longest, sides = rng.choice([0, 1, 3, 8, 16]), []
+        for _ in range(2):
+            head, tail = text(rng.randint(0, 9)), text(rng.randint(0, 9))
+            texts = sorted({head + text(rng.randint(0, longest)) + tail for _ in range(rng.randint(1, 8))})
+            sides.append((texts, np.array([rng.randint(1, 9) for _ in texts]), len(head), len(tail)))
+        if rng.random() < 0.3:
+            # the same texts, cut elsewhere
+            texts, counts, head, tail = sides[0]
+            sides[1] = (texts, counts, rng.randint(0, head), rng.randint(0, tail)) if longest <= 3 else sides[0]
+        monkeypatch.setattr(D, "BLOCK_BYTES", rng.choice([1, 16, 1 << 16]))
+        monkeypatch.setattr(D, "BLOCK_PAIRS", rng.choice([1, 16, 1 << 17]))
+        a, b = D.build_frames(sides)
+        (some, of_some, *_), (others, of_others, *_) = sides
+        assert D.frame_sum(a, b) == sum(int(c) * int(d) * distance(s, t) for s, c in zip(some, of_some) for t, d in zip(others, of_others))
+        pairs = [(i, k) for i in range(len(some)) for k in range(i)]
+        assert D.frame_sum(a, a) == sum(int(of_some[i] * of_some[k]) * distance(some[i], some[k]) for i, k in pairs)
+
+
+def test_texts_that_begin_and_end_alike_are_compared_by_their_middles(monkeypatch):
+    # 5 * 10 ** 7 pairs; no letter stands in two places, so the distance is the number of places that differ
+    import itertools
+
+    import pyarrow as pa
+
+    from plangauge.operators import diversity as D
+
+    def whole(*_):
+        raise AssertionError("compared letter by letter")
+
+    monkeypatch.setattr(D, "distance_sums", whole)
+    places = ["0123456789", "abcdefghij", "klmnopqrst", "ABCDEFGHIJ"]
+    texts = ["SELECT X FROM Y WHERE Z = " + "".join(p) + " ORDER BY X" for p in itertools.product(*places)]
+    n = len(texts)
+
+    def tile(first, second):
+        both = {"_i": [0] * n, "_j": [int(bool(second))] * n, "_first": [True] * len(first) + [False] * len(second), "text": first + second}
+        return pa.table({"prompt_id": ["p"] * n, "_n": [n] * n, **both, "_c": pa.array([1] * n, pa.int64())})
+
+    def total(first, second):
+        return D._tile_sums(tile(first, second))["_total"][0].as_py()
+
+    assert total(texts, []) == 4 * (n * n // 2) * 9 // 10
+    # in the half with an even last place, and the other: all differ there
+    even, odd = texts[::2], texts[1::2]
+    assert total(even, odd) == len(even) * len(odd) * 3 * 9 // 10 + len(even) * len(odd)
+
+
+def test_exact_diversity_of_frames_and_others(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(2)
+    number = lambda: str(rng.randint(1, 99999))
+    frames = [("WITH r AS (SELECT k FROM orders WHERE k < ", ") SELECT COUNT(*) FROM r"), ("SELECT p, 12 FROM lineitem WHERE s = ", " GROUP BY p;"), ("", "")]
+    texts = [head + number() + tail for head, tail in frames for _ in range(150)]
+    texts += ["".join(rng.choice("SELCT 019") for _ in range(rng.randint(0, 150))) for _ in range(60)] + ["", "DROP TABLE t7"]
+    texts += rng.choices(texts, k=200)
+    df = spark.createDataFrame([(1, k, t) for k, t in enumerate(texts)], "prompt_id long, sample_id int, text string")
+    total = sum(distance_sums(texts, sorted(texts), np.ones(len(texts), np.int64))) // 2
+    for block in (1024, 40):
+        row = exact_diversity(df, block).first()
+        pairs = len(texts) * (len(texts) - 1) // 2
+        assert (row["samples"], row["pairs"], row["mean_distance"]) == (len(texts), pairs, total / pairs)
