@@ -29,6 +29,11 @@ FRAME_WIDTH = 16
 FRAME_TEXTS = 32
 # So few texts that share nothing with others are each compared with all of a frame at once.
 SINGLE_TEXTS = 8
+# Other texts of up to so many letters are compared a bit a pair too, if there are so many, with so many others at once.
+BIT_LETTERS = 512
+BIT_TEXTS = 48
+BIT_BLOCK = 1024
+BIT_BYTES = 1 << 25
 # Bytes of a bit for each pair whose middles are compared at once, and pairs whose distances are held at once.
 BLOCK_BYTES = 1 << 16
 BLOCK_PAIRS = 1 << 17
@@ -338,30 +343,36 @@ def _edges(x: np.ndarray, y: np.ndarray, left: tuple[np.ndarray, np.ndarray], to
     kind = kind.reshape(y.shape)
     equal = [_packed(letters[:, None] == line) for line in x]
     ups, downs = ([np.repeat(line[None], m, axis=0) for line in side] for side in left)
-    match, vertical, level = (np.empty((m, words), np.uint64) for _ in range(3))
+    spare = [np.empty((m, words), np.uint64) for _ in range(3)]
     lower, none, full = [], np.uint64(0), ~np.uint64(0)
     for j, top in enumerate(tops):
         rises, falls = (np.repeat(np.where(side, full, none)[:, None], words, axis=1) for side in (top > 0, top < 0))
-        for i in range(len(x)):
-            up, down = ups[i], downs[i]
-            equal[i].take(kind[j], 0, match, "clip")
-            np.bitwise_or(match, down, out=vertical)
-            np.bitwise_or(match, falls, out=level)
-            # the next column's rise and fall
-            np.bitwise_or(vertical, rises, out=match)
-            np.invert(match, out=match)
-            np.bitwise_or(match, falls, out=match)
-            np.bitwise_and(vertical, rises, out=vertical)
-            # what the next row meets
-            np.bitwise_and(up, level, out=falls)
-            np.bitwise_or(level, up, out=rises)
-            np.invert(rises, out=rises)
-            np.bitwise_or(rises, down, out=rises)
-            ups[i], downs[i], match, vertical = match, vertical, up, down
+        _column(ups, downs, equal, kind[j], rises, falls, spare)
         lower.append((rises, falls))
     return list(zip(ups, downs)), lower
 
 
+def _column(ups: list, downs: list, equal: list, kind: np.ndarray, rises: np.ndarray, falls: np.ndarray, spare: list) -> None:
+    """The next column of all tables: where it rises and falls from row to row, and last from this column to the next, all in place."""
+    match, vertical, level = spare
+    for i, (up, down) in enumerate(zip(ups, downs)):
+        equal[i].take(kind, 0, match, "clip")
+        np.bitwise_or(match, down, out=vertical)
+        np.bitwise_or(match, falls, out=level)
+        # the next column's rise and fall
+        np.bitwise_or(vertical, rises, out=match)
+        np.invert(match, out=match)
+        np.bitwise_or(match, falls, out=match)
+        np.bitwise_and(vertical, rises, out=vertical)
+        # what the next row meets
+        np.bitwise_and(up, level, out=falls)
+        np.bitwise_or(level, up, out=rises)
+        np.invert(rises, out=rises)
+        np.bitwise_or(rises, down, out=rises)
+        ups[i], downs[i], match, vertical = match, vertical, up, down
+    spare[:] = match, vertical, level
+
+
 class _Ends:
     """The shortest of all ways, for pairs of two groups of different frames.
 
@@ -485,6 +496,17 @@ def _framed(mine: list[int], texts: list[str]) -> tuple[list[tuple[list[int], in
 def _cross_sum(some: list[int], others: list[int], texts: list[str], counts: np.ndarray) -> int:
     """Weighted sum of the distances of each text of one list to each of the other; the longer one is taken at once."""
     some, others = sorted((some, others), key=len)
+    short, short_others = ([i for i in part if len(texts[i]) <= BIT_LETTERS] for part in (some, others))
+    if len(short) < BIT_TEXTS or not short_others:
+        return _long_sum(some, others, texts, counts)
+    long, long_others = ([i for i in part if len(texts[i]) > BIT_LETTERS] for part in (some, others))
+    total = bit_sum(*([texts[i] for i in part] for part in (short, short_others)), *(counts[part] for part in (short, short_others)))
+    return total + _long_sum(long, others, texts, counts) + _long_sum(short, long_others, texts, counts)
+
+
+def _long_sum(some: list[int], others: list[int], texts: list[str], counts: np.ndarray) -> int:
+    """As :func:`_cross_sum`, for few or long texts."""
+    some, others = sorted((some, others), key=len)
     some = sorted(some, key=lambda i: texts[i])
     total = 0
     # rows of like length together, and no more at once than their tables may take
@@ -494,6 +516,66 @@ def _cross_sum(some: list[int], others: list[int], texts: list[str], counts: np.
     return total
 
 
+def bit_sum(some: list[str], others: list[str], of_some: np.ndarray, of_others: np.ndarray) -> int:
+    """Weighted sum of the distances of each text to each of the others, a bit a pair, as in :func:`_edges`: for many short texts.
+
+    A row below the end of a text, or a column behind it, does not touch those before, so texts of any length go together: those that end
+    at a column are summed there and left out from then on.
+    """
+    codes = _codes(some + others)
+    numbers = codes[: len(some)], codes[len(some) :]
+    y_order, x_order = (sorted(range(len(part)), key=lambda k: -len(part[k])) for part in numbers)
+    # where each letter stands is held for each place of a text
+    room = BIT_BYTES // (8 * max(len(c) for c in numbers[1]) * (1 + max(int(c.max(initial=0)) for c in codes)) or 1)
+    size = min(BIT_BLOCK, 64 * max(1, room))
+    total = 0
+    for begin in range(0, len(x_order), size):
+        part = x_order[begin : begin + size]
+        x, x_sizes = _padded([numbers[1][k] for k in part])
+        of_x = of_others[part]
+        wide, words = len(x), -(-len(part) // 64)
+        inside = [x_sizes > i for i in range(wide)]
+        planes = [[_packed((of_x >> k & 1)[None].astype(bool) & row)[0] for row in inside] for k in range(int(of_x.max()).bit_length())]
+        step = max(BIT_TEXTS, BLOCK_BYTES // (8 * words))
+        for start in range(0, len(y_order), step):
+            chunk = y_order[start : start + step]
+            y, y_sizes = _padded([numbers[0][k] for k in chunk])
+            letters, kind = np.unique(y, return_inverse=True)
+            kind = kind.reshape(y.shape)
+            equal = [_packed(letters[:, None] == row) for row in x]
+            ups = [np.full((len(chunk), words), ~np.uint64(0)) for _ in range(wide)]
+            downs = [np.zeros((len(chunk), words), np.uint64) for _ in range(wide)]
+            spare = [np.empty((len(chunk), words), np.uint64) for _ in range(3)]
+            weighed = np.zeros(len(chunk), object)
+            active = len(chunk)
+            for j in range(len(y) + 1):
+                if j:
+                    rises, falls = np.full((active, words), ~np.uint64(0)), np.zeros((active, words), np.uint64)
+                    _column(ups, downs, equal, kind[j - 1, :active], rises, falls, spare)
+                left = int((y_sizes > j).sum())
+                if left < active:
+                    ended = slice(left, active)
+                    for k, plane in enumerate(planes):
+                        gain = np.zeros((active - left, words), np.int32)
+                        for up, down, row in zip(ups, downs, plane):
+                            gain += np.bitwise_count(up[ended] & row)
+                            gain -= np.bitwise_count(down[ended] & row)
+                        weighed[ended] += gain.sum(axis=1, dtype=np.int64) << k
+                    active = left
+                    ups, downs, spare = ([a[:active] for a in arrays] for arrays in (ups, downs, spare))
+            samples = int(of_x.sum())
+            total += sum(int(c) * (int(n) * samples + int(w)) for c, n, w in zip(of_some[chunk], y_sizes, weighed))
+    return total
+
+
+def _padded(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Texts as columns, filled up with any letter, and their lengths."""
+    sizes = np.array([len(c) for c in codes])
+    out = np.zeros((len(codes), int(sizes.max())), codes[0].dtype)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = np.concatenate(codes)
+    return np.ascontiguousarray(out.T), sizes
+
+
 def _parts(mine: list[int], texts: list[str]) -> Iterator[list[int]]:
     """Rows in order of length, cut so that words times rows stay small."""
     part: list[int] = []
@@ -511,8 +593,8 @@ def exact_diversity(completions: DataFrame, block: int = TILE, low: float = LOW_
 
     Equal texts of a prompt become one with a count.  The different ones are dealt to blocks of about ``block`` by a hash, larger ones if many
     begin and end alike.  Pairs form a triangle of tiles, block against block; a text is sent to one tile for each block, and a tile holds
-    two blocks and puts out one sum: of texts that begin and end alike by what lies between (:func:`frame_sum`), of others letter by
-    letter (:func:`distance_sums`).  No pair becomes a row, and no task holds a prompt of more texts than a block.  The work still grows with
+    two blocks and puts out one sum: of texts that begin and end alike by what lies between (:func:`frame_sum`), of others by all
+    letters (:func:`bit_sum`, :func:`distance_sums`).  No pair becomes a row, and no task holds a prompt of more texts than a block.  The work still grows with
     the square of a prompt's different texts; for estimates that grow with the samples only, see :func:`completion_diversity`.
     """
     text = F.col("text")

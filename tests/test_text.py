@@ -274,3 +274,19 @@ def test_exact_diversity_of_frames_and_others(spark):
         row = exact_diversity(df, block).first()
         pairs = len(texts) * (len(texts) - 1) // 2
         assert (row["samples"], row["pairs"], row["mean_distance"]) == (len(texts), pairs, total / pairs)
+
+
+def test_bit_sums_equal_sums_of_texts_one_by_one(monkeypatch):
+    import random
+
+    import numpy as np
+
+    from plangauge.operators import diversity as D
+
+    rng = random.Random(4)
+    for letters, longest, room in (("ab", 5, 1), ("ab\u00e9\U0001f600", 70, 1 << 25), ("abcdefgh", 130, 1 << 12), ("ab", 0, 1 << 25)):
+        some, others = (["".join(rng.choice(letters) for _ in range(rng.randint(0, longest))) for _ in range(n)] for n in (50, 130))
+        of_some, of_others = (np.array([rng.choice([1, 1, 6, 100_000]) for _ in part]) for part in (some, others))
+        monkeypatch.setattr(D, "BIT_BYTES", room)
+        want = sum(s * int(c) for s, c in zip(distance_sums(others, some, of_others), of_some))
+        assert D.bit_sum(some, others, of_some, of_others) == want
